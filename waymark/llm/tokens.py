@@ -31,6 +31,10 @@ HUGE, CHUNK, OVERLAP = 65_536, 32_768, 256
 REMEMBERED = 200_000
 
 
+#: A contraction ('s, 't ...) needs an apostrophe, so letters and one sign are never one.
+_STEM = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+
+
 class JsonCodec:
     """A ``.json`` file of the tokenizers library."""
 
@@ -47,6 +51,12 @@ class JsonCodec:
         added = kind.get("added_tokens") or []
         #: White space is dropped before the merges and no added token holds or eats any: a text's ids are its words' ids.
         self.by_word = first.get("type") == "Split" and first.get("behavior") == "Removed" and bool(first.get("invert")) and not any(a["lstrip"] or a["rstrip"] or a["single_word"] or " " in a["content"] for a in added)
+        #: Which ids end a word, where the merges mark that; and the ids of the signs that may follow a stem.
+        self.ending, mark = None, (kind.get("model") or {}).get("end_of_word_suffix")
+        if self.by_word and mark:
+            self.ending = np.zeros(self.library.get_vocab_size(), bool)
+            self.ending[[i for x, i in self.library.get_vocab().items() if x.endswith(mark)]] = True
+        self.signs = {x: np.array(self.library.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in ("", ".", ",")}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -60,25 +70,54 @@ class JsonCodec:
 
     def _words(self, texts: list[str]) -> list[np.ndarray]:
         out = []
-        for a, b in groups_of(texts, 1 << 21):
+        for a, b in groups_of(texts, 1 << 23):
             split = [x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for x in texts[a:b]]
             seen = set().union(*split)
             seen.discard("")
             known = {w: ids for w in seen if (ids := self.young.get(w) or self.old.get(w)) is not None}
-            new = [w for w in seen if w not in known]
-            for i in range(0, len(new), 4096):
-                part = new[i : i + 4096]
-                for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, "<u4").tobytes()
+            self._learn([w for w in seen if w not in known], known)
             for w, ids in known.items():
                 if len(w) < 64:
                     self.young[w] = ids
             known[""] = b""
-            out += [np.frombuffer(b"".join([known[w] for w in words]), "<u4") for words in split]
+            out += [np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4") for words in split]
             if len(self.young) > REMEMBERED:
                 self.old, self.young = self.young, {}
         return out
 
+    def _learn(self, words: list[str], known: dict[str, bytes]) -> None:
+        """Add the ids of ``words`` to ``known``.
+
+        A word of Latin letters, and a full stop or comma or nothing, has the ids of its lowered letters and those
+        of the sign: the splitting keeps them apart and the normalisation lowers each letter by itself. Many such
+        stems are encoded together; each ends with the one token that ends a word.
+        """
+        stems: dict[str, list[tuple[str, str]]] = {}
+        rest = []
+        for w in words:
+            if self.ending is not None and (m := _STEM.fullmatch(w)):
+                stems.setdefault(m[1].lower(), []).append((w, m[2]))
+            else:
+                rest.append(w)
+        names = list(stems)
+        for i in range(0, len(names), 4096):
+            part = names[i : i + 4096]
+            ids = np.concatenate([np.array(e.ids, "<u4") for e in self.library.encode_batch_fast([" ".join(part[j : j + 256]) for j in range(0, len(part), 256)], add_special_tokens=False)])
+            cuts = np.flatnonzero(self.ending[ids]) + 1
+            if len(cuts) != len(part):
+                rest += [w for x in part for w, _ in stems[x]]
+                continue
+            whole, at = ids.tobytes(), 0
+            for x, cut in zip(part, (cuts * 4).tolist(), strict=True):
+                own = whole[at:cut]
+                at = cut
+                for w, sign in stems[x]:
+                    known[w] = own + self.signs[sign]
+        for i in range(0, len(rest), 4096):
+            part = rest[i : i + 4096]
+            for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                known[w] = np.array(e.ids, "<u4").tobytes()
+
     def ends(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         e = self.library.encode(text, add_special_tokens=False)
         return np.array(e.ids, np.uint32), np.array([b for _, b in e.offsets], np.int64)
