@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ._shared import table
 from .packing import pack
+from .quality_rules import ORACLE as QUALITY_RULES
+from .quality_rules import filtered
 from .simhash import near_duplicates
 from .tokens import token_counts
 
@@ -22,6 +24,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filtered(table(spark, sf_dir, "documents"), least_rows=200, spread=4)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), limit=2048)
 
@@ -33,10 +39,11 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_best_fit_packing": op2_best_fit_packing,
+        "op7_quality_rules": op7_quality_rules,
         "op8_token_counts": op8_token_counts,
         "op9_simhash": op9_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_quality_rules": QUALITY_RULES}
