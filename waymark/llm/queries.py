@@ -10,6 +10,7 @@ from ._shared import table
 from .decontamination import ORACLE as DECONTAMINATION
 from .decontamination import contamination, digest
 from .packing import pack
+from .pii import personal_data
 from .quality_rules import ORACLE as QUALITY_RULES
 from .quality_rules import filtered
 from .simhash import near_duplicates
@@ -42,6 +43,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=2)
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_best_fit_packing": op2_best_fit_packing,
@@ -49,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_quality_rules": op7_quality_rules,
         "op8_token_counts": op8_token_counts,
         "op9_simhash": op9_simhash,
+        "op10_pii": op10_pii,
     }
 
 
