@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ._shared import table
 from .decontamination import ORACLE as DECONTAMINATION
 from .decontamination import contamination, digest
+from .language import identified
 from .packing import pack
 from .pii import personal_data
 from .quality_rules import ORACLE as QUALITY_RULES
@@ -23,6 +24,10 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identified(table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), capacity=4096, end_id=1)
 
@@ -49,6 +54,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": op1_language_id,
         "op2_best_fit_packing": op2_best_fit_packing,
         "op6_benchmark_decontamination": op6_benchmark_decontamination,
         "op7_quality_rules": op7_quality_rules,
