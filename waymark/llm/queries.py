@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import quality
 from ._shared import table
 from .decontamination import ORACLE as DECONTAMINATION
 from .decontamination import contamination, digest
@@ -32,6 +33,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), sample=1500, neighbours=15)
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10))
 
@@ -56,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
         "op2_best_fit_packing": op2_best_fit_packing,
+        "op4_quality_classifier": op4_quality_classifier,
         "op6_benchmark_decontamination": op6_benchmark_decontamination,
         "op7_quality_rules": op7_quality_rules,
         "op8_token_counts": op8_token_counts,
