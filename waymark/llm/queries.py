@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import quality, toxicity
 from ._shared import table
 from .decontamination import ORACLE as DECONTAMINATION
 from .decontamination import contamination, digest
@@ -37,6 +37,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), sample=1500, neighbours=15)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), sample=4000)
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10))
 
@@ -62,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_language_id": op1_language_id,
         "op2_best_fit_packing": op2_best_fit_packing,
         "op4_quality_classifier": op4_quality_classifier,
+        "op5_toxicity": op5_toxicity,
         "op6_benchmark_decontamination": op6_benchmark_decontamination,
         "op7_quality_rules": op7_quality_rules,
         "op8_token_counts": op8_token_counts,
