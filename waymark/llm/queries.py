@@ -16,6 +16,7 @@ from .pii import personal_data
 from .quality_rules import ORACLE as QUALITY_RULES
 from .quality_rules import filtered
 from .simhash import near_duplicates
+from .suffix import deduplicated
 from .tokens import token_counts
 
 
@@ -33,6 +34,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicated(table(spark, sf_dir, "documents"), length=100)
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), sample=1500, neighbours=15)
 
@@ -65,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
         "op2_best_fit_packing": op2_best_fit_packing,
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op4_quality_classifier": op4_quality_classifier,
         "op5_toxicity": op5_toxicity,
         "op6_benchmark_decontamination": op6_benchmark_decontamination,
