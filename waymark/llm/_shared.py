@@ -65,3 +65,13 @@ def groups_of(texts: list[str], most: int = 1 << 18) -> Iterator[tuple[int, int]
         held += len(text)
     if start < len(texts):
         yield start, len(texts)
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` less the rows whose (doc_id, text_hash) are in ``gone``; all columns stay, whatever their names.
+
+    text_hash is xxhash64 of the text (null: empty), so that rows with one id but other texts are told apart.
+    """
+    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].alias("own_id"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("own_hash"))
+    left = own.join(gone.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct(), F.col("own_id").eqNullSafe(F.col("gone_id")) & (F.col("own_hash") == F.col("gone_hash")), "left_anti")
+    return left.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -61,7 +61,7 @@ def build_index(docs: DataFrame, terms: dict[str, int]) -> DataFrame:
     """
     sent = docs.sparkSession.sparkContext.broadcast(terms)
 
-    def block(ids: list, lists: list[list[str]]) -> dict:
+    def block(ids: list, hashes: list[int], lists: list[list[str]]) -> dict:
         get, sizes = sent.value.get, np.array([len(x) for x in lists], np.int64)
         at = np.concatenate([[0], np.cumsum(sizes + GAP)[:-1]]).astype(np.int64)
         number = np.array([get(w, -1) for x in lists for w in x], np.int32)
@@ -70,23 +70,26 @@ def build_index(docs: DataFrame, terms: dict[str, int]) -> DataFrame:
         order = np.argsort(number, kind="stable")
         number, place = number[order], place[order].astype("<i4")
         term, starts = np.unique(number, return_index=True)
-        return {"doc_ids": ids, "sizes": sizes.astype("<i4").tobytes(), "term": term.astype("<i4").tobytes(), "starts": np.append(starts, len(number)).astype("<i4").tobytes(), "places": place.tobytes()}
+        return {"doc_ids": ids, "hashes": np.array(hashes, "<i8").tobytes(), "sizes": sizes.astype("<i4").tobytes(), "term": term.astype("<i4").tobytes(), "starts": np.append(starts, len(number)).astype("<i4").tobytes(), "places": place.tobytes()}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, lists, held = [], [], 0
+        ids, hashes, lists, held = [], [], [], 0
         for batch in batches:
-            for i, text in zip(batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None), batch["text"]):
+            for i, text, text_hash in zip(batch["doc_id"], batch["text"], batch["text_hash"]):
                 own = words(text)
                 if lists and (held + len(own) > BLOCK_WORDS or len(lists) >= BLOCK_DOCS):
-                    yield pd.DataFrame([block(ids, lists)])
-                    ids, lists, held = [], [], 0
-                ids.append(None if i is None else int(i))
+                    yield pd.DataFrame([block(ids, hashes, lists)])
+                    ids, hashes, lists, held = [], [], [], 0
+                ids.append(i if isinstance(i, str) else None)
+                hashes.append(text_hash)
                 lists.append(own)
                 held += len(own)
         if lists:
-            yield pd.DataFrame([block(ids, lists)])
+            yield pd.DataFrame([block(ids, hashes, lists)])
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_ids array<long>, sizes binary, term binary, starts binary, places binary")
+    # ids travel as text: a column of numbers and nulls would become one of floats in Python
+    own = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    return own.mapInPandas(run, "doc_ids array<string>, hashes binary, sizes binary, term binary, starts binary, places binary")
 
 
 def frequencies(index: DataFrame) -> dict[int, int]:
@@ -107,7 +110,7 @@ def _near(list_: np.ndarray, wanted: np.ndarray, slop: int) -> np.ndarray:
 
 
 def search(index: DataFrame, tests: Phrases, slop: int = 0) -> DataFrame:
-    """Per document of the index: doc_id, n_words, n_hit, items (sorted).
+    """Per document of the index: doc_id, text_hash, n_words, n_hit, items (sorted).
 
     A phrase occurs where all its terms stand at their offsets, or, with ``slop``, where each stands within that
     many words of its offset from the rarest (a proximity match; ``slop`` must stay below half the gap). A word
@@ -120,7 +123,7 @@ def search(index: DataFrame, tests: Phrases, slop: int = 0) -> DataFrame:
         by_rarest.setdefault(p[o[0]], []).append(k)
     sent = index.sparkSession.sparkContext.broadcast((tests.phrases, order, by_rarest, tests.items))
 
-    def one(doc_ids, sizes: np.ndarray, term: np.ndarray, starts: np.ndarray, places: np.ndarray) -> pd.DataFrame:
+    def one(doc_ids, hashes: np.ndarray, sizes: np.ndarray, term: np.ndarray, starts: np.ndarray, places: np.ndarray) -> pd.DataFrame:
         phrases, orders, rarest, items = sent.value
         lists = {int(t): places[a:b] for t, a, b in zip(term, starts, starts[1:])}
         at = np.concatenate([[0], np.cumsum(sizes.astype(np.int64) + GAP)[:-1]]).astype(np.int64)
@@ -145,18 +148,20 @@ def search(index: DataFrame, tests: Phrases, slop: int = 0) -> DataFrame:
                         hits.setdefault(d, set()).update(items[k])
         hit = np.concatenate([[0], np.cumsum(np.cumsum(change) > 0)])
         n_hit = hit[at + sizes] - hit[at]
-        return pd.DataFrame({"doc_id": pd.array(list(doc_ids), dtype="Int64"), "n_words": sizes.astype(np.int64), "n_hit": n_hit.astype(np.int64), "items": [sorted(hits.get(d, ())) for d in range(len(sizes))]})
+        return pd.DataFrame({"doc_id": list(doc_ids), "text_hash": hashes, "n_words": sizes.astype(np.int64), "n_hit": n_hit.astype(np.int64), "items": [sorted(hits.get(d, ())) for d in range(len(sizes))]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples(index=False):
-                yield one(r.doc_ids, *(np.frombuffer(x, "<i4") for x in (r.sizes, r.term, r.starts, r.places)))
+                yield one(r.doc_ids, np.frombuffer(r.hashes, "<i8"), *(np.frombuffer(x, "<i4") for x in (r.sizes, r.term, r.starts, r.places)))
 
-    return index.mapInPandas(run, "doc_id long, n_words long, n_hit long, items array<string>")
+    found = index.mapInPandas(run, "doc_id string, text_hash long, n_words long, n_hit long, items array<string>")
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop: int = 0) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_words, n_hit, items (ids, as strings, of the items found there).
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop: int = 0, keep_hash: bool = False) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_words, n_hit, items (ids, as strings, of the items found there), and with
+    ``keep_hash`` text_hash (xxhash64 of the text).
 
     ``benchmark`` has item_id and text; its windows are what each executor holds, so a test set of over
     ``TEST_WINDOWS`` words is refused rather than sent (search it in parts). A null text has no words; items
@@ -168,7 +173,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop:
         raise ValueError(f"{size} test words are too many for one pass; search the test set in parts of {TEST_WINDOWS}")
     rows = [(str(r.item_id), r.text) for r in benchmark.where("item_id is not null and text is not null").select("item_id", "text").collect()]
     tests = Phrases.of(rows, window)
-    return search(materialise(build_index(docs, tests.terms), "postings"), tests, slop)
+    found = search(materialise(build_index(docs, tests.terms), "postings"), tests, slop)
+    return found if keep_hash else found.drop("text_hash")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -194,8 +194,8 @@ def train(labelled: DataFrame, vocabulary_path: str, sample: int = 500, rounds:
 _FINDERS: dict[int, Pieces] = {}
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred and score of every row, from its text alone.
+def predict(docs: DataFrame, model: Model, keep_hash: bool = False) -> DataFrame:
+    """doc_id, lang_pred and score (and with ``keep_hash`` text_hash, xxhash64 of the text) of every row, from its text alone.
 
     ``und`` and 0 for a null text, one without a letter, or a model that has learned no language. The score is
     the posterior of the predicted language. Equal likelihoods go to the language first by name.
@@ -221,9 +221,11 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     best = int(odds.argmax())
                     names.append(m.languages[best])
                     scores.append(float(1 / np.exp(odds - odds[best]).sum()))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "lang_pred": names, "score": scores})
+            yield batch.drop(columns="text").assign(lang_pred=names, score=scores)
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id long, lang_pred string, score double")
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    own = own.withColumn("text_hash", F.xxhash64("text")) if keep_hash else own
+    return own.mapInPandas(run, "doc_id long, " + "text_hash long, " * keep_hash + "lang_pred string, score double")
 
 
 def identified(docs: DataFrame, vocabulary_path: str, sample: int = 500, rounds: int = 3) -> DataFrame:

@@ -153,3 +153,115 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, seed: int
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     ids = materialise(named.join(least, "component").select("fp", "component_id"), "ids")
     return marked.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: Least shingles kept of each document by ``near_copies``: the first few choose tiles, all estimate likeness.
+SKETCH, TILES_OF = 16, 6
+_MIX = np.random.default_rng(9).integers(1 << 62, size=SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_hashes(text: str, words: int, seed: int = 42) -> np.ndarray:
+    """The different hashes of a text's word shingles, ascending; that of the whole for fewer words; none for no word."""
+    import xxhash
+
+    split = text.encode().lower().split()
+    h = xxhash.xxh64_intdigest
+    if len(split) <= words:
+        return np.array([h(b" ".join(split), seed)] if split else [], np.uint64)
+    return np.unique(np.fromiter((h(b" ".join(x), seed) for x in zip(*(split[i:] for i in range(words)))), np.uint64, len(split) - words + 1))
+
+
+def _sign(hashes: np.ndarray) -> int:
+    total = np.zeros(64, np.int64)
+    for a in range(0, len(hashes), 1 << 15):
+        total += np.unpackbits(hashes[a : a + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits((2 * total > len(hashes)).astype(np.uint8), bitorder="little").view("<u8")[0])
+
+
+def alike(fps: np.ndarray, sketches: np.ndarray, sizes: np.ndarray, shingles: list[np.ndarray], other: slice, similarity: float, radius: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs (i, j) with j in ``other`` and a Jaccard similarity of ``similarity`` or more.
+
+    Pairs are first thinned by exclusive-or and bit counts, sizes, and equal sketch places; what is left is taken
+    nearest first, and compared exactly unless it is connected already.
+    """
+    n = len(fps)
+    forest = _Forest(n)
+    rows = max(1, (1 << 18) // max(1, n))
+    near: list[np.ndarray] = []
+    span = np.arange(n)[other]
+    for a in range(0, n if other.start == 0 else other.start, rows):
+        i = np.arange(a, min(a + rows, n if other.start == 0 else other.start))
+        bits = np.bitwise_count(fps[i, None] ^ fps[None, span])
+        small, large = np.minimum(sizes[i, None], sizes[None, span]), np.maximum(sizes[i, None], sizes[None, span])
+        x, y = np.nonzero((bits <= radius) & (small >= similarity * large) & (i[:, None] < span[None, :]))
+        same = (sketches[i[x]] == sketches[span[y]]).sum(1) >= SKETCH // 2
+        near.append(np.stack([bits[x, y][same].astype(np.int64), i[x][same], span[y][same]]))
+    pairs = np.concatenate(near, 1) if near else np.empty((3, 0), np.int64)
+    for _, i, j in pairs[:, np.argsort(pairs[0], kind="stable")].T.tolist():
+        if forest.root(i) != forest.root(j):
+            both = len(np.intersect1d(shingles[i], shingles[j], assume_unique=True))
+            if both >= similarity * (len(shingles[i]) + len(shingles[j]) - both):
+                forest.add(np.array([i]), np.array([j]))
+    return forest.links
+
+
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 24, tile: int = 4096) -> DataFrame:
+    """doc_id, text_hash, keep: for each row of ``docs``, whether it stands for its group of near copies.
+
+    Near copies have word shingles with a Jaccard similarity of ``similarity`` or more; groups are the components
+    of such links, and the row with the smallest doc_id (then text hash) stands for its group. Rows with one set
+    of shingles are one node before any comparison. Fingerprints of near copies differ by too many bits for the
+    population counts to tell them apart from others, so tiles here hold documents that share one of six least
+    shingles (two at the bound share none with a chance of 0.2**6, or 6 in 100,000; more similar ones hardly
+    ever), ``tile`` at most, with every pair of blocks of one tile compared. In a tile, pairs are compared by
+    exclusive-or and bit counts (``radius`` lies over four deviations beyond what the bound makes likely) and
+    settled by exact Jaccard similarity. A least shingle that only one document has costs no comparison.
+
+    Null texts are empty; texts without words are copies of each other. Rows that repeat an id and text count
+    once: the caller drops them by (doc_id, text_hash). An empty table gives an empty table.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for text in batch["text"]:
+                h = shingle_hashes(text, words)
+                least = [int((h * m).min()) for m in _MIX.tolist()] if len(h) else [0] * SKETCH
+                found.append((int(np.bitwise_xor.reduce(h * _MIX[0] ^ (h >> np.uint64(31)))) if len(h) else 0, _sign(h), len(h), np.array(least, np.uint64).view(np.int64).tolist()))
+            frame = pd.DataFrame(found, columns=["node", "fp", "size", "sketch"], index=batch.index)
+            for c in ("node", "fp"):
+                frame[c] = np.array(frame[c].tolist(), np.uint64).view(np.int64)
+            yield pd.concat([batch[["doc_id", "text_hash"]], frame], axis=1)
+
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    marked = materialise(own.mapInPandas(run, "doc_id long, text_hash long, node long, fp long, size int, sketch array<long>"), "sketches")
+    nodes = materialise(marked.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.min(F.struct("size", "fp", "sketch")).alias("of")), "nodes")
+    slots = nodes.where("of.size > 0").select("node", F.posexplode(F.slice("of.sketch", 1, TILES_OF)).alias("slot", "value"))
+    shared = slots.groupBy("slot", "value").agg(F.count("*").alias("n")).where("n > 1")
+    placed = materialise(slots.join(shared, ["slot", "value"]).withColumn("blocks", F.ceil(F.col("n") / tile).cast("int")).withColumn("block", F.pmod(F.xxhash64("node", "slot"), "blocks").cast("int")).select("node", "slot", "value", "blocks", "block"), "placed")
+
+    # the shingles of those documents that share a tile with another
+    wanted = placed.select("node").distinct()
+    texts = own.join(nodes.join(wanted, "node").select(F.col("least.doc_id").alias("of_doc"), F.col("least.text_hash").alias("of_hash"), "node", "of"), F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_hash") == F.col("of_hash"))).dropDuplicates(["node"])
+
+    def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"node": batch["node"], "fp": batch["fp"], "sketch": batch["sketch"], "shingles": [shingle_hashes(x, words).tobytes() for x in batch["text"]]})
+
+    full = texts.select("node", "of.fp", "of.sketch", "text").mapInPandas(hashes, "node long, fp long, sketch array<long>, shingles binary")
+    members = placed.join(full, "node")
+    # every pair of blocks of one tile: a block goes to the pairs that it is in
+    paired = members.withColumn("pair", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("a"), F.greatest(k, F.col("block")).alias("b")))))
+
+    def compare(key: tuple, batch: pd.DataFrame) -> pd.DataFrame:
+        batch = batch.sort_values(["second", "node"], kind="stable")
+        cut = int((~batch["second"]).sum())
+        links = alike(batch["fp"].to_numpy(np.int64).view(np.uint64), np.array(batch["sketch"].tolist(), np.int64).reshape(len(batch), -1), np.array([len(x) // 8 for x in batch["shingles"]]), [np.frombuffer(x, "<u8") for x in batch["shingles"]], slice(cut if key[3] != key[4] else 0, len(batch)), similarity, radius)
+        node = batch["node"].to_numpy(np.int64)
+        return pd.DataFrame({"u": node[[a for a, _ in links]], "v": node[[b for _, b in links]]}, dtype="int64")
+
+    links = paired.select("slot", "value", "blocks", F.col("pair.a").alias("a"), F.col("pair.b").alias("b"), (F.col("block") > F.col("pair.a")).alias("second"), "node", "fp", "sketch", "shingles").groupBy("slot", "value", "blocks", "a", "b").applyInPandas(compare, "u long, v long")
+    found = components(links).withColumnRenamed("node", "of_node")
+    named = marked.select("doc_id", "text_hash", "node").join(found, F.col("node") == F.col("of_node"), "left").withColumn("component", F.coalesce("component", "node"))
+    least = named.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("stands"))
+    return named.join(least, "component").select("doc_id", "text_hash", (F.struct("doc_id", "text_hash").eqNullSafe(F.col("stands"))).alias("keep"))
