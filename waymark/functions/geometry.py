@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EARTH_M, DEGREE_M = 6_371_000.0, 111_320.0
@@ -111,22 +111,26 @@ def on_segment(a: Column, b: Column, p: Column, eps: float) -> Column:
     return inside & (off <= eps)
 
 
-def intersection(a: Column, b: Column, c: Column, d: Column, eps: float) -> Column:
-    """Where segments ab and cd meet, or null.
+def with_intersection(df: DataFrame, out: str, names: tuple[str, str, str, str], eps: float) -> DataFrame:
+    """``df`` with ``out``: the point where segments ab and cd (point columns ``names``) meet, or null.
 
     Parallel ones meet only where an end of one lies on the other (the first of c, d, a, b that does); what is
-    within ``eps`` of an end is that end, so that its key is the end's.
+    within ``eps`` of an end is that end, so that its key is the end's. Steps are columns of their own: each is used
+    several times, and written out in one expression the generated code would not compile.
     """
-    rx, ry, sx, sy = b["x"] - a["x"], b["y"] - a["y"], d["x"] - c["x"], d["y"] - c["y"]
-    qx, qy = c["x"] - a["x"], c["y"] - a["y"]
-    area = cross(rx, ry, sx, sy)
-    t, u = cross(qx, qy, sx, sy) / area, cross(qx, qy, rx, ry) / area
+    a, b, c, d = (F.col(n) for n in names)
+    v = [f"{out}_{n}" for n in ("rx", "ry", "sx", "sy", "qx", "qy", "area", "t", "u", "x", "y")]
+    rx, ry, sx, sy, qx, qy, area, t, u, x, y = (F.col(n) for n in v)
+    df = df.withColumns(dict(zip(v[:6], (b["x"] - a["x"], b["y"] - a["y"], d["x"] - c["x"], d["y"] - c["y"], c["x"] - a["x"], c["y"] - a["y"]), strict=True)))
+    df = df.withColumn(v[6], cross(rx, ry, sx, sy))
+    safe = F.when(F.abs(area) >= 1e-12, area)
+    df = df.withColumns({v[7]: cross(qx, qy, sx, sy) / safe, v[8]: cross(qx, qy, rx, ry) / safe})
+    df = df.withColumns({v[9]: a["x"] + t * rx, v[10]: a["y"] + t * ry})
     meets = t.between(-1e-12, 1 + 1e-12) & u.between(-1e-12, 1 + 1e-12)
-    x, y = a["x"] + t * rx, a["y"] + t * ry
     close = lambda p: (x - p["x"]) * (x - p["x"]) + (y - p["y"]) * (y - p["y"]) <= eps * eps
     proper = F.when(close(d), d).when(close(c), c).when(close(b), b).when(close(a), a).otherwise(point(x, y))
     touch = F.when(on_segment(a, b, c, eps), c).when(on_segment(a, b, d, eps), d).when(on_segment(c, d, a, eps), a).when(on_segment(c, d, b, eps), b)
-    return F.when(F.abs(area) < 1e-12, touch).when(meets, proper)
+    return df.withColumn(out, F.when(F.abs(area) < 1e-12, touch).when(meets, proper)).drop(*v)
 
 
 def cell_size(minx: float, miny: float, maxx: float, maxy: float) -> float:

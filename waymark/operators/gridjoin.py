@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import boxes_meet
+from ..plans.steps import kept
 
 
 def with_cells(df: DataFrame, box: str, size: float, reach: float = 0.0) -> DataFrame:
@@ -54,11 +55,11 @@ def k_nearest(points: DataFrame, nodes: DataFrame, x: str, y: str, k: int, size:
         flat = flat / F.greatest(F.abs(F.cos(F.radians(F.col(y)))), F.lit(1e-6)) if degrees else flat
         # what lies outside the searched ring is farther than ``reach``, so with k inside it nothing was missed
         settled = ranked.groupBy("point_id").agg(F.count("*").alias("n"), F.max(flat).alias("far")).where(F.lit(last) | ((F.col("n") >= k) & (F.col("far") <= reach / 2))).select("point_id")
-        done = ranked.join(settled, "point_id", "left_semi")
+        done = kept(ranked.join(settled, "point_id", "left_semi"), "nearest")
         found = done if found is None else found.unionByName(done)
         if last:
             return found
-        left = left.join(settled, "point_id", "left_anti")
+        left = kept(left.join(done.select("point_id"), "point_id", "left_anti"), "left")
         if left.isEmpty():
             return found
         reach *= 4

@@ -6,13 +6,12 @@ coordinates rounded to ``digits`` as longs, so that joins on points are exact.
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import POINT, bbox, boxes_meet, cell_size, feature_bbox, intersection, length_m, nearest_on_segment, pairs, projected, rounded, unprojected
+from ..functions.geometry import POINT, bbox, boxes_meet, cell_size, feature_bbox, length_m, nearest_on_segment, pairs, projected, rounded, unprojected, with_intersection
+from ..plans.steps import kept
 from .gridjoin import box_join, with_cells
 
 LINE = "fid string, part int, pts array<struct<x:double,y:double>>"
@@ -74,7 +73,7 @@ def crossings(layer: DataFrame, digits: int = 6, cell: float | None = None) -> D
     left = own.select(F.col("fid").alias("fid1"), F.struct("part", "seg").alias("s1"), F.col("a").alias("a1"), F.col("b").alias("b1"), F.col("bb").alias("bb1"))
     right = own.select(F.col("fid").alias("fid2"), F.struct("part", "seg").alias("s2"), F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("bb").alias("bb2"))
     met = box_join(left, right, "bb1", "bb2", size, F.col("fid1") < F.col("fid2"))
-    met = met.withColumn("p", intersection(F.col("a1"), F.col("b1"), F.col("a2"), F.col("b2"), eps)).where("p is not null").withColumn("k", _key(F.col("p"), digits))
+    met = with_intersection(met, "p", ("a1", "b1", "a2", "b2"), eps).where("p is not null").withColumn("k", _key(F.col("p"), digits))
     ends = _ends(layer, digits).select(F.col("fid").alias("end_fid"), F.col("k").alias("end_k")).distinct()
     met = met.join(ends.withColumnsRenamed({"end_fid": "e1", "end_k": "k1"}), (F.col("fid1") == F.col("e1")) & (F.col("k") == F.col("k1")), "left")
     met = met.join(ends.withColumnsRenamed({"end_fid": "e2", "end_k": "k2"}), (F.col("fid2") == F.col("e2")) & (F.col("k") == F.col("k2")), "left")
@@ -151,17 +150,6 @@ def split(layer: DataFrame, cuts: DataFrame, name: str, digits: int = 6) -> Data
     return joined.where("marks is null").select("fid", "part", "pts").unionByName(named)
 
 
-def _kept(df: DataFrame, label: str) -> DataFrame:
-    """Write a step of an iteration to the session's checkpoint folder, so that lineage does not grow with the rounds."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df.cache()
-    path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def noded(layer: DataFrame, kinds: tuple[str, ...] = ("cross_without_node", "endpoint_on_segment"), digits: int = 6, rounds: int = 100, nodes_per_line: int = 0) -> DataFrame:
     """``layer`` split until no issue of ``kinds`` is left, or ``rounds`` (1 to 100) are over.
 
@@ -173,10 +161,10 @@ def noded(layer: DataFrame, kinds: tuple[str, ...] = ("cross_without_node", "end
         cuts = nodes_on_lines(layer, issues.select("ix", "iy"), digits)
         if nodes_per_line > 0:
             cuts = cuts.withColumn("row", F.dense_rank().over(Window.partitionBy("fid").orderBy("ix", "iy"))).where(F.col("row") <= nodes_per_line).drop("row")
-        cuts = _kept(cuts, "cuts")
+        cuts = kept(cuts, "cuts")
         if cuts.isEmpty():
             break
-        layer = _kept(split(layer, cuts, f"__split__it{i}__", digits), "layer")
+        layer = kept(split(layer, cuts, f"__split__it{i}__", digits), "layer")
     return layer
 
 
@@ -222,19 +210,19 @@ def repair(layer: DataFrame, delete_m: float = 100.0, trim_m: float = 50.0, conn
     original = layer.select("fid").distinct()
     out = noded(layer, digits=digits, rounds=rounds, nodes_per_line=nodes_per_line)
     if trim_m > 0:
-        out = _kept(trimmed(out, original, trim_m, digits), "trimmed")
+        out = kept(trimmed(out, original, trim_m, digits), "trimmed")
     links = layer.sparkSession.createDataFrame([], f"{LINE}, source_id string, target_id string")
     if connect_m > 0:
-        links = _kept(connectors(out, connect_m, digits), "links")
+        links = kept(connectors(out, connect_m, digits), "links")
         if not links.isEmpty():
-            out = noded(_kept(out.unionByName(links.select("fid", "part", "pts")), "linked"), digits=digits, rounds=rounds, nodes_per_line=nodes_per_line)
+            out = noded(kept(out.unionByName(links.select("fid", "part", "pts")), "linked"), digits=digits, rounds=rounds, nodes_per_line=nodes_per_line)
             if trim_m > 0:
-                out = _kept(trimmed(out, original, trim_m, digits), "trimmed")
+                out = kept(trimmed(out, original, trim_m, digits), "trimmed")
     if delete_m > 0:
         loose = dangling(out, digits).groupBy("fid", "part").agg(F.count("*").alias("n")).where("n = 2")
         short = out.withColumn("m", length_m(F.col("pts"))).where(F.col("m") < delete_m).select("fid", "part")
         gone = loose.join(short, ["fid", "part"], "left_semi").select("fid").distinct().join(original, "fid", "left_semi")
-        out = _kept(out.join(gone, "fid", "left_anti"), "repaired")
+        out = kept(out.join(gone, "fid", "left_anti"), "repaired")
     else:
         gone = original.limit(0)
     root = F.substring_index("fid", "__split__", 1)
@@ -253,7 +241,7 @@ def repair(layer: DataFrame, delete_m: float = 100.0, trim_m: float = 50.0, conn
 def repair_crossings(layer: DataFrame, digits: int = 6) -> DataFrame:
     """``layer`` split once at its crossings without nodes; pieces are called ``{fid}__split__{part}__{k}``."""
     nodes = crossings(layer, digits).where("kind = 'cross_without_node'").select("ix", "iy")
-    return split(layer, _kept(nodes_on_lines(layer, nodes, digits), "cuts"), "__split__", digits)
+    return split(layer, kept(nodes_on_lines(layer, nodes, digits), "cuts"), "__split__", digits)
 
 
 def applied(features: DataFrame, repaired: dict[str, DataFrame]) -> DataFrame:

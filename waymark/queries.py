@@ -269,7 +269,8 @@ def _(spark, d):
     own = lines(spark, d).where("seq < 200").select("fid", "seq", F.element_at("pts", 1).alias("p"), F.element_at("pts", 2).alias("q"))
     a, b = own.where("seq % 2 = 0").toDF("a", "s1", "p1", "q1"), own.where("seq % 2 = 1").toDF("b", "s2", "p2", "q2")
     met = a.withColumn("bb1", G.bbox(F.array("p1", "q1")))
-    met = gridjoin.box_join(met, b.withColumn("bb2", G.bbox(F.array("p2", "q2"))), "bb1", "bb2", 0.002).withColumn("m", G.intersection(F.col("p1"), F.col("q1"), F.col("p2"), F.col("q2"), 5e-7)).where("m is not null")
+    met = gridjoin.box_join(met, b.withColumn("bb2", G.bbox(F.array("p2", "q2"))), "bb1", "bb2", 0.002)
+    met = G.with_intersection(met, "m", ("p1", "q1", "p2", "q2"), 5e-7).where("m is not null")
     return met.select("a", "b", G.rounded(F.col("m.x"), 5).alias("x"), G.rounded(F.col("m.y"), 5).alias("y"))
 
 
