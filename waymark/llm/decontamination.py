@@ -106,7 +106,9 @@ def frequencies(index: DataFrame) -> dict[int, int]:
 def _near(list_: np.ndarray, wanted: np.ndarray, slop: int) -> np.ndarray:
     """Which of ``wanted`` have a posting within ``slop`` words."""
     i = np.searchsorted(list_, wanted - slop)
-    return list_[np.minimum(i, len(list_) - 1)] <= wanted + slop if len(list_) else np.zeros(len(wanted), bool)
+    there = i < len(list_)
+    there[there] = list_[i[there]] <= wanted[there] + slop
+    return there
 
 
 def search(index: DataFrame, tests: Phrases, slop: int = 0) -> DataFrame:
