@@ -157,6 +157,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, seed: int
 
 #: Least shingles kept of each document by ``near_copies``: the first few choose tiles, all estimate likeness.
 SKETCH, TILES_OF = 16, 6
+#: From so many candidate pairs of a tile on, all its similarities are computed together.
+MANY_PAIRS = 20_000
 _MIX = np.random.default_rng(9).integers(1 << 62, size=SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -197,15 +199,44 @@ def alike(fps: np.ndarray, sketches: np.ndarray, sizes: np.ndarray, shingles: li
         same = (sketches[i[x]] == sketches[span[y]]).sum(1) >= SKETCH // 2
         near.append(np.stack([bits[x, y][same].astype(np.int64), i[x][same], span[y][same]]))
     pairs = np.concatenate(near, 1) if near else np.empty((3, 0), np.int64)
-    for _, i, j in pairs[:, np.argsort(pairs[0], kind="stable")].T.tolist():
-        if forest.root(i) != forest.root(j):
-            both = len(np.intersect1d(shingles[i], shingles[j], assume_unique=True))
-            if both >= similarity * (len(shingles[i]) + len(shingles[j]) - both):
-                forest.add(np.array([i]), np.array([j]))
+    pairs = pairs[1:, np.argsort(pairs[0], kind="stable")]
+    if pairs.shape[1] > MANY_PAIRS:  # all at once, by products of the documents' incidence with the shingles
+        shared = _shared_counts(shingles)
+        both = shared[pairs[0], pairs[1]]
+        pairs = pairs[:, both >= similarity * (sizes[pairs[0]] + sizes[pairs[1]] - both)]
+        certain = True
+    else:
+        certain = False
+    while pairs.shape[1]:
+        root = np.array([forest.root(k) for k in range(n)])
+        pairs = pairs[:, root[pairs[0]] != root[pairs[1]]]
+        for i, j in pairs[:, :512].T.tolist():
+            if forest.root(i) != forest.root(j):
+                both = 0 if certain else len(np.intersect1d(shingles[i], shingles[j], assume_unique=True))
+                if certain or both >= similarity * (len(shingles[i]) + len(shingles[j]) - both):
+                    forest.add(np.array([i]), np.array([j]))
+        pairs = pairs[:, 512:]
     return forest.links
 
 
-def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 24, tile: int = 4096) -> DataFrame:
+def _shared_counts(shingles: list[np.ndarray], columns: int = 1024) -> np.ndarray:
+    """How many shingles each two documents share; those of one document alone are left out first."""
+    owner = np.repeat(np.arange(len(shingles)), [len(x) for x in shingles])
+    _, place, times = np.unique(np.concatenate(shingles), return_inverse=True, return_counts=True)
+    keep = times[place] > 1
+    owner, place = owner[keep], np.unique(place[keep], return_inverse=True)[1]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    out = np.zeros((len(shingles), len(shingles)), np.float32)
+    for a in range(0, int(place[-1]) + 1 if len(place) else 0, columns):
+        low, high = np.searchsorted(place, (a, a + columns))
+        part = np.zeros((len(shingles), columns), np.float32)
+        part[owner[low:high], place[low:high] - a] = 1
+        out += part @ part.T
+    return np.rint(out).astype(np.int64)
+
+
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 24, tile: int = 2048) -> DataFrame:
     """doc_id, text_hash, keep: for each row of ``docs``, whether it stands for its group of near copies.
 
     Near copies have word shingles with a Jaccard similarity of ``similarity`` or more; groups are the components
