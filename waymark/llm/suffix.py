@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from ._shared import groups_of, materialise, released
 
-#: Bytes of segments sorted at once. An anchor with more goes window by window instead.
+#: Bytes of segments sorted at once. Segments of an anchor with more are told apart by a
+#: longer anchor, and if that still has more, window by window.
 BATCH = 1 << 20
 _FIRST = -(1 << 63)
 _rng = np.random.default_rng(20)
@@ -42,6 +43,36 @@ def _powers(n: int) -> list[np.ndarray]:
     return _POWERS
 
 
+def _gram_hashes(buffer: bytes, gram: int) -> np.ndarray:
+    """A hash of the ``gram`` bytes at each place, from one running sum."""
+    n = len(buffer)
+    power, inverse = _powers(n)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(_TABLE[np.frombuffer(buffer, np.uint8)] * power[:n])])
+    h = (sums[gram:] - sums[:-gram]) * inverse[: n - gram + 1]
+    h ^= h >> np.uint64(32)
+    h *= _FACTOR
+    h ^= h >> np.uint64(29)
+    return h
+
+
+def finer(anchor: int, start: int, windows: int, text: bytes, length: int, gram: int) -> list[tuple[int, int, int, bytes]]:
+    """(anchor, start, windows, text): a segment's windows by what half of their rest lies left of, or right of, the anchor.
+
+    Every window holds its anchor and at least half of the other bytes on one side; windows that hold them on the left
+    (else on the right) get an anchor that is a hash of those too. Equal windows fall on one side, with one anchor.
+    """
+    import xxhash
+
+    half = (length - gram) // 2
+    place = int(np.flatnonzero(_gram_hashes(text[: length], gram).view(np.int64) == anchor)[0])
+    left = min(windows, max(0, place - half + 1))  # windows that start ``half`` or more before the anchor
+    out = []
+    for first, n, side, context in ((0, left, b"l", text[max(0, place - half) : place + gram]), (left, windows - left, b"r", text[place : place + length - half])):
+        if n:
+            out.append((int(np.uint64(xxhash.xxh3_64_intdigest(side + context)).view(np.int64)), start + first, n, text[first : first + n + length - 1]))
+    return out
+
+
 def anchors(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The segments of ``texts``: (text, start, windows, anchor hash, segment hash)."""
     import xxhash
@@ -53,12 +84,7 @@ def anchors(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np.
         return empty, empty, empty, empty, empty
     sizes = np.array([len(t) for t in texts], np.int64)
     begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    power, inverse = _powers(n)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(_TABLE[np.frombuffer(buffer, np.uint8)] * power[:n])])
-    h = (sums[gram:] - sums[:-gram]) * inverse[: n - gram + 1]
-    h ^= h >> np.uint64(32)
-    h *= _FACTOR
-    h ^= h >> np.uint64(29)
+    h = _gram_hashes(buffer, gram)
     least = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
     width, reach = length - gram + 1, 1
     while reach * 2 <= width:
@@ -246,54 +272,75 @@ def repeated_spans(docs: DataFrame, length: int = 100, gram: int = 20) -> DataFr
 
     moved = docs.join(lists, ["doc_id", "copy"]).mapInPandas(fetch, "doc_id long, copy int, start long, windows long, anchor long, text binary")
 
-    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    placed = "doc_id long, copy int, start long, end long, windows long, anchor long, text binary, w1 long, w2 long"
+
+    def settle(level: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Spans (end set) of rows that come by anchor and text; of an anchor with too much, finer rows or single windows."""
         import xxhash
 
+        none = {"end": -1, "windows": 0, "anchor": 0, "text": b"", "w1": 0, "w2": 0}
         held: list[pd.DataFrame] = []
-        size, hot = 0, None
+        # bytes held, those of the last anchor, that anchor, one that has too much, the last row's anchor and text
+        size, group, key, hot, last = 0, 0, None, None, None
 
-        def spans() -> pd.DataFrame:
-            return later_windows(pd.concat(held, ignore_index=True), length).assign(w1=0, w2=0)
+        def shaped(frame: pd.DataFrame) -> pd.DataFrame:
+            return frame.assign(**{k: v for k, v in none.items() if k not in frame})
 
-        def singly(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        def apart(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
             for part in range(0, len(rows), 2000):
                 out = []
-                for doc, copy, start, n, text in rows[["doc_id", "copy", "start", "windows", "text"]].iloc[part : part + 2000].itertuples(index=False):
-                    for i in range(n):
-                        d = xxhash.xxh3_128_digest(text[i : i + length])
-                        out.append((doc, copy, start + i, -1, *np.frombuffer(d, np.int64)))
-                yield pd.DataFrame(out, columns=["doc_id", "copy", "start", "end", "w1", "w2"])
+                for doc, copy, start, n, anchor, text in rows[["doc_id", "copy", "start", "windows", "anchor", "text"]].iloc[part : part + 2000].itertuples(index=False):
+                    if level == 1:
+                        out += [(doc, copy, s, -1, m, k, t, 0, 0) for k, s, m, t in finer(anchor, start, n, text, length, gram)]
+                    else:
+                        out += [(doc, copy, start + i, -1, 0, 0, b"", *np.frombuffer(xxhash.xxh3_128_digest(text[i : i + length]), np.int64)) for i in range(n)]
+                yield pd.DataFrame(out, columns=["doc_id", "copy", "start", "end", "windows", "anchor", "text", "w1", "w2"])
 
         for batch in batches:
-            keys = batch["anchor"].to_numpy(np.int64)
-            for a, b in zip(*(lambda e: (np.append(0, e), np.append(e, len(keys))))(np.flatnonzero(keys[1:] != keys[:-1]) + 1), strict=True):
-                rows = batch.iloc[a:b]
-                if hot is not None and keys[a] == hot:
-                    yield from singly(rows)
+            keys, texts = batch["anchor"].to_numpy(np.int64), batch["text"].tolist()
+            # of equal texts of one anchor, the first stays and the others go whole
+            again = np.array([(k, t) == (last if i == 0 else (keys[i - 1], texts[i - 1])) for i, (k, t) in enumerate(zip(keys.tolist(), texts, strict=True))], bool)
+            last = (keys[-1], texts[-1]) if len(keys) else last
+            if again.any():
+                gone = batch[again]
+                start = gone["start"].to_numpy(np.int64)
+                yield shaped(_runs(gone["doc_id"].to_numpy(np.int64), gone["copy"].to_numpy(np.int64), start, start + gone["windows"].to_numpy(np.int64) + length - 1))
+                batch, keys = batch[~again], keys[~again]
+            upto = np.append(0, np.cumsum([len(x) for x in batch["text"]])).tolist()
+            edges, done = (np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), 0
+            for a, b in zip([0, *edges], [*edges, len(keys)], strict=True) if len(keys) else ():
+                now = int(keys[a])
+                if now == hot:
+                    yield from apart(batch.iloc[a:b])
+                    done = b
                     continue
-                hot = None
-                if held and size >= BATCH // 2 and held[-1]["anchor"].iloc[0] != keys[a]:
-                    yield spans()
-                    held, size = [], 0
-                held.append(rows)
-                size += int(rows["text"].map(len).sum())
-                if size > 2 * BATCH:  # one anchor with more than a batch
-                    own = [x for x in held if x["anchor"].iloc[0] == keys[a]]
-                    held = [x for x in held if x["anchor"].iloc[0] != keys[a]]
-                    for x in own:
-                        yield from singly(x)
-                    hot, size = keys[a], sum(int(x["text"].map(len).sum()) for x in held)
+                if now != key:
+                    if size >= BATCH // 2:
+                        yield shaped(later_windows(pd.concat([*held, batch.iloc[done:a]], ignore_index=True), length))
+                        held, size, done = [], 0, a
+                    key, group, hot = now, 0, None
+                size, group = size + upto[b] - upto[a], group + upto[b] - upto[a]
+                if group > 2 * BATCH:  # one anchor with more than a batch
+                    whole = pd.concat([*held, batch.iloc[done:b]], ignore_index=True)
+                    yield from apart(whole[whole["anchor"] == now])
+                    held, size, hot, done = [whole[whole["anchor"] != now]], size - group, now, b
+            held.append(batch.iloc[done:])
+        held = [x for x in held if len(x)]
         if held:
-            yield spans()
+            yield shaped(later_windows(pd.concat(held, ignore_index=True), length))
+
+    def settled(rows: DataFrame, level: int) -> DataFrame:
+        dealt = rows.repartition("anchor").sortWithinPartitions("anchor", "text", "doc_id", "copy", "start")
+        return materialise(dealt.mapInPandas(lambda batches: settle(level, batches), placed), "settled")
 
-    settled = moved.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "copy", "start").mapInPandas(settle, "doc_id long, copy int, start long, end long, w1 long, w2 long")
-    settled = materialise(settled, "settled")
+    first_level = settled(moved, 1)
     released(spark)
-    singles = settled.where("end < 0")
+    second_level = settled(first_level.where("windows > 0").select("doc_id", "copy", "start", "windows", "anchor", "text"), 2)
+    singles = second_level.where("end < 0")
     first = singles.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "copy", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
     later = singles.join(first, ["w1", "w2"]).where(F.struct("doc_id", "copy", "start") > F.col("first")).select("doc_id", "copy", "start", (F.col("start") + length).alias("end"))
     columns = ["doc_id", "copy", "start", "end"]
-    return found.where("decided").select(*columns).unionByName(settled.where("end >= 0").select(*columns)).unionByName(later)
+    return found.where("decided").select(*columns).unionByName(first_level.where("end >= 0").select(*columns)).unionByName(second_level.where("end >= 0").select(*columns)).unionByName(later)
 
 
 def deduplicated(docs: DataFrame, length: int = 100, gram: int = 20, texts: bool = False) -> DataFrame:
