@@ -31,15 +31,16 @@ HUGE, CHUNK, OVERLAP = 65_536, 32_768, 256
 REMEMBERED = 200_000
 
 
-#: A contraction ('s, 't ...) needs an apostrophe, so letters and one sign are never one.
-_STEM = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+#: Letters that normalisation leaves as they are, but for their case.
+_LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_SIGNED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]{1,16})")
 
 
 class JsonCodec:
     """A ``.json`` file of the tokenizers library."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
@@ -51,12 +52,16 @@ class JsonCodec:
         added = kind.get("added_tokens") or []
         #: White space is dropped before the merges and no added token holds or eats any: a text's ids are its words' ids.
         self.by_word = first.get("type") == "Split" and first.get("behavior") == "Removed" and bool(first.get("invert")) and not any(a["lstrip"] or a["rstrip"] or a["single_word"] or " " in a["content"] for a in added)
-        #: Which ids end a word, where the merges mark that; and the ids of the signs that may follow a stem.
-        self.ending, mark = None, (kind.get("model") or {}).get("end_of_word_suffix")
-        if self.by_word and mark:
+        #: For stems: which ids end a word, where the merges mark that, and the same merges behind a split at spaces alone.
+        self.ending, self.plain, mark = None, None, (kind.get("model") or {}).get("end_of_word_suffix")
+        last = ((kind.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[-1]
+        if self.by_word and mark and last.get("type") == "ByteLevel" and not last.get("add_prefix_space") and not last.get("use_regex"):
             self.ending = np.zeros(self.library.get_vocab_size(), bool)
             self.ending[[i for x, i in self.library.get_vocab().items() if x.endswith(mark)]] = True
-        self.signs = {x: np.array(self.library.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in ("", ".", ",")}
+            self.plain = Tokenizer.from_file(path)
+            self.plain.normalizer = normalizers.Sequence([])
+            self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.signs = {"": b""}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -70,53 +75,64 @@ class JsonCodec:
 
     def _words(self, texts: list[str]) -> list[np.ndarray]:
         out = []
-        for a, b in groups_of(texts, 1 << 23):
+        for a, b in groups_of(texts, 1 << 24):
             split = [x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for x in texts[a:b]]
             seen = set().union(*split)
             seen.discard("")
-            known = {w: ids for w in seen if (ids := self.young.get(w) or self.old.get(w)) is not None}
-            self._learn([w for w in seen if w not in known], known)
-            for w, ids in known.items():
-                if len(w) < 64:
-                    self.young[w] = ids
+            known = self._learned(seen)
             known[""] = b""
             out += [np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4") for words in split]
-            if len(self.young) > REMEMBERED:
-                self.old, self.young = self.young, {}
         return out
 
-    def _learn(self, words: list[str], known: dict[str, bytes]) -> None:
-        """Add the ids of ``words`` to ``known``.
+    def _learned(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of each of ``words``.
 
-        A word of Latin letters, and a full stop or comma or nothing, has the ids of its lowered letters and those
-        of the sign: the splitting keeps them apart and the normalisation lowers each letter by itself. Many such
-        stems are encoded together; each ends with the one token that ends a word.
+        A word of Latin letters, and a run of ASCII signs or nothing, has the ids of its lowered letters and those of
+        the run: the splitting keeps them apart (a contraction has letters after its apostrophe) and the
+        normalisation lowers each letter by itself. Many such stems are encoded together, split at spaces alone; each ends with the one token that ends a word.
         """
-        stems: dict[str, list[tuple[str, str]]] = {}
-        rest = []
+        known: dict[str, bytes] = {}
+        whole_words, stems, signs, rest = [], [], [], []  # of a word with a stem, each
         for w in words:
-            if self.ending is not None and (m := _STEM.fullmatch(w)):
-                stems.setdefault(m[1].lower(), []).append((w, m[2]))
+            stem, sign = (w[:-1], w[-1]) if w[-1] in ".," else (w, "")
+            if not stem.isalpha() and (m := _SIGNED.fullmatch(w)):
+                stem, sign = m[1], m[2]
+            if self.plain is not None and stem.isalpha() and (stem.isascii() or _LATIN.fullmatch(stem)):
+                whole_words.append(w)
+                stems.append(stem.lower())
+                signs.append(sign)
             else:
                 rest.append(w)
-        names = list(stems)
-        for i in range(0, len(names), 4096):
-            part = names[i : i + 4096]
-            ids = np.concatenate([np.array(e.ids, "<u4") for e in self.library.encode_batch_fast([" ".join(part[j : j + 256]) for j in range(0, len(part), 256)], add_special_tokens=False)])
-            cuts = np.flatnonzero(self.ending[ids]) + 1
+        for sign in set(signs) - self.signs.keys():
+            self.signs[sign] = np.array(self.library.encode(sign, add_special_tokens=False).ids, "<u4").tobytes()
+        ids, new = {}, []
+        for stem in set(stems):
+            if (own := self.young.get(stem) or self.old.get(stem)) is None:
+                new.append(stem)
+            else:
+                ids[stem] = own
+        for i in range(0, len(new), 4096):
+            part = new[i : i + 4096]
+            found = np.concatenate([np.array(e.ids, "<u4") for e in self.plain.encode_batch_fast([" ".join(part[j : j + 128]) for j in range(0, len(part), 128)], add_special_tokens=False)])
+            cuts = np.flatnonzero(self.ending[found]) + 1
             if len(cuts) != len(part):
-                rest += [w for x in part for w, _ in stems[x]]
-                continue
-            whole, at = ids.tobytes(), 0
-            for x, cut in zip(part, (cuts * 4).tolist(), strict=True):
-                own = whole[at:cut]
+                raise ValueError("a word of the vocabulary ends with other than one token that ends words")
+            whole, at = found.tobytes(), 0
+            for stem, cut in zip(part, (cuts * 4).tolist(), strict=True):
+                ids[stem] = whole[at:cut]
                 at = cut
-                for w, sign in stems[x]:
-                    known[w] = own + self.signs[sign]
+        if len(self.young) > REMEMBERED:
+            self.old, self.young = self.young, {}
+        self.young.update((stem, ids[stem]) for stem in new if len(stem) <= 24)
+        for w, stem, sign in zip(whole_words, stems, signs, strict=True):
+            known[w] = ids[stem] + self.signs[sign] if sign else ids[stem]
+        if len(self.signs) > 10_000:
+            self.signs = {"": b""}
         for i in range(0, len(rest), 4096):
             part = rest[i : i + 4096]
             for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 known[w] = np.array(e.ids, "<u4").tobytes()
+        return known
 
     def ends(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         e = self.library.encode(text, add_special_tokens=False)
