@@ -1 +1,3 @@
-
+"""No operator of this library needs a stream: what comes late or twice in a trajectory is put right by a sort (see
+``waymark.operators.trajectory.increasing_times``). Feature tables can be read and filtered with ``readStream`` as
+they are, since selections are plain Column expressions."""
