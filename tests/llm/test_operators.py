@@ -1,0 +1,269 @@
+"""The operators against brute force, and on odd inputs."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from waymark.llm import decontamination, language, packing, pii, quality, quality_rules, simhash, suffix, tokens, toxicity
+
+WORDS, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, row int, spans string, length long"
+#: Null, empty, blank, repeated rows, a repeated id with another text, a null id, a very long text, and one with other scripts.
+ODD = [
+    (1, None, None, None, None), (2, "", "en", "a", 0), (3, " \n\t ", "en", "a", 4), (4, "the same words again and again in this text", "en", None, 43), (4, "the same words again and again in this text", "en", None, 43),
+    (5, "the same words again and again in this text", "en", "b", 43), (5, "another text of the same id", "fr", "b", 27), (None, "a row without an id, mail me at x.y@example.com", "de", "a", 9),
+    (6, "long " * 30_000 + "x" * 20_000, "en", "c", 170_000), (7, "日本語 ñandú ß É ́ <|endoftext|> 😀", "xx", "c", 9), (8, "+1 (917) 555-2670 or 4111111111111111 or 10.0.0.1", "en", "c", 50),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame([(*r, 1, 2, "x", 3) for r in ODD], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+
+
+def calls(labels, bench):
+    return {
+        "language": lambda d: language.identified(d, PIECES, sample=50, rounds=1),
+        "packing": lambda d: packing.pack(d, WORDS),
+        "suffix": lambda d: suffix.deduplicated(d),
+        "quality": lambda d: quality.classified(d, labels, sample=50),
+        "toxicity": lambda d: toxicity.classified(d, labels, sample=50),
+        "contamination": lambda d: decontamination.contamination(d, bench),
+        "rules": lambda d: quality_rules.filtered(d),
+        "tokens": lambda d: tokens.token_counts(d, WORDS),
+        "simhash": lambda d: simhash.near_duplicates(d),
+        "pii": lambda d: pii.personal_data(d),
+        "copies": lambda d: simhash.near_copies(d),
+    }
+
+
+@pytest.mark.parametrize("name", list(calls(None, None)))
+def test_odd_rows_and_empty_tables(spark, odd, labels, name):
+    bench = spark.createDataFrame([(1, "same words again"), (1, "same words again"), (2, None), (None, "text"), (3, "")], "item_id long, text string")
+    run = calls(labels, bench)[name]
+    got = run(odd).toPandas()
+    if name == "packing":
+        assert (got["piece"] == 0).sum() == len(ODD)
+        assert set(got["doc_id"].dropna()) == {r[0] for r in ODD} - {None}
+    else:
+        assert Counter(None if x != x else int(x) for x in got["doc_id"]) == Counter(r[0] for r in ODD)
+    assert run(odd.limit(0)).count() == 0
+    if name == "contamination":
+        assert [r.n_hit for r in run(odd).where("doc_id = 4").collect()] == [3, 3]
+        assert calls(labels, bench.limit(0))[name](odd).where("n_hit > 0").count() == 0
+
+
+def test_masking_keeps_columns(odd):
+    out = pii.masked(odd)
+    assert out.columns == odd.columns
+    rows = {r.doc_id: r for r in out.collect()}
+    assert rows[8].text == "[PHONE] or [CARD] or [IP]" and rows[None].text.endswith("[EMAIL]")
+    assert rows[1].text is None and (rows[8].row, rows[8].spans, rows[8].fp) == (2, "x", 1)
+
+
+@pytest.mark.parametrize("file", ["word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model", "byte_bpe_50k.tiktoken"])
+def test_spliced_tokens(docs, file):
+    library = tokens.codec(public_tokenizers.path(file))
+    texts = [r.text for r in docs.limit(60).collect()] + ["x" * 3000 + " y", "1 2 3 " * 900, "日本語" * 900, "é ́a " * 700, "<|endoftext|> a" * 300, ""]
+    direct = lambda x: library.library.encode(x, add_special_tokens=False).ids if file.endswith(".json") else library.whole([x])[0].tolist()
+    for huge, chunk, overlap in ((500, 300, 20), (10**9, 1, 1)):
+        for text, ids in zip(texts, tokens.encoded(library, texts, huge, chunk, overlap), strict=True):
+            assert ids.tolist() == direct(text), text[:40]
+
+
+@pytest.mark.parametrize(("n", "low", "high"), [(1, 1, 1), (7, 1, 4096), (300, 1, 4096), (5000, 1, 4096), (2000, 1400, 2200), (3000, 1, 40), (50, 4096, 4096)])
+def test_plan_holds_each_piece_once(n, low, high):
+    sizes = np.random.default_rng(n).integers(low, high + 1, n)
+    lengths, counts = np.unique(sizes, return_counts=True)
+    made = packing.plan(lengths, counts, 4096)
+    used, places = np.zeros(made.sequences, np.int64), []
+    ranks: dict[int, list[int]] = {}
+    for size, lo, hi, base, each, at in zip(*(made.arrays()[k].tolist() for k in ("length", "lo", "hi", "base", "each", "at")), strict=True):
+        ranks.setdefault(size, []).extend(range(lo, hi))
+        for r in range(hi - lo):
+            used[base + r // each] += size
+            places.append((base + r // each, at + r % each * size, size))
+    assert {k: sorted(v) for k, v in ranks.items()} == {int(a): list(range(b)) for a, b in zip(lengths, counts, strict=True)}
+    places.sort()
+    ends: dict[int, int] = {}
+    for s, at, size in places:
+        assert ends.get(s, 0) == at
+        ends[s] = at + size
+    assert used.max() <= 4096
+    least = -(-int(sizes.sum()) // 4096)
+    if low < 1400 and n > 100:
+        assert made.sequences <= least * 1.03 + 2
+
+
+def test_packed_sequences_hold_the_tokens(docs):
+    packed = packing.pack(docs, WORDS, ids=True)
+    whole = {r.sequence_id: r.ids for r in packing.sequences(packed).collect()}
+    library = tokens.codec(WORDS).library
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in packed.collect():
+        ids = [*library.encode(texts[r.doc_id], add_special_tokens=False).ids, 1][r.start : r.start + r.length]
+        assert whole[r.sequence_id][r.offset : r.offset + r.length] == ids
+        assert zlib.crc32(np.array(ids, "<u4").tobytes()) == r.ids_crc32
+
+
+def brute_spans(rows):
+    seen, out = set(), {}
+    for doc, text in sorted(rows):
+        data = text.encode()
+        gone = np.zeros(len(data) + 1, bool)
+        for i in range(len(data) - 99):
+            s = data[i : i + 100]
+            gone[i : i + 100] |= s in seen
+            seen.add(s)
+        gone = gone[:-1]
+        runs = int((np.diff(np.append(False, gone).astype(int)) == 1).sum())
+        out[doc] = (len(data), int(gone.sum()), runs, hashlib.sha256(np.frombuffer(data, np.uint8)[~gone].tobytes()).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("batch", [1 << 20, 3000, 200])
+def test_repeated_bytes(spark, docs, batch, monkeypatch):
+    monkeypatch.setattr(suffix, "BATCH", batch)
+    p = "".join(chr(97 + x) for x in np.random.default_rng(0).integers(26, size=300))
+    rows = [(r.doc_id, r.text) for r in docs.limit(80).collect()]
+    more = [p, "x" + p, p[50:200] + "é" * 200, "a" * 1000, "ab" * 600, "b" * 99, "b" * 100, "b" * 101, "", "日本語" * 100, p[:150] + "\0" * 150 + p[150:]] + [f"{i:05d}" * 8 + p[100:160] + f"{i:04d}" * 20 for i in range(60)]
+    rows += [(5000 + i, t) for i, t in enumerate(more)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == brute_spans(rows)
+
+
+def test_suffix_array():
+    rng = np.random.default_rng(0)
+    for n, letters in ((1, 2), (200, 2), (2000, 3), (500, 1)):
+        data = bytes(rng.integers(letters, size=n, dtype=np.uint8))
+        assert suffix.suffix_array(data, n + 1).tolist() == sorted(range(n), key=lambda i: data[i:])
+
+
+def components(links, n):
+    label = list(range(n))
+    while True:
+        new = list(label)
+        for a, b in links:
+            new[a] = new[b] = min(new[a], new[b])
+        if new == label:
+            return label
+        label = new
+
+
+def test_simhash_components(spark, docs):
+    base = np.random.default_rng(4).integers(1 << 62, size=40, dtype=np.uint64)
+    own = [int(x) for x in base] + [int(x) ^ (1 << k) for k, x in enumerate(base[:20])] + [int(x) ^ 0b111 for x in base[:10]] + [int(base[0]) ^ (1 << k) ^ (1 << 20) for k in range(30, 40)]
+    fps = np.array(own, np.uint64)
+    frame = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long").distinct()
+    for tile in (4096, 3):
+        links = [(r.u, r.v) for r in simhash.near_links(frame, tile=tile).collect()]
+        place = {int(x): i for i, x in enumerate(fps.view(np.int64))}
+        near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 2
+        want = components([(int(a), int(b)) for a, b in zip(*np.nonzero(near), strict=True)], len(fps))
+        assert components([(place[a], place[b]) for a, b in links], len(fps)) == want
+    import xxhash
+
+    for r in simhash.near_duplicates(docs).join(docs.select("doc_id", "text"), "doc_id").limit(20).collect():
+        words = re.findall(rb"[^\x20\x09-\x0D]+", r.text.encode().lower())
+        hashes = [xxhash.xxh64_intdigest(b" ".join(words[i : i + 3]), 42) for i in range(max(1, len(words) - 2))]
+        assert int(r.fingerprint, 16) == sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes))
+
+
+def test_near_copies(spark):
+    words = [f"w{i}" for i in range(400)]
+    edited = lambda at: " ".join("zz" if i in at else w for i, w in enumerate(words))
+    rows = [(1, edited(())), (2, edited((5, 50, 300))), (3, edited(range(0, 400, 9))), (4, " ".join(words[200:] + [f"v{i}" for i in range(200)])), (5, "w1 w2"), (6, "W1  w2")]
+    got = {r.doc_id: r.keep for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: True, 2: False, 3: True, 4: True, 5: True, 6: False}
+
+
+def test_proximity(spark):
+    docs = spark.createDataFrame([(1, "a one b two c three"), (2, "one two three"), (3, "three two one")], "doc_id long, text string")
+    tests = decontamination.Phrases.of([("i", "One two, three")], 10)
+    index = decontamination.build_index(docs, tests.terms)
+    find = lambda slop: sorted(r.doc_id for r in decontamination.search(index, tests, slop).where("n_hit > 0").collect())
+    assert find(0) == [2] and find(2) == [1, 2]
+
+
+def test_personal_data_base(spark):
+    texts = ["a@b.c_d@e.f x", "1.2.3.4.5.6.7.8 256.1.1.1 01.002.3.4", "4111 1111 1111 1111 x 4111-1111-1111-1112", "+12 +1 (917) 555-2670. +1...2......3456789", "é日😀 a.b@c.de 😀 1.2.3.4", "@@ a@b. a@.b a@b.c.", "a" * 20_000, "a." * 9_000 + "@b.c", "1." * 9_000, "1 " * 9_000]
+
+    def luhn(d):
+        return sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
+
+    def brute(t):
+        digits = lambda m: re.sub("[^0-9]", "", m)
+        keep = [lambda m: True, lambda m: all(int(x) <= 255 for x in m.split(".")), lambda m: 13 <= len(digits(m)) <= 19 and luhn(digits(m)), lambda m: 9 <= len(digits(m)) <= 15]
+        raw = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
+        return [(k, m.start(), m.end()) for k in range(4) for m in re.finditer(raw[k], t) if keep[k](m[0])]
+
+    for r in pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        want = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in brute(texts[r.doc_id])) if len(texts[r.doc_id]) < 1000 else None
+        if want is not None:
+            assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+            assert set(want.split(",")) - {""} <= set(r.spans.split(","))
+
+
+def test_segments_are_all_maximal():
+    rng = np.random.default_rng(5)
+
+    def brute(x, low, high):
+        best = max(((sum(x[i:j]), i, j) for i in range(low, high) for j in range(i + 1, high + 1)), key=lambda r: (round(r[0], 9), -r[1]), default=(0, 0, 0))
+        return [] if best[0] <= 1e-9 else [*brute(x, low, best[1]), (best[1], best[2]), *brute(x, best[2], high)]
+
+    for _ in range(100):
+        x = np.where(rng.random(16) < 0.3, rng.random(16) * 3 + 0.5, -0.7)
+        places = np.flatnonzero(x > 0).tolist()
+        assert [s[:2] for s in toxicity.segments(places, x[places].tolist(), 0.7)] == brute(x.tolist(), 0, 16)
+
+
+def test_forward_sums_all_segmentations():
+    pieces = language.vocabulary(PIECES)
+    finder = language.Pieces(pieces)
+    chance = np.random.default_rng(0).random((len(pieces) + 1, 2)) / 1000
+    ids = {p: i + 1 for i, p in enumerate(pieces)}
+
+    def brute(word):
+        word, a = language.MARK + word, [np.ones(2)]
+        for i in range(1, len(word) + 1):
+            a.append(sum((a[i - k] * chance[ids.get(word[i - k : i], 0)] for k in range(1, min(i, language.LONGEST) + 1) if k == 1 or word[i - k : i] in ids), np.zeros(2)))
+        return np.log(a[-1])
+
+    words = ["the", "und", "日本", "q", "straßenbahn", "ééé", "therewithal" * 2]
+    assert np.allclose(language.log_likelihoods(finder, chance, words), [brute(w) for w in words])
+    assert np.isfinite(language.log_likelihoods(finder, chance, ["ab" * 3000, "a"])).all()
+
+
+def test_held_out_quality_of_models(spark):
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    own = language.identified(docs, PIECES).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
+    assert own.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.99
+    for module, name, least in ((quality, "quality", 0.98), (toxicity, "toxic", 0.92)):
+        rows = module.classified(docs, labels).where("held_out").join(labels, "doc_id").select("score", name).toPandas()
+        rank, one = rows["score"].rank(), rows[name] == 1
+        auc = (rank[one].sum() - one.sum() * (one.sum() + 1) / 2) / (one.sum() * (~one).sum())
+        assert auc > least
+
+
+def test_nearness_of_postings():
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        places, wanted, slop = np.unique(rng.integers(0, 60, rng.integers(0, 12))), rng.integers(-5, 70, 20), int(rng.integers(0, 3))
+        assert decontamination._near(places, wanted, slop).tolist() == [any(abs(x - y) <= slop for x in places) for y in wanted]
