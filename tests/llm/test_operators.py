@@ -91,7 +91,7 @@ def test_spliced_tokens(docs, file):
 def test_plan_holds_each_piece_once(n, low, high):
     sizes = np.random.default_rng(n).integers(low, high + 1, n)
     lengths, counts = np.unique(sizes, return_counts=True)
-    made = packing.plan(lengths, counts, 4096)
+    made = packing.shortest_plan(lengths, counts, 4096)
     used, places = np.zeros(made.sequences, np.int64), []
     ranks: dict[int, list[int]] = {}
     for size, lo, hi, base, each, at in zip(*(made.arrays()[k].tolist() for k in ("length", "lo", "hi", "base", "each", "at")), strict=True):
@@ -108,7 +108,7 @@ def test_plan_holds_each_piece_once(n, low, high):
     assert used.max() <= 4096
     least = -(-int(sizes.sum()) // 4096)
     if low < 1400 and n > 100:
-        assert made.sequences <= least * 1.03 + 2
+        assert made.sequences <= least * 1.04 + 2
 
 
 def test_packed_sequences_hold_the_tokens(docs):

@@ -90,6 +90,16 @@ def _configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, most:
     return np.rint(basis.T).astype(np.int64), np.maximum(np.linalg.inv(basis) @ demand, 0)
 
 
+#: Groups, and what share of the capacity a large piece has at least: the plan with the fewest sequences is taken.
+TRIED = ((48, 8), (128, 3), (24, 4))
+
+
+def shortest_plan(lengths: np.ndarray, counts: np.ndarray, capacity: int, tried: tuple[tuple[int, int], ...] = TRIED) -> Plan:
+    """The best of ``plan`` for several group counts and bounds of what is large: few groups leave room that small
+    pieces fill, many leave little where there are few small ones."""
+    return min((plan(lengths, counts, capacity, groups, capacity // share) for groups, share in tried), key=lambda p: p.sequences)
+
+
 def plan(lengths: np.ndarray, counts: np.ndarray, capacity: int, groups: int = 48, large: int | None = None) -> Plan:
     """Pack ``counts[i]`` pieces of ``lengths[i]`` (1 to ``capacity``) into few sequences.
 
@@ -220,7 +230,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int =
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, schema)
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, groups: int = 48, ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, tried: tuple[tuple[int, int], ...] = TRIED, ids: bool = False) -> DataFrame:
     """Per piece of every row of ``docs``: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids).
 
     A row's tokens are its text's ids and then ``end_id``; only what is longer than ``capacity`` is cut. A null
@@ -244,7 +254,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1,
     before = F.broadcast(spark.createDataFrame(table[["length", "part", "before"]].astype({"part": "int32"})))
     order = Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")
     ranked = dealt.withColumn("row", F.row_number().over(order)).join(before, ["length", "part"]).withColumn("rank", F.col("before") + F.col("row") - 1).drop("row", "before", "part", "parts")
-    place = plan(lengths, counts, capacity, groups).arrays()
+    place = shortest_plan(lengths, counts, capacity, tried).arrays()
     sent = spark.sparkContext.broadcast(place)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
