@@ -40,7 +40,7 @@ def features(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = pd.DataFrame([counted(x) for x in batch["text"]], columns=list(COUNTS), index=batch.index, dtype="int64")
-            yield pd.concat([batch[["doc_id", "lang", "source"]], found], axis=1)
+            yield pd.concat([batch[["doc_id", "lang", "source"]].astype({"lang": object, "source": object}), found], axis=1)
 
     return docs.select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in COUNTS))
 

@@ -104,7 +104,7 @@ def _families(rows: DataFrame) -> DataFrame:
                 shingles = {" ".join(own[i : i + 5]).encode() for i in range(max(1, len(own) - 4))}
                 for salt, to in enumerate(keys):
                     to.append(min(zlib.crc32(x, salt) for x in shingles))
-            yield batch.assign(a=keys[0], b=keys[1])
+            yield pd.DataFrame({"text": batch["text"].astype(object), "label": batch["label"], "a": np.array(keys[0], np.int64), "b": np.array(keys[1], np.int64)})
 
     each = rows.mapInPandas(run, "text string, label int, a long, b long")
     once = each.groupBy("label", "a").agg(F.min(F.struct("text", "b")).alias("r")).select("label", "r.text", "r.b")
@@ -121,7 +121,8 @@ def _counts(rows: DataFrame, least: int) -> tuple[dict[str, tuple[int, int]], in
                 for text in batch["text"]:
                     own = {u for w in set(words(text)) for u in units(w)}
                     seen.update(own if only is None else own & only)
-            yield pd.DataFrame({"unit": list(seen), "n": np.array(list(seen.values()), np.int64)})
+            if seen:
+                yield pd.DataFrame({"unit": pd.Series(list(seen), dtype=object), "n": np.array(list(seen.values()), np.int64)})
 
         each = rows.where(F.col("label") == label).select("text").mapInPandas(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
         return {r.unit: r.n for r in (each if only is not None else each.where(F.col("n") >= least)).collect()}
