@@ -201,6 +201,17 @@ def test_proximity(spark):
     assert find(0) == [2] and find(2) == [1, 2]
 
 
+def test_large_test_set_in_parts(spark, docs):
+    texts = [r.text for r in docs.where("text is not null").orderBy("doc_id").limit(12).collect()]
+    bench = spark.createDataFrame([(k, " ".join(t.split()[: 5 + 40 * k])) for k, t in enumerate(texts)] + [(90, texts[0]), (90, texts[0]), (91, None), (None, texts[1])], "item_id long, text string")
+    both = docs.unionByName(docs.limit(3))
+    rows = lambda found: sorted((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in found.collect())
+    for slop in (0, 2):
+        whole = rows(decontamination.contamination(both, bench, slop=slop))
+        assert sum(r[2] > 0 for r in whole) >= 12
+        assert rows(decontamination.contamination(both, bench, slop=slop, test_words=150)) == whole
+
+
 def test_personal_data_base(spark):
     texts = ["a@b.c_d@e.f x", "1.2.3.4.5.6.7.8 256.1.1.1 01.002.3.4", "4111 1111 1111 1111 x 4111-1111-1111-1112", "+12 +1 (917) 555-2670. +1...2......3456789", "é日😀 a.b@c.de 😀 1.2.3.4", "@@ a@b. a@.b a@b.c.", "a" * 20_000, "a." * 9_000 + "@b.c", "1." * 9_000, "1 " * 9_000]
 
