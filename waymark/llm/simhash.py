@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import materialise
@@ -181,9 +182,9 @@ def _sign(hashes: np.ndarray) -> int:
 
 
 def alike(fps: np.ndarray, sketches: np.ndarray, sizes: np.ndarray, shingles: list[np.ndarray], other: slice, similarity: float, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs (i, j) with j in ``other`` and a Jaccard similarity of ``similarity`` or more.
+    """A forest of pairs (i, j) with j in ``other`` and a Jaccard similarity of ``similarity`` or more.
 
-    Pairs are first thinned by exclusive-or and bit counts, sizes, and equal sketch places; what is left is taken
+    A quick first pass, which may miss links but never makes a wrong one. Pairs are first thinned by exclusive-or and bit counts, sizes, and equal sketch places; what is left is taken
     nearest first, and compared exactly unless it is connected already.
     """
     n = len(fps)
@@ -236,17 +237,134 @@ def _shared_counts(shingles: list[np.ndarray], columns: int = 1024) -> np.ndarra
     return np.rint(out).astype(np.int64)
 
 
+#: Documents sampled to tell common shingles, and how many of those are sent to every executor.
+SAMPLED, COMMON = 4000, 200_000
+
+
+def common_shingles(own: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (ascending) of shingles that several documents of a sample share, and in how many; they only set an order."""
+    size = own.count()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for text in batch["text"]:
+                yield pd.DataFrame({"h": shingle_hashes(text, words).view(np.int64)})
+
+    sample = own.where(F.pmod(F.col("text_hash"), F.lit(1_000_000)) < 1_000_000 * min(1.0, SAMPLED / max(1, size))).select("text")
+    rows = sample.mapInPandas(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "h").limit(COMMON).toPandas()
+    hashes = rows["h"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], rows["n"].to_numpy(np.int64)[order]
+
+
+def prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first of a document's shingles in an order that is the same for all documents (common ones last).
+
+    Two sets of that ``similarity`` or more share at least ``similarity`` of the larger, so they share a shingle of
+    the first n - ceil(similarity * n) + 1 of each.
+    """
+    n = len(hashes)
+    often = np.zeros(n, np.int64)
+    if len(common[0]) and n:
+        i = np.minimum(np.searchsorted(common[0], hashes), len(common[0]) - 1)
+        often = np.where(common[0][i] == hashes, common[1][i], 0)
+    return hashes[np.lexsort((hashes, often))][: n - math.ceil(similarity * n - 1e-9) + 1 if n else 0]
+
+
+def candidates(node: np.ndarray, part: np.ndarray, size: np.ndarray, place: np.ndarray, second: np.ndarray | None, similarity: float) -> np.ndarray:
+    """Members (a, b, node) of pairs of components a < b that documents with one shingle in their prefixes may link.
+
+    Of two rows, the sizes must be near enough, and the shingles from this one on (the first that both share, in
+    one of the tiles) enough for the similarity. With ``second``, only pairs of one row of it and one other count.
+    """
+    left = np.arange(len(node)) if second is None else np.flatnonzero(~second)
+    j = np.arange(len(node)) if second is None else np.flatnonzero(second)
+    rows, out = max(1, (1 << 18) // max(1, len(j))), []
+    for at in range(0, len(left), rows):
+        i = left[at : at + rows]
+        small, large = np.minimum(size[i, None], size[None, j]), np.maximum(size[i, None], size[None, j])
+        most = np.minimum(size[i, None] - place[i, None], size[None, j] - place[None, j])
+        fits = (small >= similarity * large - 1e-6) & (most * (1 + similarity) >= similarity * (small + large) - 1e-6)
+        x, y = np.nonzero(fits & (part[i, None] != part[None, j]))
+        if len(x):
+            x, y = i[x], j[y]
+            a, b = np.minimum(part[x], part[y]), np.maximum(part[x], part[y])
+            both = np.concatenate([np.stack([a, b, node[x]], 1), np.stack([a, b, node[y]], 1)])
+            out.append(np.unique(both, axis=0) if len(both) > 64 else both)
+    return np.concatenate(out) if out else np.empty((0, 3), np.int64)
+
+
+def first_link(left: list[np.ndarray], right: list[np.ndarray], similarity: float) -> tuple[int, int] | None:
+    """A pair, one of each side, with a Jaccard similarity of ``similarity`` or more, or None if there is none."""
+    for i, x in enumerate(left):
+        for j, y in enumerate(right):
+            if min(len(x), len(y)) >= similarity * max(len(x), len(y)) - 1e-6:
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both >= similarity * (len(x) + len(y) - both):
+                    return i, j
+    return None
+
+
+def links_between(own: DataFrame, nodes: DataFrame, named: DataFrame, words: int, similarity: float, tile: int) -> DataFrame:
+    """(u, v): a link for every two components of ``named`` (node, component) that hold a pair of near copies.
+
+    Prefix filtering: near copies share a shingle among the first of each (see ``prefix``), and a shingle that only
+    one component has is of no use. What is left names pairs of components and their members in question, whose
+    whole sets are compared until a link is found. No pair at ``similarity`` or more is lost.
+    """
+    spark = own.sparkSession
+    sent = spark.sparkContext.broadcast(common_shingles(own, words))
+    stands = nodes.where("size > 0").select("node", F.col("least.doc_id").alias("of_doc"), F.col("least.text_hash").alias("of_hash"))
+    is_it = F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_hash") == F.col("of_hash"))
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [shingle_hashes(x, words) for x in batch["text"]]
+            yield pd.concat([batch[["doc_id", "text_hash"]], pd.DataFrame({"size": [len(x) for x in sets], "firsts": [prefix(x, sent.value, similarity).view(np.int64) for x in sets]}, index=batch.index)], axis=1)
+
+    # the firsts travel, not the texts
+    firsts = own.mapInPandas(first, "doc_id long, text_hash long, size int, firsts array<long>").where("size > 0").join(stands, is_it).dropDuplicates(["node"]).join(named, "node")
+    each = Window.partitionBy("value")
+    slots = firsts.select("node", "component", "size", F.posexplode("firsts").alias("place", "value"))
+    slots = slots.select("*", F.count("*").over(each).alias("n"), F.min("component").over(each).alias("low"), F.max("component").over(each).alias("high")).where("low <> high").drop("low", "high")
+    placed = materialise(slots.withColumn("blocks", F.ceil(F.col("n") / tile).cast("int")).withColumn("block", F.pmod(F.xxhash64("node", "value"), "blocks").cast("int")), "firsts")
+    paired = placed.withColumn("pair", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("a"), F.greatest(k, F.col("block")).alias("b")))))
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = [candidates(r.node, r.component, r.size.astype(np.int64), r.place.astype(np.int64), r.second.astype(bool) if r.a != r.b else None, similarity) for r in batch.itertuples(index=False, name="Tile")]
+            yield pd.DataFrame(np.concatenate(out or [np.empty((0, 3), np.int64)]), columns=["a", "b", "node"]).drop_duplicates()
+
+    grouped = paired.withColumn("second", F.col("block") > F.col("pair.a")).groupBy("value", F.col("pair.a").alias("a"), F.col("pair.b").alias("b")).agg(*[F.collect_list(c).alias(c) for c in ("node", "component", "size", "place", "second")])
+    asked = materialise(grouped.drop("value").mapInPandas(compare, "a long, b long, node long").distinct(), "asked")
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"node": batch["node"], "shingles": [shingle_hashes(x, words).tobytes() for x in batch["text"]]})
+
+    texts = own.join(stands.join(asked.select("node").distinct(), "node"), is_it).dropDuplicates(["node"])
+    sets = texts.select("node", "text").mapInPandas(whole, "node long, shingles binary")
+
+    def settle(key: tuple, batch: pd.DataFrame) -> pd.DataFrame:
+        batch = batch.sort_values("node")
+        side = [batch[batch["component"] == k] for k in key]
+        found = first_link(*[[np.frombuffer(x, "<u8") for x in y["shingles"]] for y in side], similarity)
+        return pd.DataFrame([(side[0]["node"].iloc[found[0]], side[1]["node"].iloc[found[1]])] if found else [], columns=["u", "v"], dtype="int64")
+
+    return asked.join(sets, "node").join(named, "node").groupBy("a", "b").applyInPandas(settle, "u long, v long")
+
+
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 24, tile: int = 2048) -> DataFrame:
     """doc_id, text_hash, keep: for each row of ``docs``, whether it stands for its group of near copies.
 
     Near copies have word shingles with a Jaccard similarity of ``similarity`` or more; groups are the components
     of such links, and the row with the smallest doc_id (then text hash) stands for its group. Rows with one set
     of shingles are one node before any comparison. Fingerprints of near copies differ by too many bits for the
-    population counts to tell them apart from others, so tiles here hold documents that share one of six least
-    shingles (two at the bound share none with a chance of 0.2**6, or 6 in 100,000; more similar ones hardly
-    ever), ``tile`` at most, with every pair of blocks of one tile compared. In a tile, pairs are compared by
-    exclusive-or and bit counts (``radius`` lies over four deviations beyond what the bound makes likely) and
-    settled by exact Jaccard similarity. A least shingle that only one document has costs no comparison.
+    population counts to tell them apart from others, so links are found in two passes. In the first, tiles hold
+    documents that share one of six least shingles, ``tile`` at most, with every pair of blocks of one tile
+    compared; pairs are thinned by exclusive-or and bit counts (``radius``) and sketches, and settled by exact
+    Jaccard similarity. That gathers most copies cheaply, and misses some. The second (``links_between``) looks
+    for pairs between the components of the first by prefix filtering, and loses none.
 
     Null texts are empty; texts without words are copies of each other. Rows that repeat an id and text count
     once: the caller drops them by (doc_id, text_hash). An empty table gives an empty table.
@@ -292,7 +410,11 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius
         return pd.DataFrame({"u": node[[a for a, _ in links]], "v": node[[b for _, b in links]]}, dtype="int64")
 
     links = paired.select("slot", "value", "blocks", F.col("pair.a").alias("a"), F.col("pair.b").alias("b"), (F.col("block") > F.col("pair.a")).alias("second"), "node", "fp", "sketch", "shingles").groupBy("slot", "value", "blocks", "a", "b").applyInPandas(compare, "u long, v long")
-    found = components(links).withColumnRenamed("node", "of_node")
+    links = materialise(links, "links")
+    quick = components(links).withColumnRenamed("node", "of_node")
+    quick = materialise(nodes.select("node").join(quick, F.col("node") == F.col("of_node"), "left").select("node", F.coalesce("component", "node").alias("component")), "quick")
+    rest = materialise(links_between(own, nodes.select("node", "least", "of.size"), quick, words, similarity, tile), "links")
+    found = components(links.unionByName(rest)).withColumnRenamed("node", "of_node")
     named = marked.select("doc_id", "text_hash", "node").join(found, F.col("node") == F.col("of_node"), "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("stands"))
     return named.join(least, "component").select("doc_id", "text_hash", (F.struct("doc_id", "text_hash").eqNullSafe(F.col("stands"))).alias("keep"))
