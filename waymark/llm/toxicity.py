@@ -1,10 +1,13 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
-A word's score is the highest log-odds of its units (itself and its beginnings, so that an inflected stem counts)
-between toxic and other labelled texts, under a Dirichlet prior from both; words that don't stand out cost a
-little. A scan that is linear in the text finds all maximal-scoring segments. How
-surprising the best is in a text of that length follows from the extreme-value distribution of such maxima,
-and the segments' surprise is brought to a probability on the labelled sample.
+A unit (a word, or one of its beginnings, so that an inflected stem counts) scores the log-odds of coming in toxic
+rather than other labelled texts. A Dirichlet prior of fixed weight, at the same rate in both, draws units with
+little evidence to 0, and what counts is the lower bound of the posterior, so no unit scores by chance alone. A
+word scores its best unit less a cost, or minus the cost. A scan that is linear in the text finds all
+maximal-scoring segments. How surprising they are in a text of that length follows from the extreme-value
+distribution of such maxima: its decay solves the equation of the background's word scores, its spread is the
+likeliest for the maxima seen in other texts. The surprise is brought to a probability on the labelled sample. All
+calibration is on scores from the other parts of the sample (cross-fitting), as a unit always suits its own text.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -34,12 +38,12 @@ def words(text: str) -> list[str]:
 
 @dataclass
 class Model:
-    odds: dict[str, float]  # of units that stand out, less the cost
-    cost: float  # of any other word
-    decay: float  # of the extreme-value distribution
-    spread: float
-    slope: float  # from surprise to probability
-    offset: float
+    odds: dict[str, float]  # of the units that count
+    cost: float = 0.25  # of each word
+    decay: float = 0.0  # of the extreme-value distribution; 0: no unit counts, so nothing is surprising
+    spread: float = 0.0
+    slope: float = 0.0  # from surprise to probability
+    offset: float = -1.0
 
 
 def segments(places: list[int], scores: list[float], cost: float) -> list[tuple[int, int, float]]:
@@ -74,8 +78,8 @@ def surprise(model: Model, n: int, found: list[tuple[int, int, float]]) -> float
     the sum of their normalised scores. The most surprising r counts.
     """
     best, total = 0.0, 0.0
-    for r, (_, _, s) in enumerate(sorted(found, key=lambda x: -x[2])[:64], 1):
-        total += model.decay * s - math.log(max(model.spread * n, 1e-9))
+    for r, (_, _, s) in enumerate(sorted(found, key=lambda x: -x[2]) if model.decay else (), 1):
+        total += model.decay * s - math.log(model.spread * n)
         if total <= 0:
             break
         # the tail of the sum of r: exp(-t) t^(r-1) / (r! (r-1)!)
@@ -93,7 +97,8 @@ def units(word: str) -> list[str]:
 def _families(rows: DataFrame) -> DataFrame:
     """One text of each family of near copies and label: copies are one observation, not many.
 
-    A family is a least hash of the text's shingles of five words; two such hashes are used in turn.
+    A family is a least hash of the text's shingles of five words; two such hashes are used in turn. ``fold`` deals
+    families to the parts of the cross-fitting.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -104,98 +109,167 @@ def _families(rows: DataFrame) -> DataFrame:
                 shingles = {" ".join(own[i : i + 5]).encode() for i in range(max(1, len(own) - 4))}
                 for salt, to in enumerate(keys):
                     to.append(min(zlib.crc32(x, salt) for x in shingles))
-            yield pd.DataFrame({"text": batch["text"].astype(object), "label": batch["label"], "a": np.array(keys[0], np.int64), "b": np.array(keys[1], np.int64)})
+            yield pd.DataFrame({"text": batch["text"].astype(object), "label": batch["label"], "weight": batch["weight"], "a": np.array(keys[0], np.int64), "b": np.array(keys[1], np.int64)})
 
-    each = rows.mapInPandas(run, "text string, label int, a long, b long")
-    once = each.groupBy("label", "a").agg(F.min(F.struct("text", "b")).alias("r")).select("label", "r.text", "r.b")
-    return once.groupBy("label", "b").agg(F.min("text").alias("text")).select("text", "label")
+    each = rows.mapInPandas(run, "text string, label int, weight double, a long, b long")
+    once = each.groupBy("label", "a").agg(F.min(F.struct("text", "weight", "b")).alias("r")).select("label", "r.*")
+    return once.groupBy("label", "b").agg(F.min(F.struct("text", "weight")).alias("r")).select("r.text", "r.weight", "label", F.pmod(F.xxhash64("b"), F.lit(FOLDS)).cast("int").alias("fold"))
 
 
-def _counts(rows: DataFrame, least: int) -> tuple[dict[str, tuple[int, int]], int, int]:
-    """Of units in ``least`` toxic texts or more: how many toxic and other texts; how many of each there are."""
+#: Parts of the cross-fitting; how often a unit counts in one text at most; entries a task counts before it hands them on.
+FOLDS, OFTEN, HELD = 5, 3, 400_000
 
-    def count(only: set[str] | None, label: int) -> dict[str, int]:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            seen: Counter = Counter()
-            for batch in batches:
-                for text in batch["text"]:
-                    own = {u for w in set(words(text)) for u in units(w)}
-                    seen.update(own if only is None else own & only)
-            if seen:
-                yield pd.DataFrame({"unit": pd.Series(list(seen), dtype=object), "n": np.array(list(seen.values()), np.int64)})
 
-        each = rows.where(F.col("label") == label).select("text").mapInPandas(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
-        return {r.unit: r.n for r in (each if only is not None else each.where(F.col("n") >= least)).collect()}
+def _counts(rows: DataFrame, least: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Units in ``least`` toxic texts or more; for each, part and label, how often it comes; and all words' counts."""
 
-    toxic = count(None, 1)
-    other = count(set(toxic), 0)
-    sizes = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    return {u: (a, other.get(u, 0)) for u, a in toxic.items()}, sizes.get(1, 0), sizes.get(0, 0)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: Counter = Counter()
 
+        def counted() -> pd.DataFrame:
+            keys = list(seen)
+            return pd.DataFrame({"unit": pd.Series([k[0] for k in keys], dtype=object), "at": [k[1] for k in keys], "n": [seen[k][0] for k in keys], "texts": [seen[k][1] for k in keys]})
 
-def _surprise_of_counts(a: int, b: int, toxic: int, other: int) -> float:
-    """Root of the likelihood ratio that a unit is commoner in toxic texts; 0 where it isn't."""
-    total, n = a + b, toxic + other
-    if not other or a * n <= total * toxic:
-        return 0.0
-    part = lambda x, e: x * math.log(x / e) if x else 0.0
-    return math.sqrt(max(0.0, 2 * (part(a, total * toxic / n) + part(b, total * other / n) + part(toxic - a, (n - total) * toxic / n) + part(other - b, (n - total) * other / n))))
+        for batch in batches:
+            for text, label, fold in zip(batch["text"], batch["label"], batch["fold"], strict=True):
+                own: Counter = Counter()
+                for w, n in Counter(words(text)).items():
+                    for u in units(w):
+                        own[u] += n
+                    own[""] += min(n, OFTEN)
+                at = 2 * fold + label
+                for u, n in own.items():
+                    before = seen.get((u, at), (0, 0))
+                    seen[u, at] = (before[0] + (min(n, OFTEN) if u else n), before[1] + 1)
+                if len(seen) > HELD:
+                    yield counted()
+                    seen.clear()
+        if seen:
+            yield counted()
+
+    each = rows.select("text", "label", "fold").mapInPandas(run, "unit string, at int, n long, texts long")
+    places = [F.sum(F.when(F.col("at") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(2 * FOLDS)]
+    wide = each.groupBy("unit").agg(F.sum(F.when(F.col("at") % 2 == 1, F.col("texts")).otherwise(0)).alias("texts"), *places)
+    got = wide.where((F.col("texts") >= least) | (F.col("unit") == "")).toPandas().sort_values("unit")
+    counts = got[[f"n{k}" for k in range(2 * FOLDS)]].to_numpy(float).reshape(-1, FOLDS, 2)
+    whole = got["unit"].to_numpy() == ""
+    return got["unit"][~whole].tolist(), counts[~whole], counts[whole].sum(0)
+
+
+def log_odds(units_: list[str], counts: np.ndarray, whole: np.ndarray, prior: float) -> dict[str, float]:
+    """The lower bound of each unit's log-odds, where above 0; ``counts`` and ``whole`` by label.
+
+    The Dirichlet prior adds ``prior`` occurrences of each unit, dealt to the labels by their sizes: without
+    evidence the odds are even. The bound lies so many deviations down that of as many units as there are, one would
+    be expected to pass 0 by chance. Scores are kept to hundredths.
+    """
+    if not len(units_) or not whole.all():
+        return {}
+    part, sure = prior * whole / whole.sum(), NormalDist().inv_cdf(1 - 1 / (len(units_) + 1))
+    odds = np.log((counts[:, 1] + part[1]) / whole[1]) - np.log((counts[:, 0] + part[0]) / whole[0])
+    low = np.round(odds - sure * np.sqrt(1 / (counts[:, 1] + part[1]) + 1 / (counts[:, 0] + part[0])), 2)
+    return {units_[i]: float(low[i]) for i in np.flatnonzero(low > 0)}
+
+
+def decay_of(scores: np.ndarray, chance: np.ndarray) -> float:
+    """The positive root of sum(chance * exp(x * scores)) = 1, for scores with a negative mean and a positive one among them."""
+    low, high = 1e-9, 1.0
+    grow = lambda x: float(np.log(chance @ np.exp(np.minimum(x * scores, 600))))
+    while grow(high) < 0:
+        high *= 2
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if grow(mid) < 0 else (low, mid)
+    return low
+
+
+def background(hits: dict[float, int], n_words: int, cost: float) -> tuple[float, float]:
+    """The cost of a word, and the decay, from the background's word scores (before the cost) that units gave.
+
+    The cost is raised until words lose a tenth of it on average, as the extreme-value distribution needs.
+    """
+    scores, times = np.array(list(hits)), np.array(list(hits.values()), float)
+    while True:
+        net = np.where(scores > cost, scores - cost, -cost)
+        mean = (net @ times - cost * (n_words - times.sum())) / n_words
+        if mean <= -cost / 10 or not (scores > cost).any():
+            break
+        cost *= 1.5
+    if not (scores > cost).any():
+        return cost, 0.0
+    return cost, decay_of(np.append(net, -cost), np.append(times, n_words - times.sum()) / n_words)
 
 
-def train(rows: DataFrame, prior: float = 1.0, stands_out: float = 4.5, cost: float = 0.25, least: int = 4) -> Model:
-    """Fit on ``rows`` (text, label), whose number the caller bounds.
+def train(rows: DataFrame, prior: float = 3.0, cost: float = 0.25, least: int = 3) -> Model:
+    """Fit on ``rows`` (text, label, weight), whose number the caller bounds.
 
-    ``prior`` is the weight, in texts, of the Dirichlet prior that each unit gets from both labels together;
-    ``stands_out`` the root of the likelihood ratio from which a unit counts.
+    ``prior`` is the weight, in occurrences, of the Dirichlet prior of each unit, and ``least`` the toxic texts that
+    a unit must be in. Without texts of both
+    labels, or without any unit that scores, every text gets the share of toxic texts as its score.
     """
     once = materialise(_families(rows), "families")
-    counts, toxic, other = _counts(once, least)
-    odds = {}
-    for u, (a, b) in sorted(counts.items()):
-        if _surprise_of_counts(a, b, toxic, other) < stands_out:
-            continue
-        alpha = prior * (a + b) / max(1, toxic + other) + 0.1 * prior
-        delta = math.log((a + alpha) / max(toxic - a + alpha, 1e-9)) - math.log((b + alpha) / max(other - b + alpha, 1e-9))
-        if delta > cost + 1:
-            odds[u] = delta - cost
-    # the background: how often each word that stands out comes in other texts, smoothed; all else costs
-    rate = np.array([(counts[w][1] + 0.5) / (other + 1) for w in odds])
-    score = np.array(list(odds.values()))
-    decay, spread = 1.0, 0.1
-    if len(odds) and rate @ score < cost * (1 - rate.sum()):
-        low, high = 1e-6, 50.0
-        for _ in range(100):
-            mid = (low + high) / 2
-            grow = rate @ np.exp(np.minimum(mid * score, 700)) + (1 - rate.sum()) * math.exp(-mid * cost)
-            low, high = (mid, high) if grow < 1 else (low, mid)
-        decay, spread = low, max(1e-6, float(rate.sum()))
-    model = Model(odds, cost, decay, spread, 1.0, -3.0)
+    names, counts, whole = _counts(once, least)
+    odds = log_odds(names, counts.sum(1), whole.sum(0), prior)
+    crossed = [log_odds(names, np.delete(counts, f, 1).sum(1), np.delete(whole, f, 0).sum(0), prior) for f in range(FOLDS)]
+    sent = rows.sparkSession.sparkContext.broadcast(crossed)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: Counter = Counter()
         for batch in batches:
-            yield pd.DataFrame({"x": [_scan(model, t)[1] for t in batch["text"]], "label": batch["label"]})
-
-    got = sorted((r.x, r.label) for r in once.mapInPandas(run, "x double, label int").collect())
+            for text, fold in zip(batch["text"], batch["fold"], strict=True):
+                own = words(text)
+                seen[0.0] += len(own)
+                for w, n in Counter(own).items():
+                    s = _score(sent.value[fold], w)
+                    if s:
+                        seen[s] += n
+        yield pd.DataFrame({"score": np.array(list(seen), float), "n": np.array(list(seen.values()), np.int64)})
+
+    seen = {r.score: r.n for r in once.where("label = 0").mapInPandas(hits, "score double, n long").groupBy("score").agg(F.sum("n").alias("n")).collect()}
+    n_words = seen.pop(0.0, 0)
+    model = Model(odds)
+    if odds and n_words:
+        top = max(odds.values())
+        seen[top] = seen.get(top, 0) + 1  # what was not seen in so many words may come in the next
+        model.cost, model.decay = background(seen, n_words + 1, cost)
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [_segments(Model(sent.value[fold], model.cost), text) for text, fold in zip(batch["text"], batch["fold"], strict=True)]
+            if model.spread:
+                yield pd.DataFrame({"x": [surprise(model, n, x) for n, x in found], "label": batch["label"], "weight": batch["weight"]})
+            else:
+                yield pd.DataFrame({"n": [n for n, _ in found], "most": [max((s for _, _, s in x), default=0.0) for _, x in found]}).astype({"n": "int64", "most": float})
+
+    if model.decay:
+        # the likeliest spread, given the decay, for the maxima seen; texts without a segment say that theirs was 0 or less
+        seen_of = once.where("label = 0").mapInPandas(scan, "n long, most double").agg(F.sum((F.col("most") > 0).cast("int")).alias("some"), F.sum(F.col("n") * F.exp(-model.decay * F.col("most"))).alias("mass")).first()
+        model.spread = (seen_of.some + 1) / (seen_of.mass + 1)
+        got = sorted((r.x, r.label, r.weight) for r in once.mapInPandas(scan, "x double, label int, weight double").collect())
+    else:
+        got = [(0.0, r.label, r.weight) for r in once.groupBy("label").agg(F.sum("weight").alias("weight")).orderBy("label").collect()]
+    sent.unpersist()
     if got:
-        x, y = np.array([g[0] for g in got]), np.array([g[1] for g in got], float)
+        x, y, of = (np.array(v, float) for v in zip(*got, strict=True))
+        of = of * len(of) / of.sum()
         x, w = np.stack([np.sqrt(x), np.ones_like(x)], 1), np.zeros(2)
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            w -= np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + 0.01 * np.eye(2), x.T @ (p - y) + 0.01 * w)
-        model.slope, model.offset = float(max(w[0], 1e-3)), float(w[1])
+            w -= np.linalg.solve((x * (of * p * (1 - p) + 1e-6)[:, None]).T @ x + 0.01 * np.eye(2), x.T @ (of * (p - y)) + 0.01 * w)
+        model.slope, model.offset = float(max(w[0], 0.0)), float(w[1])
     return model
 
 
-def _score(model: Model, word: str) -> float | None:
-    return max((s for u in units(word) if (s := model.odds.get(u)) is not None), default=None)
+def _score(odds: dict[str, float], word: str) -> float | None:
+    return max((s for u in units(word) if (s := odds.get(u)) is not None), default=None)
 
 
-def _scan(model: Model, text: str) -> tuple[list[tuple[int, int, float]], float]:
+def _segments(model: Model, text: str) -> tuple[int, list[tuple[int, int, float]]]:
+    """How many words a text has, and its maximal-scoring segments."""
     own = words(text)
-    known = {w: s for w in set(own) if (s := _score(model, w)) is not None}
+    known = {w: s - model.cost for w in set(own) if (s := _score(model.odds, w)) is not None and s > model.cost}
     hits = [(i, known[w]) for i, w in enumerate(own) if w in known] if known else []
-    found = segments([i for i, _ in hits], [s for _, s in hits], model.cost)
-    return found, surprise(model, len(own), found)
+    return len(own), segments([i for i, _ in hits], [s for _, s in hits], model.cost)
 
 
 def passages(docs: DataFrame, model: Model, significant: float = 3.0) -> DataFrame:
@@ -211,10 +285,9 @@ def passages(docs: DataFrame, model: Model, significant: float = 3.0) -> DataFra
         for batch in batches:
             scores, lists = [], []
             for text in batch["text"]:
-                found, x = _scan(m, text)
-                n = len(text) // 5 + 1
+                n, found = _segments(m, text)
                 lists.append([{"first": a, "end": b, "score": s, "surprise": u} for a, b, s in found if (u := surprise(m, n, [(a, b, s)])) >= significant])
-                scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, m.slope * math.sqrt(x) + m.offset)))))
+                scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, m.slope * math.sqrt(surprise(m, n, found)) + m.offset)))))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": np.array(scores, float), "passages": lists})
 
     schema = "doc_id long, score double, passages array<struct<first:int,end:int,score:double,surprise:double>>"
@@ -224,9 +297,11 @@ def passages(docs: DataFrame, model: Model, significant: float = 3.0) -> DataFra
 def classified(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, score, predicted, n_passages, for ``labels`` (doc_id, toxic).
 
-    Labels are learned from at most about ``sample`` rows of each label whose crc32(doc_id) mod 4 is not 2. A null
-    or empty text has no segment and the lowest score. Repeated rows come back each; a null doc_id is not held
-    out; other columns are left aside; an empty table gives an empty table.
+    Labels are learned from at most about ``sample`` rows of each label whose crc32(doc_id) mod 4 is not 2, weighted
+    back to the labels' own shares. A null or empty text has no segment and the lowest score; a text of any length
+    is scanned whole, in time and memory linear in its words. Units of equal score are the same to a word, and equal
+    texts have equal scores. Repeated rows come back each; a null doc_id is not held out; other columns are left
+    aside; an empty table gives an empty table.
     """
     out = remainder_is(F.col("doc_id"), 4, 2)
     model = train(sampled(docs, labels, "toxic", out, sample))
