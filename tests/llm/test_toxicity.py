@@ -83,7 +83,9 @@ def test_no_labels_or_one_label_only(spark):
 
 
 def test_passages_name_the_words(spark):
-    rows = [(i, f"plain text number {'abcdefghij'[i % 10]} with {'some few many'.split()[i % 3]} words " * 4 + ("vile" if i % 4 == 0 else "") + " and more plain words") for i in range(400)]
+    rng = np.random.default_rng(6)
+    plain = lambda: " ".join(rng.choice([f"word{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10]}" for k in range(100)], 20))
+    rows = [(i, plain() + (" vile " if i % 4 == 0 else " ") + plain()) for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
     model = toxicity.train(toxicity.sampled(docs, labels, "toxic", toxicity.remainder_is(toxicity.F.col("doc_id"), 4, 2), 400))

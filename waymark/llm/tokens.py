@@ -4,8 +4,9 @@ A text of up to ``huge`` characters is encoded at once. A longer one is cut into
 is encoded with offsets, and neighbours are spliced where both have the same proven boundary. A boundary is
 proven where a letter, one space and a letter meet: none of the supported vocabularies has a token that goes on
 past it, their splitting looks no further, and normalisation does not join across a space. So what stands left of
-it can't change what stands right of it. If neighbours share no such place, the overlap is doubled, until at last
-the chunk reaches the end of the text.
+it can't change what stands right of it. Where a vocabulary drops white space before its merges, any space is
+proven. If neighbours share no such place, the overlap is doubled, until at last the chunk reaches the end of the
+text.
 """
 
 from __future__ import annotations
@@ -36,9 +37,15 @@ _LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _SIGNED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]{1,16})")
 
 
+#: Proven boundaries: the space of a match.
+_PROVEN, _SPACE = re.compile(r"(?<=[^\W\d_]) (?=[^\W\d_])"), re.compile(" ")
+
+
 class JsonCodec:
     """A ``.json`` file of the tokenizers library."""
 
+    proven = _PROVEN
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
@@ -52,6 +59,8 @@ class JsonCodec:
         added = kind.get("added_tokens") or []
         #: White space is dropped before the merges and no added token holds or eats any: a text's ids are its words' ids.
         self.by_word = first.get("type") == "Split" and first.get("behavior") == "Removed" and bool(first.get("invert")) and not any(a["lstrip"] or a["rstrip"] or a["single_word"] or " " in a["content"] for a in added)
+        if self.by_word:
+            self.proven = _SPACE
         #: For stems: which ids end a word, where the merges mark that, and the same merges behind a split at spaces alone.
         self.ending, self.plain, mark = None, None, (kind.get("model") or {}).get("end_of_word_suffix")
         last = ((kind.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[-1]
@@ -62,7 +71,7 @@ class JsonCodec:
             self.plain.normalizer = normalizers.Sequence([])
             self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.signs = {"": b""}
-        self.young: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
@@ -77,11 +86,17 @@ class JsonCodec:
         out = []
         for a, b in groups_of(texts, 1 << 24):
             split = [x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for x in texts[a:b]]
-            seen = set().union(*split)
-            seen.discard("")
-            known = self._learned(seen)
-            known[""] = b""
-            out += [np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4") for words in split]
+            if len(self.young) > REMEMBERED:
+                self.old, self.young = self.young, {"": b""}
+            new = set().union(*split).difference(self.young)
+            again = new & self.old.keys()
+            self.young.update((w, self.old[w]) for w in again)
+            known = self._learned(new - again)
+            self.young.update(known)
+            out += [np.frombuffer(b"".join(map(self.young.__getitem__, words)), "<u4") for words in split]
+            for w in known:  # a very long word is forgotten at once
+                if len(w) > 40:
+                    del self.young[w]
         return out
 
     def _learned(self, words: set[str]) -> dict[str, bytes]:
@@ -89,9 +104,9 @@ class JsonCodec:
 
         A word of Latin letters, and a run of ASCII signs or nothing, has the ids of its lowered letters and those of
         the run: the splitting keeps them apart (a contraction has letters after its apostrophe) and the
-        normalisation lowers each letter by itself. Many such stems are encoded together, split at spaces alone; each ends with the one token that ends a word.
+        normalisation lowers each letter by itself. Many such stems are encoded together, split at spaces alone; each
+        ends with the one token that ends a word.
         """
-        known: dict[str, bytes] = {}
         whole_words, stems, signs, rest = [], [], [], []  # of a word with a stem, each
         for w in words:
             stem, sign = (w[:-1], w[-1]) if w[-1] in ".," else (w, "")
@@ -105,12 +120,7 @@ class JsonCodec:
                 rest.append(w)
         for sign in set(signs) - self.signs.keys():
             self.signs[sign] = np.array(self.library.encode(sign, add_special_tokens=False).ids, "<u4").tobytes()
-        ids, new = {}, []
-        for stem in set(stems):
-            if (own := self.young.get(stem) or self.old.get(stem)) is None:
-                new.append(stem)
-            else:
-                ids[stem] = own
+        ids, new = {}, list(set(stems))
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
             found = np.concatenate([np.array(e.ids, "<u4") for e in self.plain.encode_batch_fast([" ".join(part[j : j + 128]) for j in range(0, len(part), 128)], add_special_tokens=False)])
@@ -121,11 +131,7 @@ class JsonCodec:
             for stem, cut in zip(part, (cuts * 4).tolist(), strict=True):
                 ids[stem] = whole[at:cut]
                 at = cut
-        if len(self.young) > REMEMBERED:
-            self.old, self.young = self.young, {}
-        self.young.update((stem, ids[stem]) for stem in new if len(stem) <= 24)
-        for w, stem, sign in zip(whole_words, stems, signs, strict=True):
-            known[w] = ids[stem] + self.signs[sign] if sign else ids[stem]
+        known = {w: ids[stem] + self.signs[sign] if sign else ids[stem] for w, stem, sign in zip(whole_words, stems, signs, strict=True)}
         if len(self.signs) > 10_000:
             self.signs = {"": b""}
         for i in range(0, len(rest), 4096):
@@ -148,6 +154,8 @@ def _characters(text: str, ends: np.ndarray) -> np.ndarray:
 class PieceCodec:
     """A ``.model`` file of the sentencepiece library."""
 
+    proven = _PROVEN
+
     def __init__(self, path: str):
         import sentencepiece
 
@@ -164,6 +172,8 @@ class PieceCodec:
 class RankCodec:
     """A ``.tiktoken`` file of merge ranks; every text is ordinary text."""
 
+    proven = _PROVEN
+
     def __init__(self, path: str):
         import tiktoken
 
@@ -190,9 +200,6 @@ def codec(path: str) -> JsonCodec | PieceCodec | RankCodec:
     return _CODECS[path]
 
 
-_PROVEN = re.compile(r"(?<=[^\W\d_]) (?=[^\W\d_])")
-
-
 def spliced(library, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> np.ndarray:
     """The ids of ``text`` from overlapping chunks; the same as those of the text encoded at once."""
     n, out = len(text), []
@@ -208,7 +215,7 @@ def spliced(library, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> n
             ids2, ends2 = library.ends(text[begin:to])
             ends2 = ends2 + begin
             shared = np.intersect1d(ends[(ends > begin) & (ends < end)], ends2[ends2 < end])
-            inner = [p for m in _PROVEN.finditer(text, begin + 1, end - 1) if (p := m.start()) > cut]
+            inner = [p for m in library.proven.finditer(text, begin + 1, end - 1) if (p := m.start()) > cut]
             both = shared[np.isin(shared, inner)]
             # of the places that both have, one by the middle: far from either chunk's cut edge
             if len(both):
