@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import materialise
+from ._shared import freed, materialise, salted_join
 from .graph import components
 
 #: Fingerprints in one tile at most, and the parts of a fingerprint whose bits are counted apart.
@@ -117,14 +117,18 @@ def near_links(distinct: DataFrame, radius: int = 2, parts: int = PARTS, tile: i
     dense tile yields no more links than it has members.
     """
     keyed = distinct.select("fp", _counts(F.col("fp"), parts).alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"))
-    blocks = F.ceil(F.col("n") / tile).cast("int")
-    placed = keyed.join(sizes.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
+    sizes = keyed.groupBy("key").agg(F.ceil(F.count("*") / tile).cast("int").alias("blocks"))
+    # with four parts there are 17 ** 4 keys at most, so their sizes can go to every executor
+    placed = keyed.join(F.broadcast(sizes) if (64 // parts + 1) ** parts <= 100_000 else sizes, "key").withColumn("block", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
     tiles = materialise(placed.groupBy("key", "block").agg(F.collect_list("fp").alias("fps")), "tiles")
+    # first the names of the pairs of blocks, then their fingerprints: a crowded key's pairs are dealt out by block
     steps = F.array(*[F.lit(x).cast("long") for x in _steps(parts, radius)])
-    asked = tiles.select(F.col("key").alias("a_key"), F.col("block").alias("a_block"), F.col("fps").alias("a"), F.explode(steps).alias("step")).withColumn("key", F.col("a_key") + F.col("step"))
-    held = tiles.select("key", F.col("block").alias("b_block"), F.col("fps").alias("b"))
-    pairs = asked.join(held, "key").where("step > 0 or a_block <= b_block").select("a", F.when(F.expr("step = 0 and a_block = b_block"), F.lit(None)).otherwise(F.col("b")).alias("b"))
+    names = tiles.select("key", "block")
+    asked = names.select(F.col("key").alias("a_key"), F.col("block").alias("a_block"), F.explode(steps).alias("step")).withColumn("key", F.col("a_key") + F.col("step"))
+    named = asked.join(names.select("key", F.col("block").alias("b_block")), "key").where("step > 0 or a_block <= b_block")
+    first = tiles.select(F.col("key").alias("a_key"), F.col("block").alias("a_block"), F.col("fps").alias("a"))
+    second = tiles.select("key", F.col("block").alias("b_block"), F.col("fps").alias("b"))
+    pairs = named.join(second, ["key", "b_block"]).join(first, ["a_key", "a_block"]).select("a", F.when(F.expr("step = 0 and a_block = b_block"), F.lit(None)).otherwise(F.col("b")).alias("b"))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -148,12 +152,14 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, seed: int
     empty table.
     """
     marked = materialise(fingerprints(docs, words, seed), "fingerprints")
-    nodes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    nodes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
     found = components(near_links(nodes.select("fp"), radius))
-    named = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    ids = materialise(named.join(least, "component").select("fp", "component_id"), "ids")
-    return marked.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = materialise(nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp")), "named")
+    size = nodes.count()
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    ids = materialise(salted_join(named.select("fp", "component", F.col("n").alias("rows")), least, "component", size).select("fp", "component_id", F.col("rows").alias("n")), "ids")
+    out = salted_join(marked, ids, "fp", marked.count())
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 #: Least shingles kept of each document by ``near_copies``: the first few choose tiles, all estimate likeness.
@@ -358,11 +364,11 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius
     """doc_id, text_hash, keep: for each row of ``docs``, whether it stands for its group of near copies.
 
     Near copies have word shingles with a Jaccard similarity of ``similarity`` or more; groups are the components
-    of such links, and the row with the smallest doc_id (then text hash) stands for its group. Rows with one set
+    of such links, and the row with the smallest doc_id (null first, then text hash) stands for its group. Rows with one set
     of shingles are one node before any comparison. Fingerprints of near copies differ by too many bits for the
     population counts to tell them apart from others, so links are found in two passes. In the first, tiles hold
-    documents that share one of six least shingles, ``tile`` at most, with every pair of blocks of one tile
-    compared; pairs are thinned by exclusive-or and bit counts (``radius``) and sketches, and settled by exact
+    documents that share one of six least shingles, in blocks of ``tile`` at most, each compared with itself and with
+    the first block of its tile; pairs are thinned by exclusive-or and bit counts (``radius``) and sketches, and settled by exact
     Jaccard similarity. That gathers most copies cheaply, and misses some. The second (``links_between``) looks
     for pairs between the components of the first by prefix filtering, and loses none.
 
@@ -399,8 +405,10 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius
 
     full = texts.select("node", "of.fp", "of.sketch", "text").mapInPandas(hashes, "node long, fp long, sketch array<long>, shingles binary")
     members = placed.join(full, "node")
-    # every pair of blocks of one tile: a block goes to the pairs that it is in
-    paired = members.withColumn("pair", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("a"), F.greatest(k, F.col("block")).alias("b")))))
+    # each block meets itself and the first one, which is copied to the others: no member moves more than twice on average
+    both = F.array(F.struct(F.col("block").alias("a"), F.col("block").alias("b")), F.struct(F.lit(0).alias("a"), F.col("block").alias("b")))
+    spread = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.lit(0).alias("a"), k.alias("b")))
+    paired = members.withColumn("pair", F.explode(F.when(F.col("block") == 0, spread).otherwise(both)))
 
     def compare(key: tuple, batch: pd.DataFrame) -> pd.DataFrame:
         batch = batch.sort_values(["second", "node"], kind="stable")
@@ -411,10 +419,13 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius
 
     links = paired.select("slot", "value", "blocks", F.col("pair.a").alias("a"), F.col("pair.b").alias("b"), (F.col("block") > F.col("pair.a")).alias("second"), "node", "fp", "sketch", "shingles").groupBy("slot", "value", "blocks", "a", "b").applyInPandas(compare, "u long, v long")
     links = materialise(links, "links")
+    freed(placed)
     quick = components(links).withColumnRenamed("node", "of_node")
     quick = materialise(nodes.select("node").join(quick, F.col("node") == F.col("of_node"), "left").select("node", F.coalesce("component", "node").alias("component")), "quick")
     rest = materialise(links_between(own, nodes.select("node", "least", "of.size"), quick, words, similarity, tile), "links")
     found = components(links.unionByName(rest)).withColumnRenamed("node", "of_node")
-    named = marked.select("doc_id", "text_hash", "node").join(found, F.col("node") == F.col("of_node"), "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("stands"))
-    return named.join(least, "component").select("doc_id", "text_hash", (F.struct("doc_id", "text_hash").eqNullSafe(F.col("stands"))).alias("keep"))
+    # the rows that stand for their components, by nodes; a row stands if it is one of them, so no row is joined by component
+    named = nodes.select("node", "least").join(found, F.col("node") == F.col("of_node"), "left")
+    stands = named.groupBy(F.coalesce("component", "node")).agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("of_doc"), F.col("least.text_hash").alias("of_hash"))
+    is_it = F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_hash") == F.col("of_hash"))
+    return marked.select("doc_id", "text_hash").join(stands, is_it, "left").select("doc_id", "text_hash", F.col("of_hash").isNotNull().alias("keep"))
