@@ -12,23 +12,30 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import groups_of, remainder_is
 
-#: Pieces of more characters are left out; the factor of the rolling hash; the least probability of a character.
-LONGEST, FACTOR, LEAST = 10, np.uint64(0x9E3779B97F4A7C15), 1e-7
+#: The factor of the rolling hash; the least probability of a character.
+FACTOR, LEAST = np.uint64(0x9E3779B97F4A7C15), 1e-7
+#: Words of more letters are learned from in stretches of half as many, and scored one by one. Languages at most.
+LONG, LANGUAGES = 64, 2000
 MARK = "▁"
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words(text: str) -> list[str]:
     """Runs of letters, lowered."""
-    return _WORD.findall(text.lower())
+    found = _WORD.findall(text.lower())
+    if found and not "".join(found).isalpha():  # numerals that are no decimal digits, such as fractions
+        return [x for w in found for x in "".join(c if c.isalpha() else " " for c in w).split()]
+    return found
 
 
 def vocabulary(path: str) -> list[str]:
@@ -36,7 +43,7 @@ def vocabulary(path: str) -> list[str]:
     import sentencepiece
 
     library = sentencepiece.SentencePieceProcessor(model_file=path)
-    pieces = {p for i in range(library.get_piece_size()) if (p := library.id_to_piece(i).lower()) and len(p) <= LONGEST and (p == MARK or p.removeprefix(MARK).isalpha())}
+    pieces = {p for i in range(library.get_piece_size()) if (p := library.id_to_piece(i).lower()) and (p == MARK or p.removeprefix(MARK).isalpha())}
     return sorted(pieces | {MARK})
 
 
@@ -44,7 +51,8 @@ class Pieces:
     """Finds pieces in many words at once, by rolling hashes of their code points."""
 
     def __init__(self, pieces: list[str]):
-        self.n = len(pieces)
+        self.n, self.longest = len(pieces), max(map(len, pieces))
+        self.numbers = {p: i for i, p in enumerate(pieces, 1)}
         keys = np.array([int(self._hash(p)) for p in pieces], np.uint64)
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], np.arange(1, self.n + 1, dtype=np.int32)[order]
@@ -104,27 +112,47 @@ def _found(pieces: Pieces, codes: np.ndarray) -> Iterator[tuple[int, int, np.nda
     prefix = np.zeros((n, width + 1), np.uint64)
     for i in range(width):
         prefix[:, i + 1] = prefix[:, i] * FACTOR + codes[:, i]
-    power = np.cumprod(np.append(np.uint64(1), np.full(LONGEST, FACTOR)))
+    power = np.cumprod(np.append(np.uint64(1), np.full(pieces.longest, FACTOR)))
     for i in range(1, width + 1):
         here = np.flatnonzero(codes[:, i - 1])
-        for k in range(1, min(i, LONGEST) + 1):
+        for k in range(1, min(i, pieces.longest) + 1):
             ids = pieces.find(prefix[here, i] - prefix[here, i - k] * power[k])
             some = np.arange(len(here)) if k == 1 else np.flatnonzero(ids)
             if len(some):
                 yield i, k, here[some], ids[some]
 
 
+def _log_likelihood(pieces: Pieces, chance: np.ndarray, word: str) -> np.ndarray:
+    """As ``log_likelihoods`` for one word, in time linear in its letters and room for its last few alone."""
+    word, get = MARK + word, pieces.numbers.get
+    last, scale = [np.ones(chance.shape[1])], np.zeros(chance.shape[1])
+    for i in range(1, len(word) + 1):
+        now = last[-1] * chance[get(word[i - 1], 0)]
+        for k in range(2, len(last) + 1):
+            if n := get(word[i - k : i]):
+                now = now + last[-k] * chance[n]
+        last = [*last, now][-pieces.longest :]
+        if i % 16 == 0:
+            top = np.maximum(np.max(last, 0), 1e-300)
+            last, scale = [x / top for x in last], scale + np.log(top)
+    return np.log(np.maximum(last[-1], 1e-300)) + scale
+
+
 def log_likelihoods(pieces: Pieces, chance: np.ndarray, unique: list[str]) -> np.ndarray:
     """For each word and language: the log of the sum over all segmentations. ``chance``: (pieces + 1, languages)."""
     out = np.zeros((len(unique), chance.shape[1]))
-    for part, codes in _blocks(unique):
+    short = [i for i, w in enumerate(unique) if len(w) <= LONG]
+    for i in set(range(len(unique))) - set(short):
+        out[i] = _log_likelihood(pieces, chance, unique[i])
+    # a block's sums are (width, words, languages) doubles: 128 MB at most, however many languages there are
+    for part, codes in _blocks([unique[i] for i in short], max(LONG * 16, 16_000_000 // max(4, chance.shape[1]))):
         n, width = codes.shape
         alpha = np.zeros((width + 1, n, chance.shape[1]))
         alpha[0], scale, done = 1, np.zeros((n, chance.shape[1])), 0
         lengths = (codes > 0).sum(1)
 
         def scaled(i: int) -> None:  # keeps the last columns from vanishing in long words
-            low = max(0, i - LONGEST)
+            low = max(0, i - pieces.longest)
             top = np.maximum(alpha[low : i + 1].max(0), 1e-300)
             alpha[low : i + 1] /= top
             scale[lengths >= i] += np.log(top)[lengths >= i]
@@ -135,13 +163,18 @@ def log_likelihoods(pieces: Pieces, chance: np.ndarray, unique: list[str]) -> np
                 scaled(done)
             done = i
             alpha[i, rows] += alpha[i - k, rows] * chance[ids]
-        out[part] = np.log(np.maximum(alpha[lengths, np.arange(n)], 1e-300)) + scale
+        out[np.array(short)[part]] = np.log(np.maximum(alpha[lengths, np.arange(n)], 1e-300)) + scale
     return out
 
 
+def stretches(word: str) -> list[str]:
+    """What is learned from a word: itself, or where it is long, parts of half of ``LONG`` letters."""
+    return [word] if len(word) <= LONG // 2 else [word[a : a + LONG // 2] for a in range(0, len(word), LONG // 2)]
+
+
 def learn(pieces: Pieces, counts: Counter, rounds: int = 3) -> np.ndarray:
     """Piece probabilities (id 0: a character without a piece) of one language from the counts of its words."""
-    unique = [w for w in counts if len(w) < 40]
+    unique = list(counts)
     weight = np.array([counts[w] for w in unique], float)
     chance = np.full(pieces.n + 1, 1.0 / (pieces.n + 1))
     for _ in range(rounds):
@@ -175,10 +208,13 @@ class Model:
 def train(labelled: DataFrame, vocabulary_path: str, sample: int = 500, rounds: int = 3) -> Model:
     """Fit on at most about ``sample`` documents of each language (text, lang; both not null), chosen by a hash of the text.
 
-    The bound holds the driver's share: the words of that many documents. Every language of the rows is learned.
+    The bound holds the driver's share: the words of that many documents. Every language of the rows is learned; more
+    than ``LANGUAGES`` different ones are refused, as the model grows with them.
     """
     rows = labelled.where("text is not null and lang is not null").select("text", "lang")
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()}
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"over {LANGUAGES} different languages")
     pieces = vocabulary(vocabulary_path)
     if not sizes:
         return Model(pieces, [], np.zeros((len(pieces) + 1, 0)))
@@ -186,16 +222,37 @@ def train(labelled: DataFrame, vocabulary_path: str, sample: int = 500, rounds:
     chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < 1_000_000 * share[F.col("lang")])
     counts: dict[str, Counter] = {k: Counter() for k in sizes}
     for r in chosen.toLocalIterator():
-        counts[r.lang].update(words(r.text))
+        counts[r.lang].update(x for w in words(r.text) for x in stretches(w))
     finder, languages = Pieces(pieces), sorted(sizes)
     return Model(pieces, languages, np.stack([learn(finder, counts[k], rounds) for k in languages], 1))
 
 
-_FINDERS: dict[int, Pieces] = {}
+@lru_cache(maxsize=4)
+def _finder(pieces: tuple[str, ...]) -> Pieces:
+    """The worker's own finder of a vocabulary."""
+    return Pieces(list(pieces))
 
 
-def predict(docs: DataFrame, model: Model, keep_hash: bool = False) -> DataFrame:
-    """doc_id, lang_pred and score (and with ``keep_hash`` text_hash, xxhash64 of the text) of every row, from its text alone.
+def _predictions(m: Model, texts: list[str]) -> tuple[list[str], list[float]]:
+    finder, names, scores = _finder(tuple(m.pieces)), [], []
+    for a, b in groups_of(texts, 1 << 22):
+        split = [words(x) for x in texts[a:b]]
+        number = {w: i for i, w in enumerate(set().union(*split))}
+        each = log_likelihoods(finder, m.chance, list(number))
+        for own in split:
+            if not own or not m.languages:
+                names.append("und")
+                scores.append(0.0)
+                continue
+            odds = each[np.fromiter(map(number.__getitem__, own), np.int64, len(own))].sum(0)
+            best = int(odds.argmax())
+            names.append(m.languages[best])
+            scores.append(float(1 / np.exp(odds - odds[best]).sum()))
+    return names, scores
+
+
+def predict(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, lang_pred and score of every row, from its text alone.
 
     ``und`` and 0 for a null text, one without a letter, or a model that has learned no language. The score is
     the posterior of the predicted language. Equal likelihoods go to the language first by name.
@@ -203,36 +260,40 @@ def predict(docs: DataFrame, model: Model, keep_hash: bool = False) -> DataFrame
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = sent.value
-        finder = _FINDERS.setdefault(len(m.pieces), Pieces(m.pieces))
         for batch in batches:
-            texts = batch["text"].tolist()
-            names, scores = [], []
-            for a, b in groups_of(texts, 1 << 23):
-                split = [words(x) for x in texts[a:b]]
-                number = {w: i for i, w in enumerate(set().union(*split))}
-                each = log_likelihoods(finder, m.chance, list(number))
-                for own in split:
-                    if not own or not m.languages:
-                        names.append("und")
-                        scores.append(0.0)
-                        continue
-                    odds = each[np.fromiter(map(number.__getitem__, own), np.int64, len(own))].sum(0)
-                    best = int(odds.argmax())
-                    names.append(m.languages[best])
-                    scores.append(float(1 / np.exp(odds - odds[best]).sum()))
+            names, scores = _predictions(sent.value, batch["text"].tolist())
             yield batch.drop(columns="text").assign(lang_pred=names, score=scores)
 
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    own = own.withColumn("text_hash", F.xxhash64("text")) if keep_hash else own
-    return own.mapInPandas(run, "doc_id long, " + "text_hash long, " * keep_hash + "lang_pred string, score double")
+    return own.mapInPandas(run, "doc_id long, lang_pred string, score double")
+
+
+def recognised(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose predicted language has a score of ``least`` or more, with all their columns.
+
+    Rows without a letter go. One pass over whole rows, without a shuffle. A model that has learned no language
+    rejects only rows without a letter.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [x or "" for x in batch.column("text").to_pylist()]
+            if sent.value.languages:
+                keep = [n != "und" and s >= least for n, s in zip(*_predictions(sent.value, texts), strict=True)]
+            else:
+                keep = [bool(words(x)) for x in texts]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def identified(docs: DataFrame, vocabulary_path: str, sample: int = 500, rounds: int = 3) -> DataFrame:
     """Per row of ``docs`` (doc_id, text, lang): doc_id, held_out, lang_pred, score.
 
     Learns from the rows whose crc32(doc_id) mod 3 is not 1 and predicts all. Repeated rows come back each; a null
-    doc_id is not held out; other columns are left aside; an empty table gives an empty table.
+    doc_id is not held out; other columns are left aside; an empty table gives an empty table. A text of any length
+    is scored whole, in time linear in its letters, also where they are one unbroken word.
     """
     out = remainder_is(F.col("doc_id"), 3, 1)
     model = train(docs.where(~out), vocabulary_path, sample, rounds)
