@@ -156,6 +156,15 @@ def test_suffix_array():
         assert suffix.suffix_array(data, n + 1).tolist() == sorted(range(n), key=lambda i: data[i:])
 
 
+def test_common_prefixes():
+    rng = np.random.default_rng(1)
+    for most in (1, 5, 8, 30, 100):
+        data = bytes(rng.integers(2, size=300, dtype=np.uint8)) + b"x" * 60
+        a, b = rng.integers(0, 200, 400), rng.integers(200, 360, 400)
+        want = [next((k for k in range(most) if data[i + k : i + k + 1] != data[j + k : j + k + 1] or j + k >= len(data)), most) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+        assert suffix.common_prefixes(data, a, b, most).tolist() == want
+
+
 def components(links, n):
     label = list(range(n))
     while True:

@@ -7,7 +7,7 @@
    segments the earliest stays and the others are removed whole. No text moves for that, and a passage that very
    many documents share costs one row for each batch.
 3. Anchors that differing segments share are contested (the edges of shared passages). Only those segments' texts
-   move, to where their anchor is decided. There a suffix array is built by two-stage sorting: suffixes smaller
+   move, to where their anchor is decided; a crowded anchor's segments get longer anchors first. There a suffix array is built by two-stage sorting: suffixes smaller
    than their successors are sorted directly, the others are induced from them by bucket scans. Windows that are
    equal are then neighbours with a common prefix of ``length``; the earliest stays.
 4. Each document's removed spans are joined to its text.
@@ -170,18 +170,21 @@ def suffix_array(buffer: bytes, depth: int) -> np.ndarray:
     return out
 
 
-def common_prefix_reaches(buffer: bytes, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
-    """Whether the suffixes at ``a`` and ``b`` have a common prefix of ``length`` bytes, eight bytes at a time."""
+def common_prefixes(buffer: bytes, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """The common prefixes, in bytes and up to ``most``, of the suffixes at ``a`` and ``b``, eight bytes at a time."""
     padded = np.frombuffer(buffer + bytes(8), np.uint8).astype(np.uint64)
     word = np.zeros(len(buffer) + 1, np.uint64)
     for k in range(8):
         word |= padded[k : k + len(word)] << np.uint64(8 * k)
-    same = np.arange(len(a))
-    for k in [*range(0, length - 7, 8), max(0, length - 8)]:
-        same = same[word[a[same] + k] == word[b[same] + k]]
-    out = np.zeros(len(a), bool)
-    out[same] = True
-    return out
+    out, same, end = np.full(len(a), most, np.int64), np.arange(len(a)), len(buffer)
+    for k in range(0, most, 8):
+        differ = word[np.minimum(a[same] + k, end)] ^ word[np.minimum(b[same] + k, end)]
+        other = np.flatnonzero(differ)
+        # the bytes below the lowest bit that differs
+        low = np.bitwise_count((differ[other] & (~differ[other] + np.uint64(1))) - np.uint64(1)).astype(np.int64)
+        out[same[other]] = k + low // 8
+        same = same[differ == 0]
+    return np.minimum(np.minimum(out, most), end - np.maximum(a, b))
 
 
 def later_windows(rows: pd.DataFrame, length: int) -> pd.DataFrame:
@@ -194,7 +197,7 @@ def later_windows(rows: pd.DataFrame, length: int) -> pd.DataFrame:
         owner[a : a + n] = i
     order = suffix_array(buffer, length)
     order = order[owner[order] >= 0]
-    new = np.append(True, ~common_prefix_reaches(buffer, order[:-1], order[1:], length))[: len(order)]
+    new = np.append(True, common_prefixes(buffer, order[:-1], order[1:], length) < length)[: len(order)]
     group = np.cumsum(new)
     many = np.bincount(group)[group] > 1
     order, group = order[many], group[many]
@@ -258,8 +261,13 @@ def repeated_spans(docs: DataFrame, length: int = 100, gram: int = 20) -> DataFr
     dealt = segments.repartition(F.when(F.col("decided"), F.xxhash64("doc_id", "start")).otherwise(F.col("anchor"))).sortWithinPartitions("decided", "anchor", "segment", "doc_id", "copy", "start")
     found = materialise(dealt.mapInPandas(reduce, keyed), "segments")
     released(spark)
+    # an anchor with more than a batch is told apart by a longer one before its segments move
     contested = found.where("not decided")
-    lists = contested.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("anchor", "start", "end")).alias("parts"))
+    size = F.sum(F.col("end") - F.col("start"))
+    total = contested.agg(F.coalesce(size, F.lit(0))).first()[0]
+    crowded = contested.groupBy("anchor").agg(size.alias("size")).where(F.col("size") > max(BATCH // 4, total // 100_000)).select("anchor", F.lit(True).alias("crowded"))
+    told = contested.join(F.broadcast(crowded), "anchor", "left")  # 100,000 rows at most
+    lists = told.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("anchor", "start", "end", F.coalesce("crowded", F.lit(False)).alias("crowded"))).alias("parts"))
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -267,10 +275,23 @@ def repeated_spans(docs: DataFrame, length: int = 100, gram: int = 20) -> DataFr
                 rows = []
                 for doc, copy, text, parts in batch[["doc_id", "copy", "text", "parts"]].iloc[a:b].itertuples(index=False):
                     data = text.encode()
-                    rows += [(doc, copy, p["start"], p["end"] - p["start"] - length + 1, p["anchor"], data[p["start"] : p["end"]]) for p in parts]
-                yield pd.DataFrame(rows, columns=["doc_id", "copy", "start", "windows", "anchor", "text"])
+                    for p in parts:
+                        part, windows = data[p["start"] : p["end"]], p["end"] - p["start"] - length + 1
+                        if p["crowded"]:
+                            rows += [(doc, copy, s, n, k, t, -1, True) for k, s, n, t in finer(p["anchor"], p["start"], windows, part, length, gram)]
+                        else:
+                            rows.append((doc, copy, p["start"], windows, p["anchor"], part, -1, False))
+                frame = pd.DataFrame(rows, columns=["doc_id", "copy", "start", "windows", "anchor", "text", "end", "fine"])
+                # of equal texts of one longer anchor in a batch the first stays and the others go whole
+                fine = frame[frame["fine"]].sort_values(["anchor", "text", "doc_id", "copy", "start"], kind="stable")
+                again = fine.duplicated(["anchor", "text"])
+                gone = fine[again]
+                start = gone["start"].to_numpy(np.int64)
+                yield pd.concat([frame[~frame["fine"]], fine[~again]])
+                yield _runs(gone["doc_id"].to_numpy(np.int64), gone["copy"].to_numpy(np.int64), start, start + gone["windows"].to_numpy(np.int64) + length - 1).assign(windows=0, anchor=0, text=b"", fine=True)
 
-    moved = docs.join(lists, ["doc_id", "copy"]).mapInPandas(fetch, "doc_id long, copy int, start long, windows long, anchor long, text binary")
+    moved = materialise(docs.join(lists, ["doc_id", "copy"]).mapInPandas(fetch, "doc_id long, copy int, start long, windows long, anchor long, text binary, end long, fine boolean"), "moved")
+    segment = ("doc_id", "copy", "start", "windows", "anchor", "text")
 
     placed = "doc_id long, copy int, start long, end long, windows long, anchor long, text binary, w1 long, w2 long"
 
@@ -333,14 +354,14 @@ def repeated_spans(docs: DataFrame, length: int = 100, gram: int = 20) -> DataFr
         dealt = rows.repartition("anchor").sortWithinPartitions("anchor", "text", "doc_id", "copy", "start")
         return materialise(dealt.mapInPandas(lambda batches: settle(level, batches), placed), "settled")
 
-    first_level = settled(moved, 1)
+    first_level = settled(moved.where("not fine").select(*segment), 1)
     released(spark)
-    second_level = settled(first_level.where("windows > 0").select("doc_id", "copy", "start", "windows", "anchor", "text"), 2)
+    second_level = settled(first_level.where("windows > 0").select(*segment).unionByName(moved.where("fine and end < 0").select(*segment)), 2)
     singles = second_level.where("end < 0")
     first = singles.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "copy", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
     later = singles.join(first, ["w1", "w2"]).where(F.struct("doc_id", "copy", "start") > F.col("first")).select("doc_id", "copy", "start", (F.col("start") + length).alias("end"))
     columns = ["doc_id", "copy", "start", "end"]
-    return found.where("decided").select(*columns).unionByName(first_level.where("end >= 0").select(*columns)).unionByName(second_level.where("end >= 0").select(*columns)).unionByName(later)
+    return found.where("decided").select(*columns).unionByName(moved.where("end >= 0").select(*columns)).unionByName(first_level.where("end >= 0").select(*columns)).unionByName(second_level.where("end >= 0").select(*columns)).unionByName(later)
 
 
 def deduplicated(docs: DataFrame, length: int = 100, gram: int = 20, texts: bool = False) -> DataFrame:
