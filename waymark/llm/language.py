@@ -16,11 +16,10 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import groups_of, remainder_is
+from ._shared import groups_of, remainder_is, text_hash
 
 #: The factor of the rolling hash; the least probability of a character.
 FACTOR, LEAST = np.uint64(0x9E3779B97F4A7C15), 1e-7
@@ -144,8 +143,8 @@ def log_likelihoods(pieces: Pieces, chance: np.ndarray, unique: list[str]) -> np
     short = [i for i, w in enumerate(unique) if len(w) <= LONG]
     for i in set(range(len(unique))) - set(short):
         out[i] = _log_likelihood(pieces, chance, unique[i])
-    # a block's sums are (width, words, languages) doubles: 128 MB at most, however many languages there are
-    for part, codes in _blocks([unique[i] for i in short], max(LONG * 16, 16_000_000 // max(4, chance.shape[1]))):
+    # a block's sums are (width, words, languages) doubles: 32 MB at most, however many languages there are
+    for part, codes in _blocks([unique[i] for i in short], max(LONG * 16, 4_000_000 // max(4, chance.shape[1]))):
         n, width = codes.shape
         alpha = np.zeros((width + 1, n, chance.shape[1]))
         alpha[0], scale, done = 1, np.zeros((n, chance.shape[1])), 0
@@ -268,24 +267,24 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return own.mapInPandas(run, "doc_id long, lang_pred string, score double")
 
 
-def recognised(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose predicted language has a score of ``least`` or more, with all their columns.
+def unrecognised(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """doc_id and text_hash of the rows of ``docs`` whose predicted language has a score below ``least``.
 
-    Rows without a letter go. One pass over whole rows, without a shuffle. A model that has learned no language
-    rejects only rows without a letter.
+    So has a row without a letter. A model that has learned no language finds only rows without a letter.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = [x or "" for x in batch.column("text").to_pylist()]
+            texts = batch["text"].tolist()
             if sent.value.languages:
                 keep = [n != "und" and s >= least for n, s in zip(*_predictions(sent.value, texts), strict=True)]
             else:
                 keep = [bool(words(x)) for x in texts]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            yield batch.loc[~np.array(keep, bool), ["doc_id", "text_hash"]]
 
-    return docs.mapInArrow(run, docs.schema)
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", text_hash(F.col("text")))
+    return own.mapInPandas(run, "doc_id long, text_hash long")
 
 
 def identified(docs: DataFrame, vocabulary_path: str, sample: int = 500, rounds: int = 3) -> DataFrame:
