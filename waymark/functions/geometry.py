@@ -36,9 +36,9 @@ def bbox(points: Column) -> Column:
     return F.struct(F.array_min(xs).alias("minx"), F.array_min(ys).alias("miny"), F.array_max(xs).alias("maxx"), F.array_max(ys).alias("maxy"))
 
 
-def feature_bbox(parts: Column, most: int = 5000) -> Column:
-    """The box of a feature's first ``most`` vertices."""
-    return bbox(F.slice(F.flatten(parts), 1, most))
+def feature_bbox(parts: Column, most: int | None = None) -> Column:
+    """The box of a feature's vertices, or of its first ``most``."""
+    return bbox(F.flatten(parts) if most is None else F.slice(F.flatten(parts), 1, most))
 
 
 def boxes_meet(a: Column, b: Column) -> Column:
@@ -92,6 +92,12 @@ def nearest_on_segment(px: Column, py: Column, a: Column, b: Column) -> Column:
     return F.struct(x.alias("x"), y.alias("y"), t.alias("t"), ((px - x) * (px - x) + (py - y) * (py - y)).alias("d2"))
 
 
+def nearest_on_line(px: Column, py: Column, points: Column) -> Column:
+    """(d2, seg, t, x, y): the point of a polyline that is nearest to p, on its first segment of those equally near."""
+    each = F.transform(pairs(points), lambda ab, i: F.struct(nearest_on_segment(px, py, ab["a"], ab["b"]).alias("n"), i.alias("seg")))
+    return F.array_min(F.transform(each, lambda s: F.struct(s["n"]["d2"].alias("d2"), s["seg"].alias("seg"), s["n"]["t"].alias("t"), s["n"]["x"].alias("x"), s["n"]["y"].alias("y"))))
+
+
 def projected(x: Column, y: Column, lat0: Column) -> Column:
     """Local equirectangular metres at a latitude of origin."""
     return point(F.radians(x) * EARTH_M * F.cos(F.radians(lat0)), F.radians(y) * EARTH_M)

@@ -10,8 +10,17 @@ from pyspark.sql import functions as F
 
 #: What Python's float() accepts, but for inf and nan.
 NUMBER = r"^\s*[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\s*$"
-#: Time formats tried after ISO, in this order. Fixed values.
-TIME_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd HH:mm", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm", "yyyyMMddHHmmss", "yyyyMMdd HH:mm:ss")
+#: Time formats tried after ISO, in this order; a fraction has one to six digits. Fixed values.
+TIME_FORMATS = (
+    "yyyy-MM-dd'T'HH:mm:ss",
+    "yyyy-MM-dd HH:mm:ss",
+    "yyyy/MM/dd HH:mm:ss",
+    "yyyy/MM/dd'T'HH:mm:ss",
+    "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+    "yyyy-MM-dd HH:mm:ss.SSSSSS",
+    "yyyy/MM/dd HH:mm:ss.SSSSSS",
+    "yyyy/MM/dd'T'HH:mm:ss.SSSSSS",
+)
 
 
 def sql_literal(token: str) -> Any:

@@ -6,6 +6,8 @@ corner of where the two boxes overlap), so no pair comes twice and no distinct i
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,20 +33,22 @@ def box_join(left: DataFrame, right: DataFrame, left_box: str, right_box: str, s
 def k_nearest(points: DataFrame, nodes: DataFrame, x: str, y: str, k: int, size: float, rank: Column, degrees: bool = True) -> DataFrame:
     """For each of ``points`` (point_id, x, y) its ``k`` nearest ``nodes`` (node_id, nx, ny), by ``rank`` (a distance), exact.
 
-    Rings of cells are searched in rounds, each twice as wide; a point is done when its k-th distance, in units of
+    Rings of cells are searched in rounds, each four times as wide; a point is done when its k-th distance, in units of
     ``x`` and ``y`` (with ``degrees``, of those at the point's latitude), lies well within the ring that was searched
     whole. Ties go to the lower node_id.
     """
     from pyspark.sql import Window
 
-    bounds = nodes.agg(F.min("nx"), F.max("nx"), F.min("ny"), F.max("ny")).first()
+    bounds = nodes.agg(F.min("nx"), F.max("nx"), F.min("ny"), F.max("ny"), F.count("*")).first()
     if bounds[0] is None:
         return points.crossJoin(nodes.limit(0)).withColumns({"distance": F.lit(0.0), "rank": F.lit(1)})
     ends = points.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
     if ends[0] is None:
         ends = bounds
     whole = max(max(bounds[1], ends[1]) - min(bounds[0], ends[0]), max(bounds[3], ends[3]) - min(bounds[2], ends[2])) + size
-    left, found, reach = points, None, size
+    # so wide that the first ring holds enough nodes where they lie evenly: most points need one round
+    even = math.sqrt(max(bounds[1] - bounds[0], size) * max(bounds[3] - bounds[2], size) * k / bounds[4])
+    left, found, reach = points, None, max(size, 2.5 * even)
     order = Window.partitionBy("point_id").orderBy("distance", "node_id")
     while True:
         cells = nodes.withColumns({"gx": F.floor(F.col("nx") / reach).cast("long"), "gy": F.floor(F.col("ny") / reach).cast("long")})

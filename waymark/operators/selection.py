@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import box, box_within_degrees, box_within_m, boxes_meet, feature_bbox, metres_to_degrees
 from ..functions.values import number, selection_literal, wildcard
+from .gridjoin import box_join
 
 #: What the index calls kinds of geometry. Fixed values.
 KINDS = {"point": ("Point", "MultiPoint"), "polyline": ("LineString", "MultiLineString"), "polygon": ("Polygon", "MultiPolygon")}
@@ -120,17 +121,37 @@ def _refs(table: DataFrame, refs: list[Any]) -> DataFrame:
     return table.sparkSession.createDataFrame(boxes_of(refs), "minx double, miny double, maxx double, maxy double").select(F.struct("minx", "miny", "maxx", "maxy").alias("ref"))
 
 
+def _side(refs: list[Any]) -> float:
+    """A grid cell as wide as the reference boxes are on average, so that each covers a few cells."""
+    spans = [max(b[2] - b[0], b[3] - b[1]) for b in boxes_of(refs)]
+    return min(1.0, max(0.001, sum(spans) / max(1, len(spans))))
+
+
 def meeting_boxes(table: DataFrame, refs: list[Any]) -> DataFrame:
-    """Ids (id_long, distinct, ascending) of the features that meet any of the reference boxes."""
-    own = table.where("id_long is not null").withColumn("own", feature_bbox(F.col("parts")))
-    return own.join(_refs(table, refs), boxes_meet(F.col("own"), F.col("ref")), "left_semi").select("id_long").distinct().orderBy("id_long")
+    """Ids (id_long, distinct, ascending) of the features that meet any of the reference boxes; a join on grid cells."""
+    own = table.where("id_long is not null").select("id_long", feature_bbox(F.col("parts")).alias("own")).where("own.minx is not null")
+    return box_join(own, _refs(table, refs), "own", "ref", _side(refs)).select("id_long").distinct().orderBy("id_long")
 
 
 def around_boxes(table: DataFrame, refs: list[Any], metres: float) -> DataFrame:
     """Ids (id_long, distinct, ascending) of the features within ``metres`` of the centre of any reference box."""
-    own = table.where("id_long is not null").withColumn("own", feature_bbox(F.col("parts")))
+    own = table.where("id_long is not null").select("id_long", feature_bbox(F.col("parts")).alias("own")).where("own.minx is not null")
     cx, cy = (F.col("ref.minx") + F.col("ref.maxx")) / 2, (F.col("ref.miny") + F.col("ref.maxy")) / 2
-    return own.join(_refs(table, refs), box_within_m(F.col("own"), cx, cy, F.lit(float(metres))), "left_semi").select("id_long").distinct().orderBy("id_long")
+    dx, dy = metres_to_degrees(F.col("cy"), F.lit(float(metres)))
+    # a little wider than the circle, which alone decides
+    around = _refs(table, refs).select(cx.alias("cx"), cy.alias("cy")).withColumn("around", F.struct((F.col("cx") - dx * 1.001).alias("minx"), (F.col("cy") - dy * 1.001).alias("miny"), (F.col("cx") + dx * 1.001).alias("maxx"), (F.col("cy") + dy * 1.001).alias("maxy")))
+    met = box_join(own, around, "own", "around", min(1.0, max(0.001, metres / 50_000)))
+    return met.where(box_within_m(F.col("own"), F.col("cx"), F.col("cy"), F.lit(float(metres)))).select("id_long").distinct().orderBy("id_long")
+
+
+def difference(table: DataFrame, other: DataFrame, key: str = "id") -> DataFrame:
+    """``key`` of the rows of ``table``, less one for each row of ``other`` with the same."""
+    return table.select(key).exceptAll(other.select(key))
+
+
+def delete_first(table: DataFrame, rows: DataFrame, key: str = "id", order: str = "seq") -> DataFrame:
+    """``table`` without the first of ``rows`` (a selection from it) by ``order``; all of it where nothing is selected."""
+    return table.join(F.broadcast(rows.agg(F.min_by(key, order).alias(key))), key, "left_anti")  # one row
 
 
 def in_box_points(points: DataFrame, minx: float, miny: float, maxx: float, maxy: float) -> DataFrame:

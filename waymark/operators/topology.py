@@ -101,6 +101,15 @@ def summary(issues: DataFrame) -> DataFrame:
     return issues.groupBy("kind").agg(F.count("*").alias("n"))
 
 
+def statistics(features_or_lines: DataFrame, box: Column | None = None) -> DataFrame:
+    """lines, segments, pairs: what a check of a layer looks at; pairs are segments of two lines whose boxes meet."""
+    layer = features_or_lines if "pts" in features_or_lines.columns else lines(features_or_lines, box)
+    own = segments(layer).select("fid", bbox(F.array("a", "b")).alias("bb"))
+    pairs_ = box_join(own.toDF("fid1", "bb1"), own.toDF("fid2", "bb2"), "bb1", "bb2", layer_cell(layer), F.col("fid1") < F.col("fid2")).agg(F.count("*").alias("pairs"))
+    counts = layer.agg(F.count_distinct("fid").alias("lines"), F.coalesce(F.sum(F.size("pts") - 1), F.lit(0)).cast("long").alias("segments"))
+    return counts.join(pairs_)  # one row each
+
+
 def nodes_on_lines(layer: DataFrame, nodes: DataFrame, digits: int = 6, cell: float | None = None) -> DataFrame:
     """fid, part, seg, t, ix, iy: where each node (ix, iy) cuts the parts that it lies on but does not end.
 
