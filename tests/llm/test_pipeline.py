@@ -31,6 +31,33 @@ def test_stages(spark):
     assert all(len(a & b) < 0.8 * len(a | b) for i, a in enumerate(sets) for b in sets[:i] if a | b)
 
 
+ROWS = [
+    (1, None, None, None, None), (2, "", "en", "a", 0), (3, "½ ² ①", "en", "a", 5), (4, "the same words again and again in this text", "en", None, 43),
+    (4, "the same words again and again in this text", "en", None, 43), (None, "a row without an id but with mail x.y@example.com in it", "de", "a", 9), (6, "long words " * 30_000 + "x" * 5000, "en", "c", 170_000),
+]
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls in any column, empty and very long texts, repeated rows, clashing names, and empty tables."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    odd = spark.createDataFrame(ROWS, schema).selectExpr("*", "1 AS keep", "'x' AS text_hash", "2 AS own_id", "3 AS row", "array(1) AS pii_spans")
+    counts = lambda rows: sorted((-1 if r.doc_id is None else r.doc_id) for r in rows)
+    want = {"language_id": [-1, 4, 4, 6], "simhash_near_dedup": [-1, 1, 4, 6], "decontamination": [-1, 1, 2, 3, 4, 4, 6], "pii": [-1, 1, 2, 3, 4, 4, 6]}
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, odd, DATA)
+        if name in want:
+            assert got.columns == odd.columns
+            rows = got.collect()
+            ids = counts(rows)
+            assert ids == want[name] or name == "simhash_near_dedup" and sorted(set(ids) & {-1, 4, 6}) == [-1, 4, 6], (name, ids)
+            assert all(r.own_id == 2 and r.row == 3 and r.keep == 1 for r in rows)
+        else:
+            assert got.where("piece = 0").count() == len(ROWS)
+        assert stage(spark, odd.limit(0), DATA).count() == 0
+    unlabelled = odd.drop("lang").selectExpr("*", "cast(null AS string) AS lang")
+    assert counts(corpus_pipeline.identify_language(spark, unlabelled, DATA).collect()) == [-1, 4, 4, 6]
+
+
 def test_repeated_rows_count_once(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g", "en", "s", 13), (1, "a b c d e f g", "en", "s", 13), (1, "other words are here now too", "en", "s", 28), (2, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
     out = corpus_pipeline.drop_near_copies(spark, docs, DATA)

@@ -98,17 +98,22 @@ def train(rows: DataFrame, dimensions: int = 48) -> Model:
 
 
 def votes(model: Model, found: np.ndarray, neighbours: int, sharpness: float, block: int = 512) -> np.ndarray:
-    """The share of label 1 among the nearest, weighted by the power ``sharpness`` of their cosines."""
+    """The share of label 1 among the nearest, weighted by the power ``sharpness`` of their cosines.
+
+    The nearest are all that are as near as the last of ``neighbours``, so equal ones count alike, in whatever order
+    they come. Where none has a cosine above 0, the share of label 1 in the sample.
+    """
     out = np.full(len(found), model.share)
     k = min(neighbours, len(model.points))
     if not k:
         return out
     for a in range(0, len(found), block):
         near = _norm((found[a : a + block] * model.weight) @ model.space) @ model.points.T
-        best = np.argpartition(-near, k - 1, axis=1)[:, :k] if k < near.shape[1] else np.tile(np.arange(k), (len(near), 1))
-        w = np.maximum(np.take_along_axis(near, best, 1), 0).astype(np.float64) ** sharpness
-        total = w.sum(1)
-        out[a : a + block] = np.where(total > 1e-12, (w * model.labels[best]).sum(1) / np.maximum(total, 1e-12), model.share)
+        last = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k, None]
+        i, j = np.nonzero(near >= np.maximum(last, 0))
+        w = near[i, j].astype(np.float64) ** sharpness
+        total, ones = np.bincount(i, w, len(near)), np.bincount(i, w * model.labels[j], len(near))
+        out[a : a + block] = np.where(total > 1e-12, ones / np.maximum(total, 1e-12), model.share)
     return np.clip(out, 0, 1)
 
 
@@ -133,7 +138,8 @@ def classified(docs: DataFrame, labels: DataFrame, sample: int = 1500, neighbour
     """Per row of ``docs``: doc_id, held_out, score, predicted, for ``labels`` (doc_id, quality).
 
     Labels are learned from at most about ``sample`` rows of each label whose crc32(doc_id) mod 3 is not 1. Null
-    and empty texts are scored by their (empty) terms. Without any label every score is 0.5. Repeated rows come
+    and empty texts are scored by their (empty) terms; a text of any length is read whole. Texts of equal terms, and so
+    of equal shapes, have equal scores. Without any label every score is 0.5. Repeated rows come
     back each; a null doc_id is not held out; other columns are left aside; an empty table gives an empty table.
     """
     out = remainder_is(F.col("doc_id"), 3, 1)
