@@ -32,16 +32,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _WRITTEN = "_waymark_written"
+#: Spark's setting by which the shuffle files of a query go when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it again.
 
-    Cuts the lineage: a lost executor costs only the tasks that it ran, and several uses don't recompute.
+    Cuts the lineage: a lost executor costs only the tasks that it ran, and several uses don't recompute. The
+    shuffle files of the write go with it, as nothing reads them again.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     setattr(out, _WRITTEN, path)
     return out
@@ -53,14 +64,6 @@ def freed(*tables: DataFrame) -> None:
         t.sparkSession.createDataFrame([], t.schema).write.mode("overwrite").parquet(getattr(t, _WRITTEN))
 
 
-def released(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
