@@ -29,7 +29,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 RANK_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 HUGE, CHUNK, OVERLAP = 65_536, 32_768, 256
 #: Words whose ids a worker remembers, in two generations.
-REMEMBERED = 200_000
+REMEMBERED = 60_000
 
 
 #: Letters that normalisation leaves as they are, but for their case.
@@ -84,7 +84,7 @@ class JsonCodec:
 
     def _words(self, texts: list[str]) -> list[np.ndarray]:
         out = []
-        for a, b in groups_of(texts, 1 << 24):
+        for a, b in groups_of(texts, 1 << 20):
             split = [x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for x in texts[a:b]]
             if len(self.young) > REMEMBERED:
                 self.old, self.young = self.young, {"": b""}
@@ -259,7 +259,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, huge: int =
         for batch in batches:
             texts = batch["text"].tolist()
             tokens, sizes = [], []
-            for a, b in groups_of(texts, 1 << 22):
+            for a, b in groups_of(texts, 1 << 20):
                 part = texts[a:b]
                 tokens += [len(x) for x in encoded(library, part, huge, chunk, overlap)]
                 sizes += [len(x.encode()) for x in part]
