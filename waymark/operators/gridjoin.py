@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import boxes_meet
@@ -30,40 +30,51 @@ def box_join(left: DataFrame, right: DataFrame, left_box: str, right_box: str, s
     return (joined.where(condition) if condition is not None else joined).drop("gx", "gy")
 
 
-def k_nearest(points: DataFrame, nodes: DataFrame, x: str, y: str, k: int, size: float, rank: Column, degrees: bool = True) -> DataFrame:
+#: Cells that sum up the nodes for points that lie far from them; so many rows go to every executor.
+CELLS = 4096
+
+
+def k_nearest(points: DataFrame, nodes: DataFrame, x: str, y: str, k: int, size: float, rank: Column, degrees: bool = True, metric: Column | None = None, unit: float = 1.0) -> DataFrame:
     """For each of ``points`` (point_id, x, y) its ``k`` nearest ``nodes`` (node_id, nx, ny), by ``rank`` (a distance), exact.
 
-    Rings of cells are searched in rounds, each four times as wide; a point is done when its k-th distance, in units of
-    ``x`` and ``y`` (with ``degrees``, of those at the point's latitude), lies well within the ring that was searched
-    whole. Ties go to the lower node_id.
+    First the cells around each point are searched; a point is done when its k-th distance, in units of ``x`` and
+    ``y`` (with ``degrees``, of those at the point's latitude), lies well within what was searched whole. Points that
+    are left lie off the nodes: ``CELLS`` cells at most sum up the nodes by centre, radius and number. By the triangle
+    inequality a cell with ``k`` nodes bounds the k-th distance, and only cells that come nearer are searched.
+    ``metric`` is a distance that rises with ``rank`` (default: itself) and is at most ``unit`` times that in ``x`` and
+    ``y``. Ties go to the lower node_id.
     """
-    from pyspark.sql import Window
-
     bounds = nodes.agg(F.min("nx"), F.max("nx"), F.min("ny"), F.max("ny"), F.count("*")).first()
     if bounds[0] is None:
         return points.crossJoin(nodes.limit(0)).withColumns({"distance": F.lit(0.0), "rank": F.lit(1)})
-    ends = points.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
-    if ends[0] is None:
-        ends = bounds
-    whole = max(max(bounds[1], ends[1]) - min(bounds[0], ends[0]), max(bounds[3], ends[3]) - min(bounds[2], ends[2])) + size
-    # so wide that the first ring holds enough nodes where they lie evenly: most points need one round
-    even = math.sqrt(max(bounds[1] - bounds[0], size) * max(bounds[3] - bounds[2], size) * k / bounds[4])
-    left, found, reach = points, None, max(size, 2.5 * even)
+    width, height = max(bounds[1] - bounds[0], size), max(bounds[3] - bounds[2], size)
+    # so wide that the cells around a point hold enough nodes where they lie evenly
+    reach = max(size, 2.5 * math.sqrt(width * height * k / bounds[4]))
     order = Window.partitionBy("point_id").orderBy("distance", "node_id")
-    while True:
-        cells = nodes.withColumns({"gx": F.floor(F.col("nx") / reach).cast("long"), "gy": F.floor(F.col("ny") / reach).cast("long")})
-        near = with_cells(left.withColumn("own_box", F.struct(F.col(x).alias("minx"), F.col(y).alias("miny"), F.col(x).alias("maxx"), F.col(y).alias("maxy"))), "own_box", reach, reach).drop("own_box")
-        ranked = near.join(cells, ["gx", "gy"]).drop("gx", "gy").withColumn("distance", rank).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        last = reach > whole
-        flat = F.sqrt((F.col("nx") - F.col(x)) * (F.col("nx") - F.col(x)) + (F.col("ny") - F.col(y)) * (F.col("ny") - F.col(y)))
-        flat = flat / F.greatest(F.abs(F.cos(F.radians(F.col(y)))), F.lit(1e-6)) if degrees else flat
-        # what lies outside the searched ring is farther than ``reach``, so with k inside it nothing was missed
-        settled = ranked.groupBy("point_id").agg(F.count("*").alias("n"), F.max(flat).alias("far")).where(F.lit(last) | ((F.col("n") >= k) & (F.col("far") <= reach / 2))).select("point_id")
-        done = kept(ranked.join(settled, "point_id", "left_semi"), "nearest")
-        found = done if found is None else found.unionByName(done)
-        if last:
-            return found
-        left = kept(left.join(done.select("point_id"), "point_id", "left_anti"), "left")
-        if left.isEmpty():
-            return found
-        reach *= 4
+
+    def celled(side: float) -> DataFrame:
+        return nodes.withColumns({"gx": F.floor(F.col("nx") / side).cast("long"), "gy": F.floor(F.col("ny") / side).cast("long")})
+
+    def ranked(near: DataFrame, side: float) -> DataFrame:
+        return near.join(celled(side), ["gx", "gy"]).drop("gx", "gy").withColumn("distance", rank).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    own_box = F.struct(F.col(x).alias("minx"), F.col(y).alias("miny"), F.col(x).alias("maxx"), F.col(y).alias("maxy"))
+    found = ranked(with_cells(points.withColumn("own_box", own_box), "own_box", reach, reach).drop("own_box"), reach)
+    flat = F.sqrt((F.col("nx") - F.col(x)) * (F.col("nx") - F.col(x)) + (F.col("ny") - F.col(y)) * (F.col("ny") - F.col(y)))
+    flat = flat / F.greatest(F.abs(F.cos(F.radians(F.col(y)))), F.lit(1e-6)) if degrees else flat
+    # what lies outside the searched ring is farther than ``reach``, so with k inside it nothing was missed
+    settled = found.groupBy("point_id").agg(F.count("*").alias("n"), F.max(flat).alias("far")).where((F.col("n") >= k) & (F.col("far") <= reach / 2)).select("point_id")
+    done = kept(found.join(settled, "point_id", "left_semi"), "nearest")
+    left = kept(points.join(done.select("point_id").distinct(), "point_id", "left_anti"), "left")
+    if left.isEmpty():
+        return done
+    many = max(1, min(CELLS, bounds[4] // (4 * k)))
+    side = max(math.sqrt(width * height / many), max(width, height) / (many / 2))
+    centre = lambda c: (F.min(c) + F.max(c)) / 2
+    half = lambda c: (F.max(c) - F.min(c)) / 2
+    cells = celled(side).groupBy("gx", "gy").agg(centre("nx").alias("nx"), centre("ny").alias("ny"), (F.sqrt(half("nx") * half("nx") + half("ny") * half("ny")) * unit).alias("radius"), F.count("*").alias("n"))
+    cells = F.broadcast(kept(cells, "cells"))
+    far = metric if metric is not None else rank
+    most = left.select("point_id", x, y).crossJoin(cells).groupBy("point_id").agg(F.min(F.when(F.col("n") >= k, far + F.col("radius"))).alias("most"))
+    asked = left.join(most, "point_id").crossJoin(cells).where(F.col("most").isNull() | (far - F.col("radius") <= F.col("most") * (1 + 1e-9))).drop("nx", "ny", "radius", "n", "most")
+    return done.unionByName(ranked(asked, side))

@@ -112,7 +112,7 @@ def matched(rows: DataFrame, numbered: DataFrame, candidates: int = 2, cell_m: f
     points = rows.withColumn("point_id", F.struct("traj_id", "seq")).select("point_id", F.col("lon").alias("x"), F.col("lat").alias("y"))
     own = numbered.select("node_id", F.col("x").alias("nx"), F.col("y").alias("ny"))
     dx, dy = (F.col("nx") - F.col("x")) * F.cos(F.radians("y")), F.col("ny") - F.col("y")
-    near = k_nearest(points, own, "x", "y", candidates, cell_m / 111_320.0, dx * dx + dy * dy)
+    near = k_nearest(points, own, "x", "y", candidates, cell_m / 111_320.0, dx * dx + dy * dy, metric=F.sqrt(dx * dx + dy * dy))
     listed = near.groupBy("point_id").agg(F.sort_array(F.collect_list(F.struct("rank", "node_id", "nx", "ny"))).alias("near")).select("point_id.traj_id", "point_id.seq", "near")
     joined = rows.select("traj_id", "seq", "t_adjusted", "lon", "lat").join(listed, ["traj_id", "seq"])
 

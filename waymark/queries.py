@@ -328,10 +328,16 @@ def _(spark, d):
     return gridjoin.box_join(b.toDF("a", "box_a"), b.toDF("b", "box_b"), "box_a", "box_b", 500.0, F.col("a") < F.col("b")).select("a", "b")
 
 
+#: Perpendicular lines, and then collinear ones: these meet where an end of one lies on the other, the first in the order of ``with_intersection``.
 _T3 = """WITH {layer}, m AS (SELECT h.fid AS hf, v.fid AS vf, CAST(v.x0 AS BIGINT) AS x, CAST(h.y0 AS BIGINT) AS y, v.x0 IN (h.x0, h.x1) AS hn, h.y0 IN (v.y0, v.y1) AS vn
-FROM l2 h JOIN l2 v ON h.v = 0 AND v.v = 1 AND v.x0 BETWEEN h.x0 AND h.x1 AND h.y0 BETWEEN v.y0 AND v.y1)
+FROM l2 h JOIN l2 v ON h.v = 0 AND v.v = 1 AND v.x0 BETWEEN h.x0 AND h.x1 AND h.y0 BETWEEN v.y0 AND v.y1),
+o AS (SELECT fid, v, CASE WHEN v = 0 THEN y0 ELSE x0 END AS w, CASE WHEN v = 0 THEN x0 ELSE y0 END AS u0, CASE WHEN v = 0 THEN x1 ELSE y1 END AS u1 FROM l2),
+c AS (SELECT f.fid AS f1, g.fid AS f2, f.v, f.w, f.u0 AS a0, f.u1 AS a1, g.u0 AS b0, g.u1 AS b1, CASE WHEN g.u0 BETWEEN f.u0 AND f.u1 THEN g.u0 WHEN g.u1 BETWEEN f.u0 AND f.u1 THEN g.u1 WHEN f.u0 BETWEEN g.u0 AND g.u1 THEN f.u0 WHEN f.u1 BETWEEN g.u0 AND g.u1 THEN f.u1 END AS u
+FROM o f JOIN o g ON f.v = g.v AND f.w = g.w AND f.fid < g.fid)
 SELECT CASE WHEN hn OR vn THEN 'endpoint_on_segment' ELSE 'cross_without_node' END AS kind, x, y,
-CASE WHEN hn THEN hf WHEN vn THEN vf ELSE least(hf, vf) END AS fid_a, CASE WHEN hn THEN vf WHEN vn THEN hf ELSE greatest(hf, vf) END AS fid_b FROM m WHERE NOT (hn AND vn)"""
+CASE WHEN hn THEN hf WHEN vn THEN vf ELSE least(hf, vf) END AS fid_a, CASE WHEN hn THEN vf WHEN vn THEN hf ELSE greatest(hf, vf) END AS fid_b FROM m WHERE NOT (hn AND vn)
+UNION ALL SELECT 'endpoint_on_segment', CAST(CASE WHEN v = 0 THEN u ELSE w END AS BIGINT), CAST(CASE WHEN v = 0 THEN w ELSE u END AS BIGINT), CASE WHEN u IN (b0, b1) THEN f2 ELSE f1 END, CASE WHEN u IN (b0, b1) THEN f1 ELSE f2 END
+FROM c WHERE u IS NOT NULL AND NOT (u IN (a0, a1) AND u IN (b0, b1))"""
 
 
 def _crossings(spark: SparkSession, d: str, coarse: bool) -> DataFrame:
@@ -344,7 +350,7 @@ def _(spark, d):
     return _crossings(spark, d, False)
 
 
-@query("t3_t_junctions")
+@query("t3_t_junctions", _T3.format(layer=L2C))
 def _(spark, d):
     return _crossings(spark, d, True)
 
@@ -491,7 +497,7 @@ def _(spark, d):
     rows = tracks(spark, d).where("seq % 50 = 0").select(F.col("seq").alias("point_id"), F.col("lon").alias("x"), F.col("lat").alias("y"))
     own = lattice(spark, d)[1].select("node_id", F.col("x").alias("nx"), F.col("y").alias("ny"))
     dx, dy = (F.col("nx") - F.col("x")) * F.cos(F.radians("y")), F.col("ny") - F.col("y")
-    return gridjoin.k_nearest(rows, own, "x", "y", 1, 0.001, F.round(dx * dx + dy * dy, 14)).select(F.col("point_id").alias("seq"), "node_id")
+    return gridjoin.k_nearest(rows, own, "x", "y", 1, 0.001, F.round(dx * dx + dy * dy, 14), metric=F.sqrt(dx * dx + dy * dy)).select(F.col("point_id").alias("seq"), "node_id")
 
 
 @query("m2_w4_matched")
