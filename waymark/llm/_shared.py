@@ -36,23 +36,27 @@ _WRITTEN = "_waymark_written"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def materialise(df: DataFrame, label: str, batch: int | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it again.
 
     Cuts the lineage: a lost executor costs only the tasks that it ran, and several uses don't recompute. The
-    shuffle files of the write go with it, as nothing reads them again.
+    shuffle files of the write go with it, as nothing reads them again. ``batch`` bounds the rows that Python gets at
+    once, for steps whose rows are whole texts or long lists.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    settings = {_CLEANUP: "true"} | ({_BATCH: str(batch)} if batch else {})
+    before = {k: spark.conf.get(k, None) for k in settings}
     try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     setattr(out, _WRITTEN, path)
     return out

@@ -162,6 +162,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, seed: int
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+#: Rows that Python gets at once where they hold whole texts or sets of shingles.
+TEXTS = 1000
 #: Least shingles kept of each document by ``near_copies``: the first few choose tiles, all estimate likeness.
 SKETCH, TILES_OF = 16, 6
 #: From so many candidate pairs of a tile on, all its similarities are computed together.
@@ -333,7 +335,7 @@ def links_between(own: DataFrame, nodes: DataFrame, named: DataFrame, words: int
     each = Window.partitionBy("value")
     slots = firsts.select("node", "component", "size", F.posexplode("firsts").alias("place", "value"))
     slots = slots.select("*", F.count("*").over(each).alias("n"), F.min("component").over(each).alias("low"), F.max("component").over(each).alias("high")).where("low <> high").drop("low", "high")
-    placed = materialise(slots.withColumn("blocks", F.ceil(F.col("n") / tile).cast("int")).withColumn("block", F.pmod(F.xxhash64("node", "value"), "blocks").cast("int")), "firsts")
+    placed = materialise(slots.withColumn("blocks", F.ceil(F.col("n") / tile).cast("int")).withColumn("block", F.pmod(F.xxhash64("node", "value"), "blocks").cast("int")), "firsts", TEXTS)
     paired = placed.withColumn("pair", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("a"), F.greatest(k, F.col("block")).alias("b")))))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -342,7 +344,7 @@ def links_between(own: DataFrame, nodes: DataFrame, named: DataFrame, words: int
             yield pd.DataFrame(np.concatenate(out or [np.empty((0, 3), np.int64)]), columns=["a", "b", "node"]).drop_duplicates()
 
     grouped = paired.withColumn("second", F.col("block") > F.col("pair.a")).groupBy("value", F.col("pair.a").alias("a"), F.col("pair.b").alias("b")).agg(*[F.collect_list(c).alias(c) for c in ("node", "component", "size", "place", "second")])
-    asked = materialise(grouped.drop("value").mapInPandas(compare, "a long, b long, node long").distinct(), "asked")
+    asked = materialise(grouped.drop("value").mapInPandas(compare, "a long, b long, node long").distinct(), "asked", TEXTS)
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -389,7 +391,7 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius
             yield pd.concat([batch[["doc_id", "text_hash"]], frame], axis=1)
 
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    marked = materialise(own.mapInPandas(run, "doc_id long, text_hash long, node long, fp long, size int, sketch array<long>"), "sketches")
+    marked = materialise(own.mapInPandas(run, "doc_id long, text_hash long, node long, fp long, size int, sketch array<long>"), "sketches", TEXTS)
     nodes = materialise(marked.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.min(F.struct("size", "fp", "sketch")).alias("of")), "nodes")
     slots = nodes.where("of.size > 0").select("node", F.posexplode(F.slice("of.sketch", 1, TILES_OF)).alias("slot", "value"))
     shared = slots.groupBy("slot", "value").agg(F.count("*").alias("n")).where("n > 1")
@@ -418,11 +420,11 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius
         return pd.DataFrame({"u": node[[a for a, _ in links]], "v": node[[b for _, b in links]]}, dtype="int64")
 
     links = paired.select("slot", "value", "blocks", F.col("pair.a").alias("a"), F.col("pair.b").alias("b"), (F.col("block") > F.col("pair.a")).alias("second"), "node", "fp", "sketch", "shingles").groupBy("slot", "value", "blocks", "a", "b").applyInPandas(compare, "u long, v long")
-    links = materialise(links, "links")
+    links = materialise(links, "links", TEXTS)
     freed(placed)
     quick = components(links).withColumnRenamed("node", "of_node")
     quick = materialise(nodes.select("node").join(quick, F.col("node") == F.col("of_node"), "left").select("node", F.coalesce("component", "node").alias("component")), "quick")
-    rest = materialise(links_between(own, nodes.select("node", "least", "of.size"), quick, words, similarity, tile), "links")
+    rest = materialise(links_between(own, nodes.select("node", "least", "of.size"), quick, words, similarity, tile), "links", TEXTS)
     found = components(links.unionByName(rest)).withColumnRenamed("node", "of_node")
     # the rows that stand for their components, by nodes; a row stands if it is one of them, so no row is joined by component
     named = nodes.select("node", "least").join(found, F.col("node") == F.col("of_node"), "left")
