@@ -44,6 +44,22 @@ class Plan:
         return {k: np.array(getattr(self, k), np.int64)[order] for k in ("length", "lo", "hi", "base", "each", "at")}
 
 
+def _inverse(matrix: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan elimination with row pivots, in plain array steps: threads of a linear algebra library, which may
+    wait for each other for minutes beside a busy JVM, never start."""
+    k = len(matrix)
+    work = np.hstack([matrix.astype(float), np.eye(k)])
+    for i in range(k):
+        pivot = i + int(np.abs(work[i:, i]).argmax())
+        if pivot != i:
+            work[[i, pivot]] = work[[pivot, i]]
+        work[i] /= work[i, i]
+        factor = work[:, i].copy()
+        factor[i] = 0
+        work -= factor[:, None] * work[i]
+    return work[:, k:]
+
+
 def _configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, most: int = 3000) -> tuple[np.ndarray, np.ndarray]:
     """Configurations (rows: how many of each size) and how often to use each, by column generation.
 
@@ -52,11 +68,11 @@ def _configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, most:
     """
     k = len(sizes)
     basis = np.diag(np.maximum(capacity // sizes, 1)).astype(float)
-    inverse = np.linalg.inv(basis)
+    inverse = _inverse(basis)
     for step in range(most):
         if step % 50 == 49:
-            inverse = np.linalg.inv(basis)
-        price = np.ones(k) @ inverse
+            inverse = _inverse(basis)
+        price = inverse.sum(0)
         # best value at each fill with one item more a round; few sizes fit, so rounds are few
         best, rounds = np.zeros(capacity + 1), []
         for _ in range(int(capacity // sizes.min())):
@@ -78,16 +94,16 @@ def _configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, most:
             if pick[left] >= 0:
                 column[pick[left]] += 1
                 left -= sizes[pick[left]]
-        use, d = inverse @ demand, inverse @ column
+        use, d = (inverse * demand).sum(1), (inverse * column).sum(1)
         ratio = np.where(d > 1e-9, np.maximum(use, 0) / np.where(d > 1e-9, d, 1), np.inf)
         out = int(ratio.argmin())
         if not np.isfinite(ratio[out]):
             break
         basis[:, out] = column
         row = inverse[out] / d[out]
-        inverse = inverse - np.outer(d, row)
+        inverse = inverse - d[:, None] * row
         inverse[out] = row
-    return np.rint(basis.T).astype(np.int64), np.maximum(np.linalg.inv(basis) @ demand, 0)
+    return np.rint(basis.T).astype(np.int64), np.maximum((_inverse(basis) * demand).sum(1), 0)
 
 
 #: Groups, and what share of the capacity a large piece has at least: the plan with the fewest sequences is taken.

@@ -70,31 +70,41 @@ class Model:
 
 
 def train(rows: DataFrame, dimensions: int = 48) -> Model:
-    """Fit on ``rows`` (text, label), whose number the caller bounds. Their vectors reach the driver in sparse form."""
+    """Fit on ``rows`` (text, label), whose number the caller bounds. One task gathers their sparse vectors and decomposes them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, tuple[int, int]] = {}
         for batch in batches:
             for a, b in groups_of(batch["text"].tolist(), 1 << 22):
                 found = vectors(batch["text"].iloc[a:b].tolist(), known)
-                yield pd.DataFrame({"terms": [np.flatnonzero(v).astype("<i2").tobytes() for v in found], "values": [v[v != 0].astype("<f4").tobytes() for v in found], "label": batch["label"].iloc[a:b].to_numpy()})
-
-    got = rows.mapInPandas(run, "terms binary, values binary, label int").collect()
-    got.sort(key=lambda r: (r.label, bytes(r.terms), bytes(r["values"])))
-    x = np.zeros((len(got), TERMS), np.float32)
-    for row, r in zip(x, got, strict=True):
-        row[np.frombuffer(r.terms, "<i2")] = np.frombuffer(r["values"], "<f4")
-    labels = np.array([r.label for r in got], np.float32)
-    weight = np.log((1 + len(x)) / (1 + (x > 0).sum(0))).astype(np.float32) + 0.1
-    x = _norm(x * weight)
-    width = max(1, min(dimensions, len(x)))
-    # a randomised range finder with two power steps, then the exact decomposition in that range
-    basis = x.T @ np.random.default_rng(7).standard_normal((len(x), width + 16)).astype(np.float32)
-    for _ in range(2):
-        basis = x.T @ (x @ np.linalg.qr(basis)[0])
-    basis = np.linalg.qr(basis)[0]
-    space = basis @ np.linalg.svd(x @ basis, full_matrices=False)[2].T[:, :width] if len(x) else np.zeros((TERMS, 1), np.float32)
-    return Model(weight, space.astype(np.float32), _norm(x @ space).astype(np.float32), labels, float(labels.mean()) if len(labels) else 0.5)
+                yield pd.DataFrame({"terms": [np.flatnonzero(v).astype("<i2").tobytes() for v in found], "numbers": [v[v != 0].astype("<f4").tobytes() for v in found], "label": batch["label"].iloc[a:b].to_numpy()})
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got = sorted((r for batch in batches for r in batch.itertuples(index=False)), key=lambda r: (r.label, bytes(r.terms), bytes(r.numbers)))
+        x = np.zeros((len(got), TERMS), np.float32)
+        for row, r in zip(x, got, strict=True):
+            row[np.frombuffer(r.terms, "<i2")] = np.frombuffer(r.numbers, "<f4")
+        labels = np.array([r.label for r in got], np.float32)
+        weight = np.log((1 + len(x)) / (1 + (x > 0).sum(0))).astype(np.float32) + 0.1
+        x = _norm(x * weight)
+        width = max(1, min(dimensions, len(x)))
+        # a randomised range finder with two power steps, then the exact decomposition in that range
+        basis = x.T @ np.random.default_rng(7).standard_normal((len(x), width + 16)).astype(np.float32)
+        for _ in range(2):
+            basis = x.T @ (x @ np.linalg.qr(basis)[0])
+        basis = np.linalg.qr(basis)[0]
+        space = basis @ np.linalg.svd(x @ basis, full_matrices=False)[2].T[:, :width] if len(x) else np.zeros((TERMS, 1), np.float32)
+        parts = {"weight": weight, "space": space, "points": _norm(x @ space), "labels": labels}
+        yield pd.DataFrame({"name": list(parts), "width": [v.shape[-1] for v in parts.values()], "numbers": [np.ascontiguousarray(v, "<f4").tobytes() for v in parts.values()]})
+
+    # the decomposition runs in one task, on as many threads as Spark gives it; the sample is bounded
+    sample = rows.mapInPandas(run, "terms binary, numbers binary, label int").repartition(1)
+    found = {r.name: (r.width, np.frombuffer(r.numbers, "<f4")) for r in sample.mapInPandas(fit, "name string, width int, numbers binary").collect()}
+    if not found:
+        return Model(np.zeros(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0, np.float32), 0.5)
+    labels = found["labels"][1]
+    space, points = (found[k][1].reshape(-1, found[k][0]) for k in ("space", "points"))
+    return Model(found["weight"][1], space, points, labels, float(labels.mean()) if len(labels) else 0.5)
 
 
 def votes(model: Model, found: np.ndarray, neighbours: int, sharpness: float, block: int = 512) -> np.ndarray:
