@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import merkle, quality, toxicity
+from . import divergence, merkle, quality, toxicity
 from ._shared import table
 from .decontamination import ORACLE as DECONTAMINATION
 from .decontamination import contamination, digest
@@ -71,6 +71,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audited(docs, merkle.tampered(docs))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audited(table(spark, sf_dir, "documents"), least_docs=30, top=50)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -84,8 +88,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_simhash": op9_simhash,
         "op10_pii": op10_pii,
         "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_source_divergence": op13_source_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_benchmark_decontamination": DECONTAMINATION, "op7_quality_rules": QUALITY_RULES, "op12_merkle_manifest": merkle.ORACLE}
+    return {"op6_benchmark_decontamination": DECONTAMINATION, "op7_quality_rules": QUALITY_RULES, "op12_merkle_manifest": merkle.ORACLE, "op13_source_divergence": divergence.ORACLE}
