@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import divergence, merkle, quality, toxicity
+from . import divergence, merkle, minhash, quality, toxicity
 from ._shared import table
 from .decontamination import ORACLE as DECONTAMINATION
 from .decontamination import contamination, digest
@@ -66,6 +66,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents"))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return merkle.audited(docs, merkle.tampered(docs))
@@ -87,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_simhash": op9_simhash,
         "op10_pii": op10_pii,
+        "op11_minhash": op11_minhash,
         "op12_merkle_manifest": op12_merkle_manifest,
         "op13_source_divergence": op13_source_divergence,
     }
