@@ -155,7 +155,7 @@ def candidates(band: int, left: pd.DataFrame, right: pd.DataFrame, percent: int)
     Two of one component are linked already. Sizes must allow the similarity, and so must the share of equal bytes, six
     deviations below what it would be. Two that also share a bucket of a band before are compared there.
     """
-    a, b = (np.frombuffer(b"".join(x["sig"]), np.uint8).reshape(len(x), -1) for x in (left, right))
+    a, b = (np.frombuffer(b"".join(x["sig"]), np.uint8).reshape(len(x), 2 * PERMUTATIONS) for x in (left, right))
     ca, cb = left["component"].to_numpy(), right["component"].to_numpy()
     sa, sb = left["size"].to_numpy(), right["size"].to_numpy()
     least = percent / 100
