@@ -7,7 +7,9 @@ dialect must do: any number of AND and OR with AND binding first, IN, BETWEEN, L
 
 from __future__ import annotations
 
+import json
 import re
+import uuid
 import warnings
 from dataclasses import dataclass, field
 from typing import Any
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.values import split_outside, sql_literal
+from ..sources.versions import broken_rules
+from .steps import Files
 
 OPERATORS = (">=", "<=", "!=", "=", ">", "<")
 _NAME = r"[\w.:`]+"
@@ -218,12 +222,13 @@ def deleted(df: DataFrame, change: Change) -> DataFrame:
 class Catalog:
     """Tables of the dialect in Spark's catalog; one database for each owner.
 
-    A statement that changes a table writes it anew beside itself and then takes its place (Parquet tables have no
-    UPDATE). Only ``admin`` reads tables of others.
+    UPDATE and DELETE write the rows anew in another folder, to which the table's place then moves (Parquet tables have no
+    UPDATE): a reader sees the rows before or after, never half of them. Kept constraints are held when rows are written if ``enforce``,
+    else only when asked for. Only ``admin`` reads tables of others.
     """
 
-    def __init__(self, spark: SparkSession, owner: str = "admin"):
-        self.spark, self.owner = spark, owner.lower()
+    def __init__(self, spark: SparkSession, owner: str = "admin", enforce: bool = False):
+        self.spark, self.owner, self.enforce = spark, owner.lower(), enforce
         spark.sql(f"CREATE DATABASE IF NOT EXISTS `{self.owner}`")
 
     def resolve(self, name: str) -> str:
@@ -239,12 +244,81 @@ class Catalog:
         rows = [(o, t.name, ",".join(c.name for c in self.spark.catalog.listColumns(f"`{o}`.`{t.name}`"))) for o in owners for t in self.spark.catalog.listTables(o) if not t.isTemporary]
         return self.spark.createDataFrame(rows, "owner string, table string, columns string")
 
+    def _home(self, name: str) -> str:
+        """The folder of a table; each change of its rows makes a new one in it."""
+        owner, table = (x.strip("`") for x in name.split("."))
+        return f"{self.spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{owner}.tables/{table}"
+
+    def _properties(self, name: str) -> dict[str, str]:
+        return {r.key: r.value for r in self.spark.sql(f"SHOW TBLPROPERTIES {name}").collect()}
+
+    def _put(self, name: str, **properties: str) -> None:
+        listed = ", ".join(f"'{k}' = '{v.replace(chr(92), chr(92) * 2).replace(chr(39), chr(92) + chr(39))}'" for k, v in properties.items())
+        self.spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ({listed})")
+
     def _replace(self, name: str, df: DataFrame) -> None:
-        owner, table = name.split(".")
-        beside = f"{owner}.`__new_{table.strip('`')}`"
-        df.write.mode("overwrite").saveAsTable(beside)
-        self.spark.sql(f"DROP TABLE {name}")
-        self.spark.sql(f"ALTER TABLE {beside} RENAME TO {name}")
+        """New rows are written whole in a folder of their own; then the table's place moves there, at once."""
+        folder = f"{self._home(name)}/{uuid.uuid4().hex}"
+        try:
+            df.write.parquet(folder)
+            self._hold(name, self.spark.read.schema(df.schema).parquet(folder))
+        except Exception:
+            Files(self.spark, folder).remove(folder)
+            raise
+        before = self.spark.sql(f"DESCRIBE FORMATTED {name}").where("col_name = 'Location'").first().data_type
+        self.spark.sql(f"ALTER TABLE {name} SET LOCATION '{folder}'")
+        self.spark.catalog.refreshTable(name)
+        self._put(name, previous_location=before)
+
+    def undo(self, table: str) -> None:
+        """The table as it was before the last UPDATE or DELETE (an undo again takes that back)."""
+        name = self.resolve(table)
+        before = self._properties(name).get("previous_location")
+        if not before:
+            raise ValueError(f"{table} has no earlier rows")
+        now = self.spark.sql(f"DESCRIBE FORMATTED {name}").where("col_name = 'Location'").first().data_type
+        self.spark.sql(f"ALTER TABLE {name} SET LOCATION '{before}'")
+        self.spark.catalog.refreshTable(name)
+        self._put(name, previous_location=now)
+
+    def save(self, table: str, df: DataFrame) -> DataFrame:
+        """A new table of any rows; it must not exist, and a write that fails leaves none."""
+        name = self.resolve(table)
+        if self.spark.catalog.tableExists(name.replace("`", "")):
+            raise ValueError(f"{table} exists")
+        folder = f"{self._home(name)}/{uuid.uuid4().hex}"
+        try:
+            df.write.parquet(folder)
+            self.spark.catalog.createTable(name.replace("`", ""), path=folder, source="parquet", schema=df.schema)
+        except Exception:
+            Files(self.spark, folder).remove(folder)
+            raise
+        return self.spark.table(name)
+
+    def constrain(self, table: str, rules: list[dict]) -> None:
+        """Keep constraints with a table: rules of ``sources.versions`` (not_null, unique, check_type, check), and
+        {"kind": "references", "columns": [c], "table": other, "key": k}."""
+        self._put(self.resolve(table), constraints=json.dumps(rules))
+
+    def rules(self, table: str) -> list[dict]:
+        return json.loads(self._properties(self.resolve(table)).get("constraints", "[]"))
+
+    def validate(self, table: str) -> DataFrame:
+        """rule and n of each kept constraint that the table breaks."""
+        name = self.resolve(table)
+        return self._broken(name, self.spark.table(name))
+
+    def _broken(self, name: str, df: DataFrame) -> DataFrame:
+        rules = json.loads(self._properties(name).get("constraints", "[]"))
+        found = broken_rules(df, [r for r in rules if r["kind"] != "references"])
+        for r in rules:
+            if r["kind"] == "references":
+                found = found.unionByName(violations(df, references=(r["columns"][0], self.spark.table(self.resolve(r["table"])), r["key"])))
+        return found
+
+    def _hold(self, name: str, df: DataFrame) -> None:
+        if self.enforce and (broken := self._broken(name, df).collect()):
+            raise ValueError("; ".join(f"{r.n} rows break {r.rule}" for r in broken))
 
     def execute(self, text: str) -> DataFrame | int:
         """Rows of a SELECT; of a change, how many rows it touched."""
@@ -255,15 +329,19 @@ class Catalog:
         if query.kind == "create":
             kinds = {"int": "bigint", "integer": "bigint", "bigint": "bigint", "float": "double", "double": "double", "real": "double", "bool": "boolean", "boolean": "boolean"}
             schema = T.StructType([T.StructField(c, T._parse_datatype_string(kinds.get(t, "string"))) for c, t in zip(query.columns, query.values, strict=True)])
-            self.spark.createDataFrame([], schema).write.saveAsTable(name)
-            self.spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ('primary_key' = '{','.join(query.primary_key)}')")
+            self.save(query.table, self.spark.createDataFrame([], schema))
+            self._put(name, primary_key=",".join(query.primary_key))
             return 0
         if query.kind == "drop":
             self.spark.sql(f"DROP TABLE {'IF EXISTS ' if query.if_exists else ''}{name}")
+            Files(self.spark, self._home(name)).remove(self._home(name))
             return 0
         df = self.spark.table(name)
         if query.kind == "insert":
-            inserted(df.limit(0), query).write.insertInto(name)
+            row = inserted(df.limit(0), query)
+            if self.enforce:
+                self._hold(name, df.unionByName(row))
+            row.write.insertInto(name)
             return 1
         touched = df.where(predicate(df, query.where)).count()
         self._replace(name, updated(df, query) if query.kind == "update" else deleted(df, query))
