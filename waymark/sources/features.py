@@ -6,11 +6,16 @@ geometry_json, properties (text to text), properties_json and seq (the order of
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+from urllib.parse import unquote
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import POINT, boxes_meet, feature_bbox
 from ..functions.values import number
+from ..plans.steps import Files, kept
+from .collections import collection_texts
 
 PARTS = f"array<array<{POINT}>>"
 #: Where ids and coordinates are looked for, first match first. Fixed values.
@@ -44,7 +49,7 @@ def _closed(ring: Column) -> Column:
     return F.when((F.size(ring) >= 3) & (F.element_at(ring, 1) != F.element_at(ring, -1)), F.concat(ring, F.slice(ring, 1, 1))).otherwise(ring)
 
 
-def _esri(rows: DataFrame) -> DataFrame:
+def _esri(rows: DataFrame, keep: list[str]) -> DataFrame:
     """Features of Esri JSON as GeoJSON features; those without a geometry are left out."""
     g = F.col("f.geometry")
     has = lambda key: F.get_json_object(g, f"$.{key}").isNotNull()
@@ -58,14 +63,15 @@ def _esri(rows: DataFrame) -> DataFrame:
         .when(has("rings"), F.to_json(F.struct(F.lit("Polygon").alias("type"), F.transform(rings, _closed).alias("coordinates"))))
     )
     own = F.coalesce(*[F.get_json_object("f.attributes", f"$.{k}") for k in ESRI_IDS], F.col("seq").cast("string"))
-    return rows.select("seq", own.alias("id"), shape.alias("geometry_json"), F.coalesce("f.attributes", F.lit("{}")).alias("properties_json")).where("geometry_json is not null")
+    return rows.select(*keep, "seq", own.alias("id"), shape.alias("geometry_json"), F.coalesce("f.attributes", F.lit("{}")).alias("properties_json")).where("geometry_json is not null")
 
 
-def parse_documents(docs: DataFrame, column: str = "value") -> DataFrame:
+def parse_documents(docs: DataFrame, column: str = "value", keep: str | None = None) -> DataFrame:
     """Feature rows of JSON documents: a FeatureCollection, a Feature, a bare geometry, or Esri JSON.
 
     Features of one document come in its order; a feature without an id gets its place as id. A null geometry stays
-    null. A document of another kind raises. Parsing runs in the JVM, one document to a row.
+    null. A document of another kind raises. Parsing runs in the JVM, one document to a row: for documents that are
+    rows of a table. Large files are read by ``read_features``. ``keep`` names a column of the documents that goes along.
     """
     text = F.col(column)
     kind = F.get_json_object(text, "$.type")
@@ -75,9 +81,15 @@ def parse_documents(docs: DataFrame, column: str = "value") -> DataFrame:
     shapes = ("Point", "MultiPoint", "LineString", "MultiLineString", "Polygon", "MultiPolygon")
     esri = kind.isNull() & F.get_json_object(text, "$.features").isNotNull()
     chosen = F.when(kind == "FeatureCollection", listed).when(kind == "Feature", single).when(kind.isin(*shapes), geometry).when(esri, listed).otherwise(F.raise_error(F.lit("neither GeoJSON nor Esri JSON")).cast(f"array<{_FEATURE}>"))
-    rows = docs.select(esri.alias("esri"), F.posexplode(chosen).alias("seq", "f")).withColumn("seq", F.col("seq").cast("long"))
-    plain = rows.where("not esri").select("seq", F.coalesce("f.id", F.col("seq").cast("string")).alias("id"), F.col("f.geometry").alias("geometry_json"), F.coalesce("f.properties", F.lit("{}")).alias("properties_json"))
-    return shaped(plain.unionByName(_esri(rows.where("esri"))))
+    rows = docs.select(*([keep] if keep else []), esri.alias("esri"), F.posexplode(chosen).alias("seq", "f")).withColumn("seq", F.col("seq").cast("long"))
+    return _rows_of(rows, [keep] if keep else [])
+
+
+def _rows_of(rows: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """The feature table of parsed features (esri, seq, f), with the columns of ``keep``."""
+    keep = keep or []
+    plain = rows.where("not esri").select(*keep, "seq", F.coalesce("f.id", F.col("seq").cast("string")).alias("id"), F.col("f.geometry").alias("geometry_json"), F.coalesce("f.properties", F.lit("{}")).alias("properties_json"))
+    return shaped(plain.unionByName(_esri(rows.where("esri"), keep)), keep)
 
 
 def _lookup(properties: Column, names: tuple[str, ...]) -> Column:
@@ -103,23 +115,76 @@ def upgraded(table: DataFrame) -> DataFrame:
     return table if {"lon", "lat"} <= set(table.columns) or not {"geom_type", "parts", "properties"} <= set(table.columns) else with_lon_lat(table)
 
 
-def shaped(rows: DataFrame) -> DataFrame:
-    """The feature table of rows (seq, id, geometry_json, properties_json)."""
+def shaped(rows: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """The feature table of rows (seq, id, geometry_json, properties_json), with the columns of ``keep``."""
     kind = F.get_json_object("geometry_json", "$.type")
     out = rows.withColumns({"geom_type": kind, "parts": geojson_parts(kind, F.col("geometry_json")), "properties": F.coalesce(F.from_json("properties_json", "map<string,string>"), F.create_map().cast("map<string,string>")), "id_long": F.expr("try_cast(id as bigint)")})
-    return with_lon_lat(out).select("id", "id_long", "geom_type", "parts", "geometry_json", "properties", "properties_json", "lon", "lat", "seq")
+    return with_lon_lat(out).select("id", "id_long", "geom_type", "parts", "geometry_json", "properties", "properties_json", "lon", "lat", "seq", *(keep or []))
+
+
+#: Files of one document, and of one feature a line.
+SUFFIXES, LINES = (".json", ".geojson"), (".ndjson", ".jsonl", ".geojsonl")
+
 
+def read_features(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """.json or .geojson files (UTF-8), or files of one feature a line, as a feature table.
+
+    A path may be a file, a folder or a pattern. Collections of any size are read by many tasks each, a range of bytes to a task (see
+    ``sources.collections``); default ids and ``seq`` run through all files, by path and place.
+    """
+    paths = [path] if isinstance(path, str) else list(path)
+    if all(p.lower().endswith(LINES) for p in paths):
+        return _read_lines(spark, paths)
+    if not all(p.lower().endswith(SUFFIXES) for p in paths):
+        raise ValueError("only .json and .geojson files, or files of lines, are read")
+    return read_collections(spark, paths)
+
+
+def read_collections(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``read_features`` for files, folders or patterns of documents, whatever their names."""
+    texts, single = collection_texts(spark, paths)
+    rows = texts.select("esri", "seq", F.from_json("value", _FEATURE).alias("f"))
+    alone = {r.file: r.seq for r in single.collect()}  # names of files of one feature each, as many as Spark lists
+    out = _rows_of(rows)
+    if alone:
+        docs = spark.read.text([unquote(f) for f in alone], wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+        places = spark.createDataFrame(list(alone.items()), "file string, place long")
+        own = parse_documents(docs.join(F.broadcast(places), "file"), keep="place")
+        out = out.unionByName(own.withColumns({"id": F.when(F.col("id") == F.col("seq").cast("string"), F.col("place").cast("string")).otherwise(F.col("id")), "seq": F.col("place")}).withColumn("id_long", F.expr("try_cast(id as bigint)")).drop("place"))
+    return out
 
-def read_features(spark: SparkSession, path: str) -> DataFrame:
-    """A .json or .geojson file (UTF-8) as a feature table."""
-    if not path.lower().endswith((".json", ".geojson")):
-        raise ValueError("only .json and .geojson files are read")
-    return parse_documents(spark.read.text(path, wholetext=True))
 
+def _read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    text = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value").where(F.trim("value") != "")
+    rows = kept(text.withColumn("task", F.spark_partition_id()), "lines")
+    # within a range the running number grows; ranges are counted, and shifted by the counts of those before
+    ranges = rows.groupBy("file", "block", "task").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.join(F.broadcast(ranges.select("file", "block", "task", before.alias("before"))), ["file", "block", "task"])
+    place = F.col("before") + F.row_number().over(Window.partitionBy("file", "block", "task").orderBy("at")) - 1
+    own = parse_documents(placed.select("value", place.alias("place")), keep="place")
+    own = own.withColumn("id", F.when(F.col("id") == F.col("seq").cast("string"), F.col("place").cast("string")).otherwise(F.col("id")))
+    return own.withColumns({"seq": F.col("place"), "id_long": F.expr("try_cast(id as bigint)")}).drop("place")
 
-def import_features(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """Read a file into a new table, which must not exist."""
-    read_features(spark, path).write.mode("errorifexists").saveAsTable(table)
+
+def import_features(spark: SparkSession, path: str, table: str, keep_source: bool = False) -> DataFrame:
+    """Read a file into a new table of the catalog, which must not exist; nothing is left of an import that fails.
+
+    Rows are written to a folder of their own first, and become the table when all are there. ``keep_source`` copies the file next to them.
+    """
+    if spark.catalog.tableExists(table):
+        raise ValueError(f"{table} exists")
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/imported/{table}-{uuid.uuid4().hex}"
+    files = Files(spark, folder)
+    try:
+        rows = read_features(spark, path)
+        rows.write.parquet(f"{folder}/rows")
+        if keep_source:
+            files.copy(path, f"{folder}/{path.rsplit('/', 1)[-1]}")
+        spark.catalog.createTable(table, path=f"{folder}/rows", source="parquet", schema=rows.schema)
+    except Exception:
+        files.remove(folder)
+        raise
     return spark.table(table)
 
 
