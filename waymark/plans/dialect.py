@@ -11,13 +11,14 @@ import json
 import re
 import uuid
 import warnings
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.geometry import feature_bbox
 from ..functions.values import split_outside, sql_literal
 from ..sources.versions import broken_rules
 from .steps import Files
@@ -194,6 +195,25 @@ def select(df: DataFrame, query: Select, max_rows: int | None = None, seq: str |
     return out.select(*[F.col(f"`{c}`") for c in known])
 
 
+def answered(df: DataFrame, query: Select, max_rows: int | None = None, seq: str | None = "seq") -> tuple[DataFrame, DataFrame]:
+    """The rows of ``select``, and id (as text) and box of the rows kept, whatever columns the query names.
+
+    Boxes are null where a feature has no geometry; a table without id or geometry gives no boxes at all.
+    """
+    kept_rows = select(df, replace(query, columns=["*"]), max_rows, seq)
+    names = {c.lower(): c for c in df.columns}
+    rows = select(kept_rows, replace(query, where=None, order_by=None, limit=None), None, None)
+    if "id" not in names or "parts" not in names:
+        return rows, df.sparkSession.createDataFrame([], "id string, minx double, miny double, maxx double, maxy double")
+    b = feature_bbox(F.col(f"`{names['parts']}`"))
+    return rows, kept_rows.select(F.col(f"`{names['id']}`").cast("string").alias("id"), *[b[c].alias(c) for c in ("minx", "miny", "maxx", "maxy")])
+
+
+def changed_rows(df: DataFrame, change: Change) -> DataFrame:
+    """``matched``: how many rows an UPDATE or DELETE touches."""
+    return df.agg(F.count_if(predicate(df, change.where)).alias("matched"))
+
+
 def inserted(df: DataFrame, change: Change) -> DataFrame:
     """``df`` and one row; columns that aren't named are null."""
     columns = change.columns or df.columns

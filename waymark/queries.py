@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,9 @@ from .functions import geometry as G
 from .functions import values as V
 from .operators import gridjoin, network, selection, topology, trajectory
 from .plans import dialect
+from .plans.steps import shared_folder
 from .sources import features as S
+from .sources.versions import Versions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -160,9 +163,7 @@ def _(spark, d):
 
 @query("x3_ids_and_boxes", f"WITH {L1} SELECT id, lon AS minx, lat AS maxy FROM l1 WHERE acctbal > 9000 ORDER BY acctbal, seq LIMIT 30")
 def _(spark, d):
-    rows = dialect.select(points(spark, d), dialect.parse("SELECT * FROM t WHERE acctbal > 9000 ORDER BY acctbal LIMIT 30"))
-    b = G.feature_bbox(F.col("parts"))
-    return rows.select("id", b["minx"].alias("minx"), b["maxy"].alias("maxy"))
+    return dialect.answered(points(spark, d), dialect.parse("SELECT segment FROM t WHERE acctbal > 9000 ORDER BY acctbal LIMIT 30"))[1].select("id", "minx", "maxy")
 
 
 @query("d1_insert", "SELECT r_regionkey, r_name FROM region UNION ALL SELECT 99, 'NOWHERE' UNION ALL SELECT 100, NULL")
@@ -183,8 +184,7 @@ def _(spark, d):
 
 @query("a8_row_counts", "SELECT count(*) AS matched FROM customer WHERE c_nationkey = 3")
 def _(spark, d):
-    t = _table(spark, d, "customer")
-    return t.where(dialect.predicate(t, "c_nationkey = 3")).agg(F.count("*").alias("matched"))
+    return dialect.changed_rows(_table(spark, d, "customer"), dialect.parse("DELETE FROM customer WHERE c_nationkey = 3"))
 
 
 @query("d7_j10_violations", "SELECT 'foreign key o_custkey' AS rule, count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) UNION ALL SELECT 'unique o_orderstatus', count(*) FROM (SELECT 1 FROM orders GROUP BY o_orderstatus HAVING count(*) > 1)")
@@ -211,6 +211,62 @@ def _(spark, d):
     return S.parse_documents(_documents(spark, d)).select("id", "id_long", "geom_type", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), F.element_at("properties", "segment").alias("segment"))
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("s3_s6_files_in_ranges", f"WITH {L1} SELECT id, CASE WHEN id_long % 3 = 0 THEN NULL ELSE 'Point' END AS geom_type, round(lon, 6) AS lon, segment, row_number() OVER (ORDER BY CAST(c_nationkey AS VARCHAR), id || chr(34)) - 1 AS seq FROM l1 JOIN customer ON c_custkey = id_long")
+def _(spark, d):
+    """The collections written as files, a nation each, and read in ranges of bytes; seq runs through files by name."""
+    folder = _folder(spark, "collections")
+    _documents(spark, d).write.partitionBy("c_nationkey").text(folder)
+    table = S.read_collections(spark, [folder])
+    return table.select("id", "geom_type", F.round("lon", 6).alias("lon"), F.element_at("properties", "segment").alias("segment"), "seq")
+
+
+@query("s19_restored", f"WITH {L1} SELECT id, segment, CAST(acctbal AS DOUBLE) AS acctbal FROM l1 UNION ALL SELECT 'x' || id, segment, acctbal FROM l1 WHERE acctbal < 0")
+def _(spark, d):
+    """A table is saved, gets more rows, is named, cut down, and restored."""
+    p = points(spark, d).select("id", "segment", F.col("acctbal").cast("double").alias("acctbal"))
+    table = Versions(spark, _folder(spark, "versions"))
+    table.save(p)
+    table.append(p.where("acctbal < 0").withColumn("id", F.concat(F.lit("x"), "id")))
+    table.snapshot("before")
+    table.save(table.read().where("segment = 'BUILDING'"))
+    table.restore("before")
+    return table.read()
+
+
+@query("x2_row_at", f"WITH {L1} SELECT id, acctbal FROM l1 ORDER BY acctbal, id LIMIT 1 OFFSET 100")
+def _(spark, d):
+    table = Versions(spark, _folder(spark, "ordered"))
+    table.save_ordered(points(spark, d).select("id", "acctbal"), ["acctbal", "id"])
+    return table.row(100)
+
+
+@query("d7_x11_kept_constraints", "SELECT 'unique o_custkey' AS rule, count(*) AS n FROM (SELECT 1 FROM orders GROUP BY o_custkey HAVING count(*) > 1) UNION ALL SELECT 'check o_totalprice > 1000', count(*) FROM orders WHERE o_totalprice <= 1000 HAVING count(*) > 0 UNION ALL SELECT 'check_type o_orderpriority', count(*) FROM orders UNION ALL SELECT 'foreign key o_custkey', count(*) FROM orders WHERE o_custkey % 2 = 1")
+def _(spark, d):
+    """Constraints kept with a table of the catalog, and held against its rows."""
+    own, other = (f"{n}_{uuid.uuid4().hex[:12]}" for n in ("orders", "customers"))
+    catalog = dialect.Catalog(spark, "checked")
+    catalog.save(other, _table(spark, d, "customer").where("c_custkey % 2 = 0"))
+    catalog.save(own, _table(spark, d, "orders"))
+    rules = [{"kind": "unique", "columns": ["o_orderkey"]}, {"kind": "unique", "columns": ["o_custkey"]}, {"kind": "not_null", "columns": ["o_orderkey", "o_custkey"]}, {"kind": "check", "condition": "o_totalprice > 1000"}]
+    catalog.constrain(own, [*rules, {"kind": "check_type", "columns": ["o_orderpriority"], "type": "int"}, {"kind": "references", "columns": ["o_custkey"], "table": other, "key": "c_custkey"}])
+    return catalog.validate(own)
+
+
+@query("s9_client_export", f"WITH {L1} SELECT id, id_long % 4 AS place FROM l1 WHERE acctbal > 8000")
+def _(spark, d):
+    """A client's features that keep their id in four places, with another in the places after; those with a high balance."""
+    key = lambda k: F.concat(F.lit(f'"{k}":"'), F.col("id"), F.lit('"'))
+    own = [F.concat(key("__client_id"), F.lit(',"id":"no"')), F.concat(key("ID"), F.lit(',"fid":"no","__client_id":""')), F.concat(key("objectid"), F.lit(',"OBJECTID":"no","id":null')), F.lit('"name":"x"')]
+    last = F.when(F.col("id_long") % 4 == 3, key("id")).otherwise(F.lit('"id":"no"'))
+    text = F.concat(F.lit('{"type":"Feature",'), last, F.lit(',"geometry":null,"properties":{'), F.element_at(F.array(*own), (F.col("id_long") % 4 + 1).cast("int")), F.lit("}}"))
+    found = S.export_client(points(spark, d).select(text.alias("feature")), points(spark, d).where("acctbal > 8000").select("id"))
+    return found.select("id", (F.col("id").cast("long") % 4).alias("place"))
+
+
 @query("s5_esri", "SELECT CAST(p_partkey AS VARCHAR) AS id, CASE WHEN p_partkey % 2 = 0 THEN 'LineString' ELSE 'Polygon' END AS geom_type, CASE WHEN p_partkey % 2 = 0 THEN 2 ELSE 4 END AS n FROM part WHERE p_partkey % 7 <> 0")
 def _(spark, d):
     k = F.col("p_partkey")

@@ -219,15 +219,37 @@ def export_selected(table: DataFrame, ids: DataFrame) -> DataFrame:
     return geojson(kept.withColumn("properties_json", F.to_json(whole)))
 
 
+#: Where a client's feature keeps its id, first match first. Fixed values.
+CLIENT_IDS = ("id", "ID", "fid", "FID", "objectid", "OBJECTID")
+
+
+def client_key(feature: Column) -> Column:
+    """The key of a client's feature (its JSON text): its own mark, else an id among its properties, else the feature's id."""
+    own = F.get_json_object(feature, "$.properties.__client_id")
+    marked = F.when(~own.isin("", "0", "0.0", "false"), own)  # what counts as no mark
+    plain = F.get_json_object(feature, "$.id")
+    return F.coalesce(marked, *[F.get_json_object(feature, f"$.properties.{k}") for k in CLIENT_IDS], F.when(~plain.rlike(r"^\s*[\[{]"), plain))
+
+
+def export_client(features: DataFrame, ids: DataFrame, column: str = "feature") -> DataFrame:
+    """id and feature of those of a client's ``features`` (JSON text, one a row) whose key is among ``ids`` (id, as text); as they came.
+
+    A feature without a key is none of them. A collection's text gives such rows by ``sources.collections``.
+    """
+    keyed = features.select(client_key(F.col(column)).alias("id"), F.col(column).alias("feature"))
+    return keyed.join(ids.select(F.col("id").cast("string").alias("id")).distinct(), "id", "left_semi")
+
+
 def write_geojson(features: DataFrame, path: str) -> None:
     """Features as lines of text files: one feature a line, in as many files as there are partitions."""
     features.select("feature").write.text(path)
 
 
-def fields(table: DataFrame, most: int = 5000) -> DataFrame:
-    """``field``: the columns, and a properties.* field for each different key (one nested level too), by name."""
+def fields(table: DataFrame, most: int | None = None) -> DataFrame:
+    """``field``: the columns, and a properties.* field for each different key (one nested level too), by name, the first ``most`` if given."""
     keys = table.select(F.explode(F.map_keys("properties")).alias("k"))
     nested = table.select(F.explode(F.map_keys(F.from_json(F.try_element_at("properties", F.lit("properties")), "map<string,string>"))).alias("k"))
     names = keys.unionByName(nested).distinct().select(F.concat(F.lit("properties."), "k").alias("field"))
     columns = table.sparkSession.createDataFrame([(c,) for c in table.columns], "field string")
-    return columns.unionByName(names).distinct().orderBy(F.lower("field"), "field").limit(most)
+    out = columns.unionByName(names).distinct().orderBy(F.lower("field"), "field")
+    return out if most is None else out.limit(most)
