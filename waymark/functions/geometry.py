@@ -134,8 +134,10 @@ def with_intersection(df: DataFrame, out: str, names: tuple[str, str, str, str],
     df = df.withColumns({v[9]: a["x"] + t * rx, v[10]: a["y"] + t * ry})
     meets = t.between(-1e-12, 1 + 1e-12) & u.between(-1e-12, 1 + 1e-12)
     close = lambda p: (x - p["x"]) * (x - p["x"]) + (y - p["y"]) * (y - p["y"]) <= eps * eps
-    proper = F.when(close(d), d).when(close(c), c).when(close(b), b).when(close(a), a).otherwise(point(x, y))
-    touch = F.when(on_segment(a, b, c, eps), c).when(on_segment(a, b, d, eps), d).when(on_segment(c, d, a, eps), a).when(on_segment(c, d, b, eps), b)
+    # choices among points as functions of an array: written out, the generated code of a stage would be too long
+    proper = F.coalesce(F.get(F.filter(F.array(d, c, b, a), close), 0), point(x, y))
+    ways = [F.struct(p.alias("a"), q.alias("b"), e.alias("e")) for p, q, e in ((a, b, c), (a, b, d), (c, d, a), (c, d, b))]
+    touch = F.get(F.filter(F.array(*ways), lambda w: on_segment(w["a"], w["b"], w["e"], eps)), 0)["e"]
     return df.withColumn(out, F.when(F.abs(area) < 1e-12, touch).when(meets, proper)).drop(*v)
 
 

@@ -7,12 +7,13 @@ coordinates rounded to ``digits`` as longs, so that joins on points are exact.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import POINT, bbox, boxes_meet, cell_size, feature_bbox, length_m, nearest_on_segment, pairs, projected, rounded, unprojected, with_intersection
 from ..plans.steps import kept
-from .gridjoin import box_join, with_cells
+from .gridjoin import box_join, near_points, with_cells
 
 LINE = "fid string, part int, pts array<struct<x:double,y:double>>"
 
@@ -45,9 +46,8 @@ def degrees(layer: DataFrame, digits: int = 6) -> DataFrame:
 
 def dangling(layer: DataFrame, digits: int = 6) -> DataFrame:
     """fid, part, which, x, y of the ends on whose rounded point no other end lies."""
-    ends = _ends(layer, digits)
-    alone = ends.groupBy("k").agg(F.count("*").alias("degree")).where("degree <= 1").select("k")
-    return ends.join(alone, "k", "left_semi").select("fid", "part", "which", "p.x", "p.y")
+    alone = _ends(layer, digits).groupBy("k").agg(F.count("*").alias("degree"), F.first(F.struct("fid", "part", "which", "p")).alias("end")).where("degree <= 1")
+    return alone.select("end.fid", "end.part", "end.which", "end.p.x", "end.p.y")
 
 
 def layer_cell(layer: DataFrame) -> float:
@@ -55,24 +55,28 @@ def layer_cell(layer: DataFrame) -> float:
     return cell_size(*b) if b[0] is not None else 0.05
 
 
-def segments(layer: DataFrame) -> DataFrame:
-    """fid, part, seg, a, b: the consecutive pairs of every part."""
-    return layer.select("fid", "part", F.posexplode(pairs(F.col("pts"))).alias("seg", "ab")).select("fid", "part", "seg", "ab.a", "ab.b")
+def segments(layer: DataFrame, *more: str) -> DataFrame:
+    """fid, part, seg, a, b (and the columns ``more``): the consecutive pairs of every part."""
+    return layer.select("fid", "part", *more, F.posexplode(pairs(F.col("pts"))).alias("seg", "ab")).select("fid", "part", *more, "seg", "ab.a", "ab.b")
 
 
-def crossings(layer: DataFrame, digits: int = 6, cell: float | None = None) -> DataFrame:
+def crossings(layer: DataFrame, digits: int = 6, cell: float | None = None, counted: Observation | None = None) -> DataFrame:
     """kind, ix, iy, x, y, fid_a, fid_b: where segments of two lines meet without a node on both.
 
     ``endpoint_on_segment``: one line (fid_a) ends there, the other passes; ``cross_without_node``: neither ends
     (fids by text order). Each point, kind and pair comes once. Segments, not whole lines, are dealt to cells, so a
-    long line is no hot key.
+    long line is no hot key. Where the layer has a column ``new``, only pairs with a new line are looked at. ``counted`` takes the number of ``pairs`` of
+    segments whose boxes meet, as the join runs.
     """
     eps = 0.5 / 10**digits
     size = cell or layer_cell(layer)
-    own = segments(layer).withColumn("bb", bbox(F.array("a", "b")))
-    left = own.select(F.col("fid").alias("fid1"), F.struct("part", "seg").alias("s1"), F.col("a").alias("a1"), F.col("b").alias("b1"), F.col("bb").alias("bb1"))
-    right = own.select(F.col("fid").alias("fid2"), F.struct("part", "seg").alias("s2"), F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("bb").alias("bb2"))
-    met = box_join(left, right, "bb1", "bb2", size, F.col("fid1") < F.col("fid2"))
+    marked = layer if "new" in layer.columns else layer.withColumn("new", F.lit(True))
+    own = segments(marked, "new").withColumn("bb", bbox(F.array("a", "b")))
+    left = own.select(F.col("fid").alias("fid1"), F.struct("part", "seg").alias("s1"), F.col("new").alias("new1"), F.col("a").alias("a1"), F.col("b").alias("b1"), F.col("bb").alias("bb1"))
+    right = own.select(F.col("fid").alias("fid2"), F.struct("part", "seg").alias("s2"), F.col("new").alias("new2"), F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("bb").alias("bb2"))
+    met = box_join(left, right, "bb1", "bb2", size, (F.col("fid1") < F.col("fid2")) & (F.col("new1") | F.col("new2")))
+    if counted is not None:
+        met = met.observe(counted, F.count(F.lit(1)).alias("pairs"))
     met = with_intersection(met, "p", ("a1", "b1", "a2", "b2"), eps).where("p is not null").withColumn("k", _key(F.col("p"), digits))
     ends = _ends(layer, digits).select(F.col("fid").alias("end_fid"), F.col("k").alias("end_k")).distinct()
     met = met.join(ends.withColumnsRenamed({"end_fid": "e1", "end_k": "k1"}), (F.col("fid1") == F.col("e1")) & (F.col("k") == F.col("k1")), "left")
@@ -85,12 +89,34 @@ def crossings(layer: DataFrame, digits: int = 6, cell: float | None = None) -> D
     return met.groupBy("kind", "k", "fid_a", "fid_b").agg(F.min("p").alias("p")).select("kind", "k.ix", "k.iy", "p.x", "p.y", "fid_a", "fid_b")
 
 
-def check(features_or_lines: DataFrame, box: Column | None = None, digits: int = 6) -> DataFrame:
-    """kind, x, y, fid_a, fid_b, message of every issue of a layer: dangling ends, junctions and crossings without nodes."""
+class Statistics:
+    """What a check looks at, counted on its own plan while it runs: no second pass and no second join."""
+
+    def __init__(self) -> None:
+        self.layer, self.join = Observation(), Observation()
+
+    def values(self) -> dict[str, int]:
+        """parts, segments, and pairs of segments of two lines whose boxes meet; waits for the first action on the check."""
+        out = {"parts": 0, "segments": 0, "pairs": 0}
+        for o in (self.layer, self.join):
+            try:
+                out |= {k: int(v) for k, v in o.get.items()}
+            except Py4JJavaError:  # where an input is empty, Spark leaves the join out, and what counts on it
+                continue
+        return out
+
+
+def check(features_or_lines: DataFrame, box: Column | None = None, digits: int = 6, statistics: Statistics | None = None) -> DataFrame:
+    """kind, x, y, fid_a, fid_b, message of every issue of a layer: dangling ends, junctions and crossings without nodes.
+
+    ``statistics`` takes what the check looks at.
+    """
     layer = features_or_lines if "pts" in features_or_lines.columns else lines(features_or_lines, box)
-    loose = dangling(layer, digits).select(F.lit("dangling_endpoint").alias("kind"), "x", "y", F.col("fid").alias("fid_a"), F.lit(None).cast("string").alias("fid_b"), F.concat(F.lit("dangling end of "), "fid").alias("message"))
+    looked = layer.observe(statistics.layer, F.count(F.lit(1)).alias("parts"), F.coalesce(F.sum(F.size("pts") - 1), F.lit(0)).cast("long").alias("segments")) if statistics else layer
+    loose = dangling(looked, digits).select(F.lit("dangling_endpoint").alias("kind"), "x", "y", F.col("fid").alias("fid_a"), F.lit(None).cast("string").alias("fid_b"), F.concat(F.lit("dangling end of "), "fid").alias("message"))
     text = F.when(F.col("kind") == "cross_without_node", F.concat(F.lit("crossing without node: "), "fid_a", F.lit(" x "), "fid_b")).otherwise(F.concat(F.lit("end of "), "fid_a", F.lit(" on "), "fid_b"))
-    return loose.unionByName(crossings(layer, digits).select("kind", "x", "y", "fid_a", "fid_b", text.alias("message")))
+    found = crossings(layer, digits, counted=statistics.join if statistics else None)
+    return loose.unionByName(found.select("kind", "x", "y", "fid_a", "fid_b", text.alias("message")))
 
 
 def check_crossings(features_or_lines: DataFrame, digits: int = 6) -> DataFrame:
@@ -101,13 +127,13 @@ def summary(issues: DataFrame) -> DataFrame:
     return issues.groupBy("kind").agg(F.count("*").alias("n"))
 
 
-def statistics(features_or_lines: DataFrame, box: Column | None = None) -> DataFrame:
-    """lines, segments, pairs: what a check of a layer looks at; pairs are segments of two lines whose boxes meet."""
+def statistics(features_or_lines: DataFrame, box: Column | None = None, digits: int = 6) -> DataFrame:
+    """lines, segments, pairs, issues: one row of what a check of a layer looked at and found; runs the check once."""
     layer = features_or_lines if "pts" in features_or_lines.columns else lines(features_or_lines, box)
-    own = segments(layer).select("fid", bbox(F.array("a", "b")).alias("bb"))
-    pairs_ = box_join(own.toDF("fid1", "bb1"), own.toDF("fid2", "bb2"), "bb1", "bb2", layer_cell(layer), F.col("fid1") < F.col("fid2")).agg(F.count("*").alias("pairs"))
-    counts = layer.agg(F.count_distinct("fid").alias("lines"), F.coalesce(F.sum(F.size("pts") - 1), F.lit(0)).cast("long").alias("segments"))
-    return counts.join(pairs_)  # one row each
+    seen = Statistics()
+    issues = check(layer, None, digits, seen).count()
+    found = seen.values()
+    return layer.agg(F.count_distinct("fid").alias("lines")).select("lines", F.lit(found["segments"]).cast("long").alias("segments"), F.lit(found["pairs"]).cast("long").alias("pairs"), F.lit(issues).cast("long").alias("issues"))
 
 
 def nodes_on_lines(layer: DataFrame, nodes: DataFrame, digits: int = 6, cell: float | None = None) -> DataFrame:
@@ -123,8 +149,7 @@ def nodes_on_lines(layer: DataFrame, nodes: DataFrame, digits: int = 6, cell: fl
     rows = segments(layer).select("fid", "part", "seg", snap(F.col("a")).alias("a"), snap(F.col("b")).alias("b"))
     rows = rows.withColumn("bb", bbox(F.array("a", "b")))
     points = nodes.select("ix", "iy").distinct().withColumns({"px": F.col("ix") * F.lit(unit), "py": F.col("iy") * F.lit(unit)})
-    points = points.withColumns({"gx": F.floor(F.col("px") / size).cast("long"), "gy": F.floor(F.col("py") / size).cast("long")})
-    near = with_cells(rows, "bb", size, eps).join(points, ["gx", "gy"])
+    near = near_points(rows, points, "bb", "px", "py", size, eps)
     near = near.withColumn("on", nearest_on_segment(F.col("px"), F.col("py"), F.col("a"), F.col("b"))).where((F.col("on.d2") <= eps * eps))
     vertex = (rounded(F.col("a.x"), digits) == F.col("ix")) & (rounded(F.col("a.y"), digits) == F.col("iy"))
     inner = vertex & (F.col("seg") > 0)
@@ -140,12 +165,13 @@ def nodes_on_lines(layer: DataFrame, nodes: DataFrame, digits: int = 6, cell: fl
 def split(layer: DataFrame, cuts: DataFrame, name: str, digits: int = 6) -> DataFrame:
     """``layer`` cut at ``cuts``; pieces are called ``{fid}{name}{part}__{k}``, and lines without cuts stay.
 
-    The uncut parts of a cut line stay under its own name. All in Column expressions: the vertices and cuts of a part
+    The uncut parts of a cut line stay under its own name. ``new`` tells which lines are not as they were: pieces, and lines that lost
+    a part. All in Column expressions: the vertices and cuts of a part
     are merged by (segment, t), and each run between cuts is a piece.
     """
     unit = 10.0**-digits
     marks = cuts.groupBy("fid", "part").agg(F.collect_list(F.struct("seg", "t", (F.col("ix") * F.lit(unit)).alias("x"), (F.col("iy") * F.lit(unit)).alias("y"), F.lit(True).alias("cut"))).alias("marks"))
-    joined = layer.join(marks, ["fid", "part"], "left")
+    joined = layer.select("fid", "part", "pts").join(marks, ["fid", "part"], "left")
     vertices = F.transform("pts", lambda p, i: F.struct(i.alias("seg"), F.lit(0.0).alias("t"), p["x"].alias("x"), p["y"].alias("y"), F.lit(False).alias("cut")))
     on_vertex = lambda v: F.exists("marks", lambda m: (m["seg"] == v["seg"]) & (m["t"] == 0))
     marked = F.transform(vertices, lambda v: F.struct(v["seg"].alias("seg"), v["t"].alias("t"), v["x"].alias("x"), v["y"].alias("y"), on_vertex(v).alias("cut")))
@@ -156,25 +182,45 @@ def split(layer: DataFrame, cuts: DataFrame, name: str, digits: int = 6) -> Data
     done = joined.where("marks is not null and size(marks) > 0").withColumn("all_points", merged).withColumn("bounds", bounds)
     pieces = done.select("fid", "part", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("bounds") - 2), piece)).alias("k", "new")).where(F.size("new") >= 2)
     named = pieces.select(F.concat("fid", F.lit(name), F.col("part").cast("string"), F.lit("__"), F.col("k").cast("string")).alias("fid"), F.lit(0).alias("part"), F.col("new").cast(f"array<{POINT}>").alias("pts"))
-    return joined.where("marks is null").select("fid", "part", "pts").unionByName(named)
+    lost = cuts.select("fid").distinct().withColumn("new", F.lit(True))
+    stay = joined.where("marks is null").select("fid", "part", "pts").join(lost, "fid", "left").withColumn("new", F.coalesce("new", F.lit(False)))
+    return stay.unionByName(named.withColumn("new", F.lit(True)))
 
 
 def noded(layer: DataFrame, kinds: tuple[str, ...] = ("cross_without_node", "endpoint_on_segment"), digits: int = 6, rounds: int = 100, nodes_per_line: int = 0) -> DataFrame:
     """``layer`` split until no issue of ``kinds`` is left, or ``rounds`` (1 to 100) are over.
 
-    ``nodes_per_line`` above 0 takes so many nodes of a line in a round.
+    ``nodes_per_line`` above 0 takes so many nodes of a line in a round. After the first round only lines that the round before
+    has changed can have new issues, with each other or with a line beside them. So a round reads a work list: the
+    changed lines, and those that share a cell with one. All others are set aside, and are not read again.
     """
     rounds = min(100, max(1, rounds))
+    size = layer_cell(layer)
+    work, aside = layer.select("fid", "part", "pts").withColumn("new", F.lit(True)), []
     for i in range(1, rounds + 1):
-        issues = crossings(layer, digits).where(F.col("kind").isin(*kinds))
-        cuts = nodes_on_lines(layer, issues.select("ix", "iy"), digits)
+        issues = crossings(work, digits, size).where(F.col("kind").isin(*kinds))
+        cuts = nodes_on_lines(work, issues.select("ix", "iy"), digits, size)
         if nodes_per_line > 0:
             cuts = cuts.withColumn("row", F.dense_rank().over(Window.partitionBy("fid").orderBy("ix", "iy"))).where(F.col("row") <= nodes_per_line).drop("row")
         cuts = kept(cuts, "cuts")
         if cuts.isEmpty():
             break
-        layer = kept(split(layer, cuts, f"__split__it{i}__", digits), "layer")
-    return layer
+        cut = kept(split(work, cuts, f"__split__it{i}__", digits), "layer")
+        beside = _beside(cut, size, 2 * 10.0**-digits).withColumn("beside", F.lit(True))
+        told = kept(cut.join(beside, "fid", "left"), "work")
+        aside.append(told.where("beside is null").drop("beside"))
+        work = told.where("beside").drop("beside")
+    out = work
+    for rest in aside:
+        out = out.unionByName(rest)
+    return out.select("fid", "part", "pts")
+
+
+def _beside(layer: DataFrame, size: float, reach: float) -> DataFrame:
+    """The fids of the new lines of a layer, and of those that share a cell with one of them."""
+    rows = with_cells(segments(layer, "new").withColumn("bb", bbox(F.array("a", "b"))), "bb", size, reach)
+    cells = rows.where("new").select("gx", "gy").distinct()
+    return rows.join(cells, ["gx", "gy"], "left_semi").select("fid").distinct()
 
 
 def trimmed(layer: DataFrame, original: DataFrame, most_m: float = 50.0, digits: int = 6) -> DataFrame:
@@ -195,12 +241,11 @@ def connectors(layer: DataFrame, most_m: float = 50.0, digits: int = 6) -> DataF
     unit, around = 10.0**-digits, 0.001
     size = max(layer_cell(layer), around)
     ends = dangling(layer, digits).select(F.col("fid").alias("source_id"), F.col("part").alias("source_part"), "which", (rounded(F.col("x"), digits) * F.lit(unit)).alias("px"), (rounded(F.col("y"), digits) * F.lit(unit)).alias("py"))
-    ends = ends.withColumns({"gx": F.floor(F.col("px") / size).cast("long"), "gy": F.floor(F.col("py") / size).cast("long")})
-    targets = with_cells(segments(layer).select(F.col("fid").alias("target_id"), "a", "b", bbox(F.array("a", "b")).alias("bb")), "bb", size, around)
+    targets = segments(layer).select(F.col("fid").alias("target_id"), "a", "b", bbox(F.array("a", "b")).alias("bb"))
     lat = F.col("py")
     flat = lambda p: projected(p["x"], p["y"], lat)
     origin = projected(F.col("px"), F.col("py"), lat)
-    near = ends.join(targets, ["gx", "gy"]).where("source_id <> target_id").withColumn("on", nearest_on_segment(origin["x"], origin["y"], flat(F.col("a")), flat(F.col("b"))))
+    near = near_points(targets, ends, "bb", "px", "py", size, around).where("source_id <> target_id").withColumn("on", nearest_on_segment(origin["x"], origin["y"], flat(F.col("a")), flat(F.col("b"))))
     best = near.groupBy("source_id", "source_part", "which", "px", "py").agg(F.min(F.struct(F.col("on.d2").alias("d2"), "target_id", F.col("on.x").alias("x"), F.col("on.y").alias("y"))).alias("o")).where(F.col("o.d2") <= most_m * most_m)
     q = unprojected(F.col("o.x"), F.col("o.y"), lat)
     best = best.withColumn("q", F.struct((rounded(q["x"], digits) * F.lit(unit)).alias("x"), (rounded(q["y"], digits) * F.lit(unit)).alias("y")))
@@ -249,8 +294,9 @@ def repair(layer: DataFrame, delete_m: float = 100.0, trim_m: float = 50.0, conn
 
 def repair_crossings(layer: DataFrame, digits: int = 6) -> DataFrame:
     """``layer`` split once at its crossings without nodes; pieces are called ``{fid}__split__{part}__{k}``."""
-    nodes = crossings(layer, digits).where("kind = 'cross_without_node'").select("ix", "iy")
-    return split(layer, kept(nodes_on_lines(layer, nodes, digits), "cuts"), "__split__", digits)
+    size = layer_cell(layer)
+    nodes = crossings(layer, digits, size).where("kind = 'cross_without_node'").select("ix", "iy")
+    return split(layer, kept(nodes_on_lines(layer, nodes, digits, size), "cuts"), "__split__", digits).drop("new")
 
 
 def applied(features: DataFrame, repaired: dict[str, DataFrame]) -> DataFrame:
