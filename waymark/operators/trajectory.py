@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import EARTH_M
 from ..functions.values import epoch_seconds
+from ..plans.steps import kept
 from .gridjoin import k_nearest
 
 
@@ -34,27 +37,99 @@ def observations(features: DataFrame, time_field: str, traj: str | None = None,
     return early.withColumn("n", F.row_number().over(Window.partitionBy("traj_id").orderBy("t", "seq"))).where(F.col("n") <= most).drop("n")
 
 
+class Fold:
+    """What a run of times does to the adjusted time before it: a step function, which composes with others.
+
+    Each time t takes the adjusted time x before it to t if that is later, else to x and a step. A run of m times takes x
+    to x + m steps, unless one of its times is later than what x has become by then: the first such time starts afresh, and what
+    follows from it does not hang on x. ``at`` are the bounds below which x meets such a time (rising), ``to`` what comes out; bounds
+    that lead to the same end are one, so that a run of many times is a few numbers.
+    """
+
+    def __init__(self, step: float):
+        self.step, self.m, self.at, self.to = step, 0, [], []
+
+    def add(self, t: float) -> None:
+        bound = t - self.m * self.step  # what x must be below for the time to be later than x and m steps
+        self.to = [t if t > y else y + self.step for y in self.to]
+        if not self.at or bound > self.at[-1]:
+            if self.to and self.to[-1] == t:
+                self.at[-1] = bound
+            else:
+                self.at.append(bound)
+                self.to.append(t)
+        while len(self.to) > 1 and self.to[-1] == self.to[-2]:
+            self.at[-2:], self.to[-2:] = self.at[-1:], self.to[-1:]
+        self.m += 1
+
+    def __call__(self, x: float) -> float:
+        i = bisect.bisect_right(self.at, x)
+        return self.to[i] if i < len(self.at) else x + self.m * self.step
+
+
+def in_ranges(rows: DataFrame) -> DataFrame:
+    """``rows`` by (traj_id, t, seq) in ranges of even size, written with the number of their range: a long trajectory has many."""
+    ordered = rows.repartitionByRange("traj_id", "t", "seq").sortWithinPartitions("traj_id", "t", "seq")
+    return kept(ordered.withColumn("range", F.spark_partition_id()), "ranges")
+
+
+def _runs(batches: Iterator[pd.DataFrame], keys: tuple[str, ...]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """Consecutive rows with equal keys; those of one key may come in several frames."""
+    for batch in batches:
+        columns = [batch[k].to_numpy() for k in keys]
+        edges = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1 if len(batch) else []
+        for a, b in zip([0, *edges], [*edges, len(batch)], strict=True):
+            if b > a:
+                yield tuple(c[a] for c in columns), batch.iloc[a:b]
+
+
 def increasing_times(rows: DataFrame, step: float = 0.001) -> DataFrame:
     """``rows`` (traj_id, t, seq) with ``t_adjusted``: by (t, seq), each at least ``step`` after the adjusted one before, if not later.
 
-    A fold, not a running maximum: each time is held against the adjusted time before it. One trajectory is one group.
+    A fold, not a running maximum: each time is held against the adjusted time before it. It runs as a segmented scan: rows are
+    dealt out in ranges by (traj_id, t, seq), each range sums up what it does to a time (``Fold``), the sums of a trajectory are chained, a few numbers a
+    range, and then each range is folded from its true start. No task holds a trajectory, however long.
     """
-    listed = rows.groupBy("traj_id").agg(F.sort_array(F.collect_list(F.struct("t", "seq"))).alias("all"))
-
-    def fix(batch: pd.DataFrame) -> pd.DataFrame:
-        t, last = batch["all"], []
-        for one in t:
-            own, before = [], -math.inf
-            for x in one:
-                before = x["t"] if x["t"] > before else before + step
-                own.append({"t": x["t"], "seq": x["seq"], "t_adjusted": before})
-            last.append(own)
-        return pd.DataFrame({"traj_id": batch["traj_id"], "fixed": last})
-
+    ranged = in_ranges(rows)
     kind = dict(rows.dtypes)
-    schema = f"traj_id {kind['traj_id']}, fixed array<struct<t:double,seq:bigint,t_adjusted:double>>"
-    fixed = listed.mapInPandas(lambda batches: (fix(b) for b in batches), schema)
-    return rows.join(fixed.select("traj_id", F.inline("fixed")).withColumnsRenamed({"t": "own_t"}).drop("own_t"), ["traj_id", "seq"])
+    streamed = lambda df: df.repartition("range").sortWithinPartitions("range", "traj_id", "t", "seq")
+
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, fold = None, None
+        out = lambda: pd.DataFrame({"range": [key[0]], "traj_id": [key[1]], "m": [fold.m], "at": [fold.at], "to": [fold.to]})
+        for now, part in _runs(batches, ("range", "traj_id")):
+            if now != key:
+                if fold:
+                    yield out()
+                key, fold = now, Fold(step)
+            for t in part["t"].tolist():
+                fold.add(t)
+        if fold:
+            yield out()
+
+    sums = streamed(ranged.select("range", "traj_id", "t", "seq")).mapInPandas(summed, f"range int, traj_id {kind['traj_id']}, m long, at array<double>, to array<double>")
+    # x of each range: the sums before it applied one after the other, in SQL over a row a range
+    listed = kept(sums, "folds").groupBy("traj_id").agg(F.sort_array(F.collect_list(F.struct("range", "m", "at", "to"))).alias("folds"))
+    after = lambda x, f: F.when(
+        F.size(F.filter(f["at"], lambda b: b <= x)) < F.size(f["at"]), F.get(f["to"], F.size(F.filter(f["at"], lambda b: b <= x)))
+    ).otherwise(x + f["m"] * F.lit(step))
+    chain = F.aggregate("folds", F.struct(F.lit(float("-inf")).alias("x"), F.array().cast("array<double>").alias("all")), lambda s, f: F.struct(after(s["x"], f).alias("x"), F.concat(s["all"], F.array(s["x"])).alias("all")))
+    starts = listed.select("traj_id", F.explode(F.arrays_zip(F.col("folds.range").alias("range"), chain["all"].alias("x"))).alias("z")).select("traj_id", F.col("z.range").alias("range"), F.col("z.x").alias("before"))
+
+    def folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, x = None, 0.0
+        for now, part in _runs(batches, ("range", "traj_id")):
+            if now != key:
+                key, x = now, float(part["before"].iloc[0])
+            out = []
+            for t in part["t"].tolist():
+                x = t if t > x else x + step
+                out.append(x)
+            yield part.drop(columns=["before", "range"]).assign(t_adjusted=out)
+
+    # a start for each range and trajectory: so many rows as ranges and trajectories
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + ", t_adjusted double"
+    return streamed(ranged.join(starts, ["range", "traj_id"])).select(*rows.columns, "range", "before").mapInPandas(folded, schema)
 
 
 def viterbi(emit: np.ndarray, xs: np.ndarray, ys: np.ndarray, ox: np.ndarray, oy: np.ndarray, sigma: float) -> tuple[np.ndarray, float]:
