@@ -124,3 +124,16 @@ def test_kalman_against_matrices():
     speed, heading = trajectory.kalman(t, x, y)
     assert np.allclose(speed, want)
     assert ((heading >= 0) & (heading < 360)).all()
+
+
+@pytest.mark.parametrize("by_cells", [False, True])
+def test_distances_over_parts(spark, by_cells):
+    rng = random.Random(6)
+    links = [(a, b, float(rng.randint(1, 9))) for a in range(60) for b in range(a + 1, 60) if rng.random() < 0.05]
+    places = spark.createDataFrame([(i, (i * 7 % 10) / 10, (i % 6) / 10) for i in range(60)], "node_id long, x double, y double")
+    frame, starts = spark.createDataFrame(links, "u long, v long, w double"), [0, 7, 31]
+    found = network.shortest_distances(frame, spark.createDataFrame([(s,) for s in starts], "start long"), 9, places if by_cells else None, 0.25)
+    got = {(r.start, r.node): r.distance for r in found.collect()}
+    graph = network.Graph(iter(links))
+    want = {(s, n): graph.path(s, n)[0] for s in starts for n in graph.out if graph.path(s, n)}
+    assert got == want
