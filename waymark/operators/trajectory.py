@@ -180,14 +180,15 @@ def kalman(t: np.ndarray, x: np.ndarray, y: np.ndarray, sigma: float = 8.0, acce
 def matched(rows: DataFrame, numbered: DataFrame, candidates: int = 2, cell_m: float = 50.0, emission_m: float = 15.0, transition_m: float = 80.0) -> DataFrame:
     """``rows`` (traj_id, seq, t_adjusted, lon, lat) with node_id, matched_lon, matched_lat, speed_mps, heading_deg and cost.
 
-    Candidates are each observation's nearest nodes, exact, found by grid cells over all trajectories at once; then
+    Candidates are each observation's nearest nodes, exact, found by grid cells over all trajectories at once (nodes that are as near to
+    within some centimetres count as equal, the lower one first); then
     each trajectory is one group of a Viterbi search and a Kalman filter. The plane's latitude is that of the first
     observation of the trajectory.
     """
     points = rows.withColumn("point_id", F.struct("traj_id", "seq")).select("point_id", F.col("lon").alias("x"), F.col("lat").alias("y"))
     own = numbered.select("node_id", F.col("x").alias("nx"), F.col("y").alias("ny"))
     dx, dy = (F.col("nx") - F.col("x")) * F.cos(F.radians("y")), F.col("ny") - F.col("y")
-    near = k_nearest(points, own, "x", "y", candidates, cell_m / 111_320.0, dx * dx + dy * dy, metric=F.sqrt(dx * dx + dy * dy))
+    near = k_nearest(points, own, "x", "y", candidates, cell_m / 111_320.0, F.round(dx * dx + dy * dy, 14), metric=F.sqrt(dx * dx + dy * dy))
     listed = near.groupBy("point_id").agg(F.sort_array(F.collect_list(F.struct("rank", "node_id", "nx", "ny"))).alias("near")).select("point_id.traj_id", "point_id.seq", "near")
     joined = rows.select("traj_id", "seq", "t_adjusted", "lon", "lat").join(listed, ["traj_id", "seq"])
 

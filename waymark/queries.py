@@ -444,6 +444,25 @@ def _(spark, d):
     return topology.statistics(lines(spark, d).select("fid", "part", "pts"), digits=5).drop("issues")
 
 
+#: Lines cut wherever one meets another, trimmed and cleared: 44 units are the longest of at most 50 m, 134 of under 150 m.
+_REPAIRED = f"""WITH {L2}, m AS (SELECT h.fid AS hf, v.fid AS vf, v.x0 AS x, h.y0 AS y FROM l2 h JOIN l2 v ON h.v = 0 AND v.v = 1 AND v.x0 BETWEEN h.x0 AND h.x1 AND h.y0 BETWEEN v.y0 AND v.y1),
+c AS (SELECT fid, x0 AS x, y0 AS y FROM l2 UNION SELECT fid, x1, y1 FROM l2 UNION SELECT hf, x, y FROM m UNION SELECT vf, x, y FROM m),
+q AS (SELECT fid, x, y, lead(x) OVER w AS x1, lead(y) OVER w AS y1, count(*) OVER (PARTITION BY fid) > 2 AS cut, row_number() OVER w AS k FROM c WINDOW w AS (PARTITION BY fid ORDER BY x, y)),
+p AS (SELECT *, x1 - x + y1 - y AS size FROM q WHERE x1 IS NOT NULL),
+e AS (SELECT fid, k, x, y FROM p UNION ALL SELECT fid, k, x1, y1 FROM p), d AS (SELECT x, y, count(*) AS degree FROM e GROUP BY x, y),
+s AS (SELECT fid, k FROM e JOIN d USING (x, y) GROUP BY fid, k HAVING min(degree) <= 1 AND max(degree) >= 2),
+t AS (SELECT p.* FROM p LEFT JOIN s ON s.fid = p.fid AND s.k = p.k WHERE NOT (cut AND size <= 44 AND s.fid IS NOT NULL)),
+e2 AS (SELECT fid, k, x, y FROM t UNION ALL SELECT fid, k, x1, y1 FROM t), d2 AS (SELECT x, y, count(*) AS degree FROM e2 GROUP BY x, y),
+g AS (SELECT t.fid FROM t JOIN e2 ON e2.fid = t.fid AND e2.k = t.k JOIN d2 ON d2.x = e2.x AND d2.y = e2.y WHERE NOT cut AND size <= 134 GROUP BY t.fid HAVING max(degree) <= 1)
+SELECT 'dangling' AS what, count(*) AS n FROM g HAVING count(*) > 0 UNION ALL SELECT 'replaced', count(DISTINCT fid) FROM q WHERE cut HAVING count(*) > 0 UNION ALL SELECT 'repaired_split', count(*) FROM t WHERE cut HAVING count(*) > 0"""
+
+
+@query("t5_t5d_t5g_repair_without_links", _REPAIRED)
+def _(spark, d):
+    """Noding, trimmed spurs and deleted loose lines; no connectors, whose places SQL can't tell to the last digit."""
+    return topology.repair(lines(spark, d).select("fid", "part", "pts"), delete_m=150, trim_m=50, connect_m=0, digits=5)["counts"]
+
+
 @query("t5_a12_repair")
 def _(spark, d):
     return topology.repair(lines(spark, d).select("fid", "part", "pts"), digits=5)["counts"]
@@ -569,6 +588,21 @@ def _(spark, d):
     return _matched(spark, d).select("traj_id", "seq", "node_id", F.round("cost", 6).alias("cost"))
 
 
+_M2 = f"""WITH RECURSIVE {L4}, {L5}, o AS (SELECT *, row_number() OVER w AS n, first_value(lat) OVER w AS lat0 FROM l5 WINDOW w AS (PARTITION BY traj_id ORDER BY t, seq)),
+c AS (SELECT seq, x, y, row_number() OVER (PARTITION BY seq ORDER BY round(pow((x - lon) * cos(radians(lat)), 2) + pow(y - lat, 2), 14), node_id) AS k FROM l5, ln QUALIFY k <= 2),
+f AS (SELECT traj_id, n, radians(lon) * 6371000 * cos(radians(lat0)) AS px, radians(lat) * 6371000 AS py, radians(a.x) * 6371000 * cos(radians(lat0)) AS ax, radians(a.y) * 6371000 AS ay, radians(b.x) * 6371000 * cos(radians(lat0)) AS bx, radians(b.y) * 6371000 AS by_ FROM o JOIN c a ON a.seq = o.seq AND a.k = 1 JOIN c b ON b.seq = o.seq AND b.k = 2),
+g AS (SELECT *, (pow(ax - px, 2) + pow(ay - py, 2)) / 450 AS ea, (pow(bx - px, 2) + pow(by_ - py, 2)) / 450 AS eb, lag(ax) OVER w AS lax, lag(ay) OVER w AS lay, lag(bx) OVER w AS lbx, lag(by_) OVER w AS lby, sqrt(pow(px - lag(px) OVER w, 2) + pow(py - lag(py) OVER w, 2)) AS seen FROM f WINDOW w AS (PARTITION BY traj_id ORDER BY n)),
+h AS (SELECT traj_id, n, ea, eb, pow(sqrt(pow(ax - lax, 2) + pow(ay - lay, 2)) - seen, 2) / 12800 AS aa, pow(sqrt(pow(ax - lbx, 2) + pow(ay - lby, 2)) - seen, 2) / 12800 AS ba, pow(sqrt(pow(bx - lax, 2) + pow(by_ - lay, 2)) - seen, 2) / 12800 AS ab, pow(sqrt(pow(bx - lbx, 2) + pow(by_ - lby, 2)) - seen, 2) / 12800 AS bb FROM g),
+r AS (SELECT traj_id, n, ea AS ca, eb AS cb FROM h WHERE n = 1 UNION ALL SELECT h.traj_id, h.n, least(ca + aa, cb + ba) + ea, least(ca + ab, cb + bb) + eb FROM r JOIN h ON h.traj_id = r.traj_id AND h.n = r.n + 1)
+SELECT traj_id, n, round(least(ca, cb), 2) AS cost FROM r QUALIFY n = max(n) OVER (PARTITION BY traj_id)"""
+
+
+@query("m2_w4_costs", _M2)
+def _(spark, d):
+    """The cost of the cheapest sequence of candidates of each trajectory, and its length."""
+    return _matched(spark, d).groupBy("traj_id").agg(F.count("*").alias("n"), F.round(F.max("cost"), 2).alias("cost"))
+
+
 @query("m3_w5_speeds")
 def _(spark, d):
     return _matched(spark, d).select("traj_id", "seq", F.round("speed_mps", 6).alias("speed_mps"), F.round("heading_deg", 6).alias("heading_deg"))
