@@ -180,8 +180,8 @@ def kalman(t: np.ndarray, x: np.ndarray, y: np.ndarray, sigma: float = 8.0, acce
 def matched(rows: DataFrame, numbered: DataFrame, candidates: int = 2, cell_m: float = 50.0, emission_m: float = 15.0, transition_m: float = 80.0) -> DataFrame:
     """``rows`` (traj_id, seq, t_adjusted, lon, lat) with node_id, matched_lon, matched_lat, speed_mps, heading_deg and cost.
 
-    Candidates are each observation's nearest nodes, exact, found by grid cells over all trajectories at once (nodes that are as near to
-    within some centimetres count as equal, the lower one first); then
+    Candidates are each observation's nearest nodes, exact, found by grid cells over all trajectories at once (by squared degrees,
+    rounded to 14 places, equal ones by the lower node); then
     each trajectory is one group of a Viterbi search and a Kalman filter. The plane's latitude is that of the first
     observation of the trajectory.
     """
