@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import re
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import suppress
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,6 +76,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def give_back() -> None:
+    """At the end of a task on whole texts: memory it no longer needs goes back to the system.
+
+    Python workers live on from step to step; what their allocators keep would add up over the stages of a pipeline.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def remainder_is(doc_id: Column, divisor: int, remainder: int) -> Column:
     """crc32 of the id as text, modulo ``divisor``; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % divisor == remainder, F.lit(False))

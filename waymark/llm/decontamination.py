@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import materialise
+from ._shared import give_back, materialise
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = str.maketrans({c: chr(c + 32) for c in range(ord("A"), ord("Z") + 1)})
@@ -89,6 +89,8 @@ def build_index(docs: DataFrame, terms: dict[str, int] | None) -> DataFrame:
                 held += len(own)
         if lists:
             yield pd.DataFrame([block(ids, hashes, lists)])
+        del ids, hashes, lists
+        give_back()
 
     # ids travel as text: a column of numbers and nulls would become one of floats in Python
     own = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
@@ -279,12 +281,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop:
     """
     size = benchmark.where("item_id is not null").agg(F.coalesce(F.sum(F.size(F.split("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))), F.lit(0))).first()[0]
     if size > test_words:
-        index = materialise(build_index(docs, None), "postings")
+        index = materialise(build_index(docs, None), "postings", batch=1000)
         found = search_parts(index, (Phrases.of(x, window) for x in parts(benchmark, window, test_words, -(-size // test_words))), slop)
         return found if keep_hash else found.drop("text_hash")
     rows = [(str(r.item_id), r.text) for r in benchmark.where("item_id is not null and text is not null").select("item_id", "text").collect()]
     tests = Phrases.of(rows, window)
-    found = search(materialise(build_index(docs, tests.terms), "postings"), tests, slop)
+    found = search(materialise(build_index(docs, tests.terms), "postings", batch=1000), tests, slop)
     return found if keep_hash else found.drop("text_hash")
 
 

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import groups_of, remainder_is, text_hash
+from ._shared import give_back, groups_of, remainder_is, text_hash
 
 #: The factor of the rolling hash; the least probability of a character.
 FACTOR, LEAST = np.uint64(0x9E3779B97F4A7C15), 1e-7
@@ -282,6 +282,7 @@ def unrecognised(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame
             else:
                 keep = [bool(words(x)) for x in texts]
             yield batch.loc[~np.array(keep, bool), ["doc_id", "text_hash"]]
+        give_back()
 
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", text_hash(F.col("text")))
     return own.mapInPandas(run, "doc_id long, text_hash long")
