@@ -205,40 +205,32 @@ def test_near_copies(spark):
 
 def test_near_copies_lose_no_pair(spark):
     rng = random.Random(3)
-    rows, unlike, k = [], 0, 0
-
-    def sketch(text):
-        h = simhash.shingle_hashes(text, 5)
-        return np.array([(h * m).min() for m in simhash._MIX])
-
-    while unlike < 3:  # pairs close to the bound: a few of any kind, then those whose sketches agree in few places
+    rows = []
+    for k in range(0, 160, 2):  # pairs close to the bound, with sizes that differ too
         text = [f"{k}x{i}" for i in range(400)]
-        other = ["z" + w if i in range(5, 395, 51) else w for i, w in enumerate(text)] + [f"{k}y{i}" for i in range(rng.randrange(20) if k < 120 else 9)]
-        text, other = " ".join(text), " ".join(other)
-        few = k >= 120 and (sketch(text) == sketch(other)).sum() < 8
-        unlike += few
-        if k < 120 or few:
-            rows += [(k, text), (k + 1, other)]
-        k += 2
-    sets = {k: set(simhash.shingle_hashes(t, 5).tolist()) for k, t in rows}
-    want = {k: k % 2 == 0 or len(sets[k] & sets[k - 1]) < 0.8 * len(sets[k] | sets[k - 1]) for k in sets}
-    assert 10 < sum(not x for x in want.values()) < 60 and [want[k + 1] for k, _ in rows[-6::2]] == [False] * 3
-    frame = spark.createDataFrame(rows, "doc_id long, text string")
-    for radius in (24, -1):  # -1: the first pass finds nothing, so all is left to the second
-        assert {r.doc_id: r.keep for r in simhash.near_copies(frame, radius=radius, tile=2048 if radius > 0 else 1).collect()} == want
-
-
-def test_prefixes_meet():
-    rng = np.random.default_rng(5)
-    for _ in range(2000):
-        n, m = rng.integers(1, 60, 2)
-        both = rng.integers(0, 12, 1)[0]
-        pool = rng.choice(200, n + m + both, replace=False).astype(np.uint64)
-        x, y = np.sort(pool[: n + both]), np.sort(np.concatenate([pool[:n][: n - n // 8], pool[n : n + both], pool[n + both :][: n // 8]]))
-        common = (np.arange(0, 200, 3, dtype=np.uint64), rng.integers(2, 9, 67))
-        share = len(np.intersect1d(x, y)) / len(np.union1d(x, y))
-        if share >= 0.8:
-            assert len(np.intersect1d(simhash.prefix(x, common, 0.8), simhash.prefix(y, common, 0.8)))
+        other = ["z" + w if i in range(5, 395, 51) else w for i, w in enumerate(text)] + [f"{k}y{i}" for i in range(rng.randrange(20))]
+        rows += [(k, " ".join(text)), (k + 1, " ".join(other))]
+    words = [f"w{i}" for i in range(300)]
+    for k in range(200, 320):  # and a crowd of edits of one text, of which chains connect many
+        own = list(words)
+        for _ in range(rng.randrange(9)):
+            own[rng.randrange(300)] = f"v{rng.randrange(50)}"
+        rows.append((k, " ".join(own)))
+    sets = {k: set(zip(*(t.split()[i:] for i in range(5)), strict=False)) for k, t in rows}
+    up = {k: k for k in sets}
+
+    def root(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                up[max(root(a), root(b))] = min(root(a), root(b))
+    want = {k: root(k) == k for k in sets}
+    assert 10 < sum(not want[k] for k in want if k < 160) < 70 and 10 < sum(not want[k] for k in want if k >= 200) < 119
+    assert {r.doc_id: r.keep for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
 
 
 def test_proximity(spark):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,3 +34,25 @@ def components(edges: DataFrame) -> DataFrame:
             break
         size, seen = mark[0], mark
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+class Forest:
+    """Links among numbered items, kept as a spanning forest."""
+
+    def __init__(self, n: int):
+        self.up = np.arange(n)
+        self.links: list[tuple[int, int]] = []
+
+    def root(self, i: int) -> int:
+        up = self.up
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        for i, j in zip(a.tolist(), b.tolist(), strict=True):
+            x, y = self.root(i), self.root(j)
+            if x != y:
+                self.up[max(x, y)] = min(x, y)
+                self.links.append((i, j))

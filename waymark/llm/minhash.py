@@ -7,16 +7,15 @@ bring sets together, and every link is confirmed on the whole sets.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import SMALL, materialise, salted_join
-from .graph import components
-from .simhash import _Forest
+from ._shared import SMALL, give_back, materialise, salted_join, text_hash
+from .graph import Forest, components
 
 #: Permutations (two bytes each) and bytes in a band. Sets at a similarity of 0.85 miss all of the 42 bands with a
 #: chance of 2e-9, sets at 0.5 meet in one with a chance of a half.
@@ -27,8 +26,8 @@ FIRST = 8
 _FACTORS = np.random.default_rng(11).integers(1 << 62, size=PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Members of a bucket on the two sides of one comparison, and bytes of sets that a task takes with one first member.
 LEFT, RIGHT, BYTES = 256, 1024, 4 << 20
-#: Rows that Python gets at once where they hold whole texts or sets.
-TEXTS = 1000
+#: Rows that Python gets at once where they hold whole texts or sets, and where they hold a tile's members.
+TEXTS, TILES = 1000, 200
 _STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
@@ -90,38 +89,51 @@ def near(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def signed(docs: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id, node, size, sig of every row: a name of its set, how many shingles that has, and its signature.
+def sign(hashes: np.ndarray) -> int:
+    """The SimHash of a set: each bit that over half of its hashes have."""
+    total = np.zeros(64, np.int64)
+    for a in range(0, len(hashes), 1 << 15):
+        total += np.unpackbits(hashes[a : a + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits((2 * total > len(hashes)).astype(np.uint8), bitorder="little").view("<i8")[0])
 
-    A null text has no words; then size is 0 and the signature empty.
+
+def signed(docs: DataFrame, words: int = 3, fingerprints: bool = False) -> DataFrame:
+    """doc_id, text_hash, node, size, sig, fp of every row: a name of its set, how many shingles that has, its signature and its SimHash (else 0).
+
+    A null text has no words; then node and size are 0 and the signature empty.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingles(words)
         for batch in batches:
-            found = [(_name(h), len(h), signature(h)) if len(h) else (0, 0, b"") for h in map(shingles, batch["text"])]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "node": np.array([x[0] for x in found], np.int64), "size": np.array([x[1] for x in found], np.int64), "sig": [x[2] for x in found]})
+            found = [(_name(h), len(h), signature(h), sign(h) if fingerprints else 0) if len(h) else (0, 0, b"", 0) for h in map(shingles, batch["text"])]
+            numbers = {c: np.array([x[i] for x in found], np.int64) for i, c in ((0, "node"), (1, "size"), (3, "fp"))}
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "node": numbers["node"], "size": numbers["size"], "sig": [x[2] for x in found], "fp": numbers["fp"]})
+        shingles.known.clear()
+        give_back()
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id long, node long, size long, sig binary")
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", text_hash(F.col("text")))
+    return own.mapInPandas(run, "doc_id long, text_hash long, node long, size long, sig binary, fp long")
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, words: int = 3) -> DataFrame:
-    """node and its whole set (ascending 64-bit hashes) for ``nodes`` (node, least: a doc_id that has it).
+    """node and its whole set (ascending 64-bit hashes) for ``nodes`` (node, least: the doc_id and text hash of a row that has it).
 
     Where the nodes are few enough they go to the documents; else whole texts move once.
     """
-    wanted = nodes.select("node", F.col("least").alias("of_doc"))
+    wanted = nodes.select("node", F.col("least.doc_id").alias("of_doc"), F.col("least.text_hash").alias("of_hash"))
     if nodes.count() <= SMALL:
         wanted = F.broadcast(wanted)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingles(words)
         for batch in batches:
-            sets = [shingles(x) for x in batch["text"]]
-            right = [len(h) > 0 and _name(h) == node for h, node in zip(sets, batch["node"], strict=True)]  # ids may repeat
-            yield pd.DataFrame({"node": batch["node"][right], "shingles": [h.tobytes() for h, ok in zip(sets, right, strict=True) if ok]})
+            yield pd.DataFrame({"node": batch["node"], "shingles": [shingles(x).tobytes() for x in batch["text"]]})
+        shingles.known.clear()
+        give_back()
 
-    texts = docs.select("doc_id", "text").where("text is not null").join(wanted, F.col("doc_id").eqNullSafe(F.col("of_doc")))
+    is_it = F.col("doc_id").eqNullSafe(F.col("of_doc")) & (text_hash(F.col("text")) == F.col("of_hash"))
+    texts = docs.select("doc_id", "text").where("text is not null").join(wanted, is_it)
     return texts.select("node", "text").mapInPandas(run, "node long, shingles binary").dropDuplicates(["node"])
 
 
@@ -149,21 +161,23 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("first", "part").applyInPandas(run, "u long, v long")
 
 
-def candidates(band: int, left: pd.DataFrame, right: pd.DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j) of ``left`` and ``right`` that one bucket of ``band`` must compare (columns node, component, size, sig).
+def candidates(band: int, left: Mapping, right: Mapping, percent: int, radius: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of ``left`` and ``right`` that one bucket of ``band`` must compare (columns node, component, size, sig, fp).
 
-    Two of one component are linked already. Sizes must allow the similarity, and so must the share of equal bytes, six
-    deviations below what it would be. Two that also share a bucket of a band before are compared there.
+    Two of one component are linked already. Sizes must allow the similarity; with ``radius``, fingerprints differ in so many bits at most; and the share of equal bytes
+    is no more than six deviations below what the similarity makes. Two that also share a bucket of a band before are compared there.
     """
-    a, b = (np.frombuffer(b"".join(x["sig"]), np.uint8).reshape(len(x), 2 * PERMUTATIONS) for x in (left, right))
-    ca, cb = left["component"].to_numpy(), right["component"].to_numpy()
-    sa, sb = left["size"].to_numpy(), right["size"].to_numpy()
+    a, b = (np.frombuffer(b"".join(x["sig"]), np.uint8).reshape(len(x["sig"]), 2 * PERMUTATIONS) for x in (left, right))
+    (ca, cb), (sa, sb), (fa, fb) = ([np.asarray(x[c], np.int64) for x in (left, right)] for c in ("component", "size", "fp"))
+    fa, fb = fa.view(np.uint64), fb.view(np.uint64)
     least = percent / 100
     bound = (least - 6 * (least * (1 - least) / (2 * PERMUTATIONS)) ** 0.5) * 2 * PERMUTATIONS
     out = []
     for i in range(0, len(a), 32):
         part = slice(i, i + 32)
         fits = (ca[part, None] != cb[None, :]) & (100 * np.minimum(sa[part, None], sb[None, :]) >= percent * np.maximum(sa[part, None], sb[None, :]))
+        if radius is not None:
+            fits &= np.bitwise_count(fa[part, None] ^ fb[None, :]) <= radius
         x, y = np.nonzero(fits)
         for at in range(0, len(x), 1 << 14):
             p, q = x[at : at + (1 << 14)] + i, y[at : at + (1 << 14)]
@@ -181,10 +195,10 @@ def _tiles(members: DataFrame, rows: DataFrame) -> DataFrame:
     return left.unionByName(right).join(rows, "node")
 
 
-def between(placed: DataFrame, named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def between(placed: DataFrame, named: DataFrame, sets: DataFrame, percent: int, radius: int | None = None) -> DataFrame:
     """(u, v): links between components, from every bucket that holds more than one.
 
-    ``placed`` (key, band, node), ``named`` (node, component, size, sig), ``sets`` (node, shingles).
+    ``placed`` (key, band, node), ``named`` (node, component, size, sig, fp), ``sets`` (node, shingles).
     Only members outside a bucket's largest component are held against all others, in blocks. A first pass over the signatures
     tells who is in question; then their whole sets are compared.
     """
@@ -198,26 +212,32 @@ def between(placed: DataFrame, named: DataFrame, sets: DataFrame, percent: int)
     members = materialise(members, "members")
     columns = ["key", "band", "l", "r"]
 
-    def asked(key: tuple, batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values("node")
-        left, right = batch[batch["on_left"]], batch[~batch["on_left"]]
-        i, j = candidates(int(key[1]), left, right, percent)
-        hit = np.concatenate([np.unique(left["node"].to_numpy()[i]), np.unique(right["node"].to_numpy()[j])])
-        out = pd.DataFrame({"node": hit, "on_left": np.arange(len(hit)) < len(np.unique(i))})
-        return out.assign(**dict(zip(columns, key, strict=True)))[[*columns, "node", "on_left"]]
+    fields = ("node", "component", "size", "sig", "fp")
+
+    def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:  # a row a tile: most are of a few members, and cost no more than their bytes
+            out = []
+            for tile in batch.itertuples(index=False):
+                on_left = np.asarray(tile.on_left, bool)
+                order = np.argsort(np.asarray(tile.node, np.int64), kind="stable")
+                sides = [{f: np.asarray(getattr(tile, f), object if f == "sig" else np.int64)[order[on_left[order] == side]] for f in fields} for side in (True, False)]
+                i, j = candidates(tile.band, *sides, percent, radius)
+                for side, hit in zip((True, False), (i, j), strict=True):
+                    out += [(tile.key, tile.band, tile.l, tile.r, n, side) for n in sides[1 - side]["node"][np.unique(hit)].tolist()]
+            yield pd.DataFrame(out, columns=[*columns, "node", "on_left"])
 
     schema = "key long, band int, l long, r long, node long, on_left boolean"
-    question = _tiles(members, named).groupBy(*columns).applyInPandas(asked, schema)
-    question = materialise(question, "question", TEXTS)
+    tiles = _tiles(members, named).groupBy(*columns).agg(*[F.collect_list(f).alias(f) for f in (*fields, "on_left")])
+    question = materialise(tiles.mapInPandas(asked, schema), "question", TILES)
 
     def settled(key: tuple, batch: pd.DataFrame) -> pd.DataFrame:
         batch = batch.sort_values("node")
         left, right = batch[batch["on_left"]].reset_index(drop=True), batch[~batch["on_left"]].reset_index(drop=True)
-        i, j = candidates(int(key[1]), left, right, percent)
+        i, j = candidates(int(key[1]), left, right, percent, radius)
         a, b = ([np.frombuffer(x, "<u8") for x in side["shingles"]] for side in (left, right))
         # what a link or a component joins need not be compared again
         names, at = np.unique(np.concatenate([left["component"], right["component"]]), return_inverse=True)
-        forest, links = _Forest(len(names)), []
+        forest, links = Forest(len(names)), []
         for p, q in zip(i.tolist(), j.tolist(), strict=True):
             x, y = int(at[p]), int(at[len(left) + q])
             if forest.root(x) != forest.root(y) and near(a[p], b[q], percent):
@@ -235,27 +255,20 @@ def _keys() -> Column:
     return F.inline(F.array(*each))
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id, kept.
-
-    Rows whose sets of shingles have a Jaccard similarity of ``percent`` hundredths or more are linked, and a component is
-    named after the smallest doc_id in it; ``kept`` is the row that has it. Rows with one set are one node before any
-    comparison, so copies cost nothing. A text of fewer words has one shingle, the whole; null, empty and blank texts have none and
-    are linked with nothing. Repeated rows come back each, and are kept or not together; a null doc_id never
-    names a component, is null and not kept if alone. A text of any length is read whole. Other columns are left aside; an
-    empty table gives an empty table.
+def linked_sets(docs: DataFrame, marked: DataFrame, words: int, percent: int, radius: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """nodes (node, least, size, n) of ``marked`` (see ``signed``), and links (u, v) that connect what is near.
 
     1. Buckets of the bands that hold more than one node. 2. In the first bands, each member against one member of its
     bucket, on whole sets; components of what is linked. 3. In all bands, what lies in one bucket but in different components.
-    No link is lost but by the chance of missing all bands. Buckets of any size are dealt out in blocks.
+    Buckets of any size are dealt out in blocks. Of the texts, only those in question are read again.
     """
-    marked = materialise(signed(docs, words), "signed", TEXTS)
-    nodes = materialise(marked.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("sig").alias("sig"), F.count("*").alias("n")), "nodes")
-    rows = nodes.select("node", _keys())
+    nodes = marked.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.first("size").alias("size"), F.first("sig").alias("sig"), F.first("fp").alias("fp"), F.count("*").alias("n"))
+    nodes = materialise(nodes, "nodes")
+    rows = nodes.where("size > 0").select("node", _keys())
     shared = materialise(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     placed = rows.join(F.broadcast(shared.select("key")), "key") if shared.count() <= SMALL else salted_join(rows, shared, "key", nodes.count() * BANDS)
     placed = materialise(placed.select("key", "band", "node"), "placed")
-    open_ = materialise(nodes.join(placed.select("node").distinct(), "node").select("node", "least", "size", "sig"), "open")
+    open_ = materialise(nodes.join(placed.select("node").distinct(), "node").select("node", "least", "size", "sig", "fp"), "open")
     sets = materialise(sets_of(docs, open_, words), "sets", TEXTS)
 
     first = placed.where(F.col("band") < FIRST)
@@ -263,13 +276,32 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85) -> DataF
     stars = salted_join(first.select("key", "node"), heads, "key", placed.count()).where("first <> node").select("first", "node").distinct()
     links = materialise(confirmed(materialise(stars, "stars"), sets, percent), "links")
     quick = components(links).withColumnRenamed("node", "of_node")
-    named = open_.join(quick, F.col("node") == F.col("of_node"), "left").select("node", F.coalesce("component", "node").alias("component"), "size", "sig")
+    named = open_.join(quick, F.col("node") == F.col("of_node"), "left").select("node", F.coalesce("component", "node").alias("component"), "size", "sig", "fp")
     named = materialise(named, "named")
-    rest = materialise(between(placed, named, sets, percent), "links")
+    rest = materialise(between(placed, named, sets, percent, radius), "links", TEXTS)
+    return nodes.select("node", "least", "size", "n"), links.unionByName(rest)
 
-    found = components(links.unionByName(rest)).withColumnRenamed("node", "of_node")
-    all_named = materialise(nodes.join(found, F.col("node") == F.col("of_node"), "left").select("node", F.coalesce("component", "node").alias("component"), "least", F.col("n").alias("rows")), "components")
-    least = all_named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+
+def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles, component_id, kept.
+
+    Rows whose sets of shingles have a Jaccard similarity of ``percent`` hundredths or more are linked, and a component is
+    named after the smallest doc_id in it; ``kept`` is the row that has it. Rows with one set are one node before any
+    comparison, so copies cost nothing. A text of fewer words has one shingle, the whole; null, empty and blank texts have none and
+    are linked with nothing. Repeated rows come back each, and are kept or not together; a null doc_id never
+    names a component, is null and not kept if alone. A text of any length is read whole. Other columns are left aside; an
+    empty table gives an empty table.
+
+    No link is lost but by the chance of missing all bands (see ``linked_sets``).
+    """
+    marked = materialise(signed(docs, words), "signed", TEXTS)
+    nodes, links = linked_sets(docs, marked, words, percent)
+    nodes = nodes.where("size > 0")
+    found = components(links).withColumnRenamed("node", "of_node")
+    all_named = materialise(nodes.join(found, F.col("node") == F.col("of_node"), "left").select("node", F.coalesce("component", "node").alias("component"), F.col("n").alias("rows")), "components")
+    # the least doc_id of a node may be null only if all are: nulls take no part in the naming
+    named_rows = marked.where("size > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
+    least = all_named.join(named_rows, "node", "left").groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
     ids = materialise(salted_join(all_named.select("node", "component", "rows"), least, "component", nodes.count()).select("node", "component_id", F.col("rows").alias("n")), "ids")
     out = salted_join(marked.where("size > 0").select("doc_id", "node", "size"), ids, "node", marked.count()).select("doc_id", F.col("size").alias("n_shingles"), "component_id")
     alone = marked.where("size = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))

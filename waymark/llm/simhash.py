@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import freed, materialise, salted_join
-from .graph import components
+from . import minhash
+from ._shared import materialise, salted_join
+from .graph import Forest, components
 
 #: Fingerprints in one tile at most, and the parts of a fingerprint whose bits are counted apart.
 TILE, PARTS = 4096, 4
@@ -63,32 +63,10 @@ def _steps(parts: int, radius: int) -> list[int]:
     return sorted(k for x in steps if (k := sum(d * 100 ** (parts - 1 - i) for i, d in enumerate(x))) >= 0)
 
 
-class _Forest:
-    """Links among numbered items, kept as a spanning forest."""
-
-    def __init__(self, n: int):
-        self.up = np.arange(n)
-        self.links: list[tuple[int, int]] = []
-
-    def root(self, i: int) -> int:
-        up = self.up
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-    def add(self, a: np.ndarray, b: np.ndarray) -> None:
-        for i, j in zip(a.tolist(), b.tolist(), strict=True):
-            x, y = self.root(i), self.root(j)
-            if x != y:
-                self.up[max(x, y)] = min(x, y)
-                self.links.append((i, j))
-
-
 def linked(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the pairs of one tile (b None), or of two, that differ in ``radius`` bits at most."""
     both = a if b is None else np.concatenate([a, b])
-    forest, low = _Forest(len(both)), 0 if b is None else len(a)
+    forest, low = Forest(len(both)), 0 if b is None else len(a)
     other = both[low:]
     rows = max(1, (1 << 20) // max(1, len(other)))
     for i in range(0, len(a), rows):
@@ -162,270 +140,22 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, seed: int
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Rows that Python gets at once where they hold whole texts or sets of shingles.
-TEXTS = 1000
-#: Least shingles kept of each document by ``near_copies``: the first few choose tiles, all estimate likeness.
-SKETCH, TILES_OF = 16, 6
-#: From so many candidate pairs of a tile on, all its similarities are computed together.
-MANY_PAIRS = 20_000
-_MIX = np.random.default_rng(9).integers(1 << 62, size=SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def shingle_hashes(text: str, words: int, seed: int = 42) -> np.ndarray:
-    """The different hashes of a text's word shingles, ascending; that of the whole for fewer words; none for no word."""
-    import xxhash
-
-    split = text.encode().lower().split()
-    h = xxhash.xxh64_intdigest
-    if len(split) <= words:
-        return np.array([h(b" ".join(split), seed)] if split else [], np.uint64)
-    return np.unique(np.fromiter((h(b" ".join(x), seed) for x in zip(*(split[i:] for i in range(words)))), np.uint64, len(split) - words + 1))
-
-
-def _sign(hashes: np.ndarray) -> int:
-    total = np.zeros(64, np.int64)
-    for a in range(0, len(hashes), 1 << 15):
-        total += np.unpackbits(hashes[a : a + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits((2 * total > len(hashes)).astype(np.uint8), bitorder="little").view("<u8")[0])
-
-
-def alike(fps: np.ndarray, sketches: np.ndarray, sizes: np.ndarray, shingles: list[np.ndarray], other: slice, similarity: float, radius: int) -> list[tuple[int, int]]:
-    """A forest of pairs (i, j) with j in ``other`` and a Jaccard similarity of ``similarity`` or more.
-
-    A quick first pass, which may miss links but never makes a wrong one. Pairs are first thinned by exclusive-or and bit counts, sizes, and equal sketch places; what is left is taken
-    nearest first, and compared exactly unless it is connected already.
-    """
-    n = len(fps)
-    forest = _Forest(n)
-    rows = max(1, (1 << 18) // max(1, n))
-    near: list[np.ndarray] = []
-    span = np.arange(n)[other]
-    for a in range(0, n if other.start == 0 else other.start, rows):
-        i = np.arange(a, min(a + rows, n if other.start == 0 else other.start))
-        bits = np.bitwise_count(fps[i, None] ^ fps[None, span])
-        small, large = np.minimum(sizes[i, None], sizes[None, span]), np.maximum(sizes[i, None], sizes[None, span])
-        x, y = np.nonzero((bits <= radius) & (small >= similarity * large) & (i[:, None] < span[None, :]))
-        same = (sketches[i[x]] == sketches[span[y]]).sum(1) >= SKETCH // 2
-        near.append(np.stack([bits[x, y][same].astype(np.int64), i[x][same], span[y][same]]))
-    pairs = np.concatenate(near, 1) if near else np.empty((3, 0), np.int64)
-    pairs = pairs[1:, np.argsort(pairs[0], kind="stable")]
-    if pairs.shape[1] > MANY_PAIRS:  # all at once, by products of the documents' incidence with the shingles
-        shared = _shared_counts(shingles)
-        both = shared[pairs[0], pairs[1]]
-        pairs = pairs[:, both >= similarity * (sizes[pairs[0]] + sizes[pairs[1]] - both)]
-        certain = True
-    else:
-        certain = False
-    while pairs.shape[1]:
-        root = np.array([forest.root(k) for k in range(n)])
-        pairs = pairs[:, root[pairs[0]] != root[pairs[1]]]
-        for i, j in pairs[:, :512].T.tolist():
-            if forest.root(i) != forest.root(j):
-                both = 0 if certain else len(np.intersect1d(shingles[i], shingles[j], assume_unique=True))
-                if certain or both >= similarity * (len(shingles[i]) + len(shingles[j]) - both):
-                    forest.add(np.array([i]), np.array([j]))
-        pairs = pairs[:, 512:]
-    return forest.links
-
-
-def _shared_counts(shingles: list[np.ndarray], columns: int = 1024) -> np.ndarray:
-    """How many shingles each two documents share; those of one document alone are left out first."""
-    owner = np.repeat(np.arange(len(shingles)), [len(x) for x in shingles])
-    _, place, times = np.unique(np.concatenate(shingles), return_inverse=True, return_counts=True)
-    keep = times[place] > 1
-    owner, place = owner[keep], np.unique(place[keep], return_inverse=True)[1]
-    order = np.argsort(place, kind="stable")
-    owner, place = owner[order], place[order]
-    out = np.zeros((len(shingles), len(shingles)), np.float32)
-    for a in range(0, int(place[-1]) + 1 if len(place) else 0, columns):
-        low, high = np.searchsorted(place, (a, a + columns))
-        part = np.zeros((len(shingles), columns), np.float32)
-        part[owner[low:high], place[low:high] - a] = 1
-        out += part @ part.T
-    return np.rint(out).astype(np.int64)
-
-
-#: Documents sampled to tell common shingles, and how many of those are sent to every executor.
-SAMPLED, COMMON = 4000, 200_000
-
-
-def common_shingles(own: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (ascending) of shingles that several documents of a sample share, and in how many; they only set an order."""
-    size = own.count()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for text in batch["text"]:
-                yield pd.DataFrame({"h": shingle_hashes(text, words).view(np.int64)})
-
-    sample = own.where(F.pmod(F.col("text_hash"), F.lit(1_000_000)) < 1_000_000 * min(1.0, SAMPLED / max(1, size))).select("text")
-    rows = sample.mapInPandas(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "h").limit(COMMON).toPandas()
-    hashes = rows["h"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    return hashes[order], rows["n"].to_numpy(np.int64)[order]
-
-
-def prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
-    """The first of a document's shingles in an order that is the same for all documents (common ones last).
-
-    Two sets of that ``similarity`` or more share at least ``similarity`` of the larger, so they share a shingle of
-    the first n - ceil(similarity * n) + 1 of each.
-    """
-    n = len(hashes)
-    often = np.zeros(n, np.int64)
-    if len(common[0]) and n:
-        i = np.minimum(np.searchsorted(common[0], hashes), len(common[0]) - 1)
-        often = np.where(common[0][i] == hashes, common[1][i], 0)
-    return hashes[np.lexsort((hashes, often))][: n - math.ceil(similarity * n - 1e-9) + 1 if n else 0]
-
-
-def candidates(node: np.ndarray, part: np.ndarray, size: np.ndarray, place: np.ndarray, second: np.ndarray | None, similarity: float) -> np.ndarray:
-    """Members (a, b, node) of pairs of components a < b that documents with one shingle in their prefixes may link.
-
-    Of two rows, the sizes must be near enough, and the shingles from this one on (the first that both share, in
-    one of the tiles) enough for the similarity. With ``second``, only pairs of one row of it and one other count.
-    """
-    left = np.arange(len(node)) if second is None else np.flatnonzero(~second)
-    j = np.arange(len(node)) if second is None else np.flatnonzero(second)
-    rows, out = max(1, (1 << 18) // max(1, len(j))), []
-    for at in range(0, len(left), rows):
-        i = left[at : at + rows]
-        small, large = np.minimum(size[i, None], size[None, j]), np.maximum(size[i, None], size[None, j])
-        most = np.minimum(size[i, None] - place[i, None], size[None, j] - place[None, j])
-        fits = (small >= similarity * large - 1e-6) & (most * (1 + similarity) >= similarity * (small + large) - 1e-6)
-        x, y = np.nonzero(fits & (part[i, None] != part[None, j]))
-        if len(x):
-            x, y = i[x], j[y]
-            a, b = np.minimum(part[x], part[y]), np.maximum(part[x], part[y])
-            both = np.concatenate([np.stack([a, b, node[x]], 1), np.stack([a, b, node[y]], 1)])
-            out.append(np.unique(both, axis=0) if len(both) > 64 else both)
-    return np.concatenate(out) if out else np.empty((0, 3), np.int64)
-
-
-def first_link(left: list[np.ndarray], right: list[np.ndarray], similarity: float) -> tuple[int, int] | None:
-    """A pair, one of each side, with a Jaccard similarity of ``similarity`` or more, or None if there is none."""
-    for i, x in enumerate(left):
-        for j, y in enumerate(right):
-            if min(len(x), len(y)) >= similarity * max(len(x), len(y)) - 1e-6:
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if both >= similarity * (len(x) + len(y) - both):
-                    return i, j
-    return None
-
-
-def links_between(own: DataFrame, nodes: DataFrame, named: DataFrame, words: int, similarity: float, tile: int) -> DataFrame:
-    """(u, v): a link for every two components of ``named`` (node, component) that hold a pair of near copies.
-
-    Prefix filtering: near copies share a shingle among the first of each (see ``prefix``), and a shingle that only
-    one component has is of no use. What is left names pairs of components and their members in question, whose
-    whole sets are compared until a link is found. No pair at ``similarity`` or more is lost.
-    """
-    spark = own.sparkSession
-    sent = spark.sparkContext.broadcast(common_shingles(own, words))
-    stands = nodes.where("size > 0").select("node", F.col("least.doc_id").alias("of_doc"), F.col("least.text_hash").alias("of_hash"))
-    is_it = F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_hash") == F.col("of_hash"))
-
-    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sets = [shingle_hashes(x, words) for x in batch["text"]]
-            yield pd.concat([batch[["doc_id", "text_hash"]], pd.DataFrame({"size": [len(x) for x in sets], "firsts": [prefix(x, sent.value, similarity).view(np.int64) for x in sets]}, index=batch.index)], axis=1)
-
-    # the firsts travel, not the texts
-    firsts = own.mapInPandas(first, "doc_id long, text_hash long, size int, firsts array<long>").where("size > 0").join(stands, is_it).dropDuplicates(["node"]).join(named, "node")
-    each = Window.partitionBy("value")
-    slots = firsts.select("node", "component", "size", F.posexplode("firsts").alias("place", "value"))
-    slots = slots.select("*", F.count("*").over(each).alias("n"), F.min("component").over(each).alias("low"), F.max("component").over(each).alias("high")).where("low <> high").drop("low", "high")
-    placed = materialise(slots.withColumn("blocks", F.ceil(F.col("n") / tile).cast("int")).withColumn("block", F.pmod(F.xxhash64("node", "value"), "blocks").cast("int")), "firsts", TEXTS)
-    paired = placed.withColumn("pair", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("a"), F.greatest(k, F.col("block")).alias("b")))))
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = [candidates(r.node, r.component, r.size.astype(np.int64), r.place.astype(np.int64), r.second.astype(bool) if r.a != r.b else None, similarity) for r in batch.itertuples(index=False, name="Tile")]
-            yield pd.DataFrame(np.concatenate(out or [np.empty((0, 3), np.int64)]), columns=["a", "b", "node"]).drop_duplicates()
-
-    grouped = paired.withColumn("second", F.col("block") > F.col("pair.a")).groupBy("value", F.col("pair.a").alias("a"), F.col("pair.b").alias("b")).agg(*[F.collect_list(c).alias(c) for c in ("node", "component", "size", "place", "second")])
-    asked = materialise(grouped.drop("value").mapInPandas(compare, "a long, b long, node long").distinct(), "asked", TEXTS)
-
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"node": batch["node"], "shingles": [shingle_hashes(x, words).tobytes() for x in batch["text"]]})
-
-    texts = own.join(stands.join(asked.select("node").distinct(), "node"), is_it).dropDuplicates(["node"])
-    sets = texts.select("node", "text").mapInPandas(whole, "node long, shingles binary")
-
-    def settle(key: tuple, batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values("node")
-        side = [batch[batch["component"] == k] for k in key]
-        found = first_link(*[[np.frombuffer(x, "<u8") for x in y["shingles"]] for y in side], similarity)
-        return pd.DataFrame([(side[0]["node"].iloc[found[0]], side[1]["node"].iloc[found[1]])] if found else [], columns=["u", "v"], dtype="int64")
-
-    return asked.join(sets, "node").join(named, "node").groupBy("a", "b").applyInPandas(settle, "u long, v long")
-
-
-def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 24, tile: int = 2048) -> DataFrame:
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 24) -> DataFrame:
     """doc_id, text_hash, keep: for each row of ``docs``, whether it stands for its group of near copies.
 
     Near copies have word shingles with a Jaccard similarity of ``similarity`` or more; groups are the components
     of such links, and the row with the smallest doc_id (null first, then text hash) stands for its group. Rows with one set
-    of shingles are one node before any comparison. Fingerprints of near copies differ by too many bits for the
-    population counts to tell them apart from others, so links are found in two passes. In the first, tiles hold
-    documents that share one of six least shingles, in blocks of ``tile`` at most, each compared with itself and with
-    the first block of its tile; pairs are thinned by exclusive-or and bit counts (``radius``) and sketches, and settled by exact
-    Jaccard similarity. That gathers most copies cheaply, and misses some. The second (``links_between``) looks
-    for pairs between the components of the first by prefix filtering, and loses none.
+    of shingles are one node before any comparison. The population counts of such copies' fingerprints tell nothing apart, as those differ in
+    some ten bits: so what is compared are the tiles of min-max bands (see ``minhash.linked_sets``), members of which are thinned by exclusive-or and
+    bit counts (``radius``, five deviations above what the similarity makes) and by their signatures, and then compared on whole sets.
 
     Null texts are empty; texts without words are copies of each other. Rows that repeat an id and text count
-    once: the caller drops them by (doc_id, text_hash). An empty table gives an empty table.
+    once: the caller drops them by (doc_id, text_hash). A text of any length is read whole. An empty table gives an empty table.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = []
-            for text in batch["text"]:
-                h = shingle_hashes(text, words)
-                least = [int((h * m).min()) for m in _MIX.tolist()] if len(h) else [0] * SKETCH
-                found.append((int(np.bitwise_xor.reduce(h * _MIX[0] ^ (h >> np.uint64(31)))) if len(h) else 0, _sign(h), len(h), np.array(least, np.uint64).view(np.int64).tolist()))
-            frame = pd.DataFrame(found, columns=["node", "fp", "size", "sketch"], index=batch.index)
-            for c in ("node", "fp"):
-                frame[c] = np.array(frame[c].tolist(), np.uint64).view(np.int64)
-            yield pd.concat([batch[["doc_id", "text_hash"]], frame], axis=1)
-
-    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    marked = materialise(own.mapInPandas(run, "doc_id long, text_hash long, node long, fp long, size int, sketch array<long>"), "sketches", TEXTS)
-    nodes = materialise(marked.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.min(F.struct("size", "fp", "sketch")).alias("of")), "nodes")
-    slots = nodes.where("of.size > 0").select("node", F.posexplode(F.slice("of.sketch", 1, TILES_OF)).alias("slot", "value"))
-    shared = slots.groupBy("slot", "value").agg(F.count("*").alias("n")).where("n > 1")
-    placed = materialise(slots.join(shared, ["slot", "value"]).withColumn("blocks", F.ceil(F.col("n") / tile).cast("int")).withColumn("block", F.pmod(F.xxhash64("node", "slot"), "blocks").cast("int")).select("node", "slot", "value", "blocks", "block"), "placed")
-
-    # the shingles of those documents that share a tile with another
-    wanted = placed.select("node").distinct()
-    texts = own.join(nodes.join(wanted, "node").select(F.col("least.doc_id").alias("of_doc"), F.col("least.text_hash").alias("of_hash"), "node", "of"), F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_hash") == F.col("of_hash"))).dropDuplicates(["node"])
-
-    def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"node": batch["node"], "fp": batch["fp"], "sketch": batch["sketch"], "shingles": [shingle_hashes(x, words).tobytes() for x in batch["text"]]})
-
-    full = texts.select("node", "of.fp", "of.sketch", "text").mapInPandas(hashes, "node long, fp long, sketch array<long>, shingles binary")
-    members = placed.join(full, "node")
-    # each block meets itself and the first one, which is copied to the others: no member moves more than twice on average
-    both = F.array(F.struct(F.col("block").alias("a"), F.col("block").alias("b")), F.struct(F.lit(0).alias("a"), F.col("block").alias("b")))
-    spread = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.lit(0).alias("a"), k.alias("b")))
-    paired = members.withColumn("pair", F.explode(F.when(F.col("block") == 0, spread).otherwise(both)))
-
-    def compare(key: tuple, batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values(["second", "node"], kind="stable")
-        cut = int((~batch["second"]).sum())
-        links = alike(batch["fp"].to_numpy(np.int64).view(np.uint64), np.array(batch["sketch"].tolist(), np.int64).reshape(len(batch), -1), np.array([len(x) // 8 for x in batch["shingles"]]), [np.frombuffer(x, "<u8") for x in batch["shingles"]], slice(cut if key[3] != key[4] else 0, len(batch)), similarity, radius)
-        node = batch["node"].to_numpy(np.int64)
-        return pd.DataFrame({"u": node[[a for a, _ in links]], "v": node[[b for _, b in links]]}, dtype="int64")
-
-    links = paired.select("slot", "value", "blocks", F.col("pair.a").alias("a"), F.col("pair.b").alias("b"), (F.col("block") > F.col("pair.a")).alias("second"), "node", "fp", "sketch", "shingles").groupBy("slot", "value", "blocks", "a", "b").applyInPandas(compare, "u long, v long")
-    links = materialise(links, "links", TEXTS)
-    freed(placed)
-    quick = components(links).withColumnRenamed("node", "of_node")
-    quick = materialise(nodes.select("node").join(quick, F.col("node") == F.col("of_node"), "left").select("node", F.coalesce("component", "node").alias("component")), "quick")
-    rest = materialise(links_between(own, nodes.select("node", "least", "of.size"), quick, words, similarity, tile), "links", TEXTS)
-    found = components(links.unionByName(rest)).withColumnRenamed("node", "of_node")
+    percent = round(100 * similarity)
+    marked = materialise(minhash.signed(docs, words, fingerprints=True), "signed", minhash.TEXTS)
+    nodes, links = minhash.linked_sets(docs, marked, words, percent, radius)
+    found = components(links).withColumnRenamed("node", "of_node")
     # the rows that stand for their components, by nodes; a row stands if it is one of them, so no row is joined by component
     named = nodes.select("node", "least").join(found, F.col("node") == F.col("of_node"), "left")
     stands = named.groupBy(F.coalesce("component", "node")).agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("of_doc"), F.col("least.text_hash").alias("of_hash"))
