@@ -119,6 +119,12 @@ def check(features_or_lines: DataFrame, box: Column | None = None, digits: int =
     return loose.unionByName(found.select("kind", "x", "y", "fid_a", "fid_b", text.alias("message")))
 
 
+def first_points(points: DataFrame, order: str, digits: int = 6) -> DataFrame:
+    """ix, iy, x, y: for each rounded point the raw one (x, y) that came first by ``order``; of equals the least."""
+    key = _key(F.struct("x", "y"), digits)
+    return points.groupBy(key.alias("k")).agg(F.min(F.struct(F.col(order).alias("at"), "x", "y")).alias("first")).select("k.ix", "k.iy", "first.x", "first.y")
+
+
 def check_crossings(features_or_lines: DataFrame, digits: int = 6) -> DataFrame:
     return check(features_or_lines, None, digits).where("kind = 'cross_without_node'")
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions import geometry as G
 from .functions import values as V
 from .operators import gridjoin, network, selection, topology, trajectory
-from .plans import dialect
+from .plans import dialect, tables
 from .plans.steps import shared_folder
 from .sources import features as S
 from .sources.versions import Versions
@@ -457,6 +457,12 @@ g AS (SELECT t.fid FROM t JOIN e2 ON e2.fid = t.fid AND e2.k = t.k JOIN d2 ON d2
 SELECT 'dangling' AS what, count(*) AS n FROM g HAVING count(*) > 0 UNION ALL SELECT 'replaced', count(DISTINCT fid) FROM q WHERE cut HAVING count(*) > 0 UNION ALL SELECT 'repaired_split', count(*) FROM t WHERE cut HAVING count(*) > 0"""
 
 
+@query("a9_first_points", f"WITH {L5} SELECT CAST(floor(lon * 1000 + 0.5) AS BIGINT) AS ix, CAST(floor(lat * 1000 + 0.5) AS BIGINT) AS iy, round(arg_min(lon, seq), 6) AS x, round(arg_min(lat, seq), 6) AS y FROM l5 GROUP BY 1, 2")
+def _(spark, d):
+    found = topology.first_points(tracks(spark, d).select(F.col("lon").alias("x"), F.col("lat").alias("y"), "seq"), "seq", 3)
+    return found.select("ix", "iy", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
 @query("t5_t5d_t5g_repair_without_links", _REPAIRED)
 def _(spark, d):
     """Noding, trimmed spurs and deleted loose lines; no connectors, whose places SQL can't tell to the last digit."""
@@ -552,6 +558,22 @@ def _(spark, d):
     return found.join(asked, (found["node"] == asked["goal"]) & (found["start"] == asked["start"])).select("goal", "distance")
 
 
+@query("n4_paths_in_sql", _N2)
+def _(spark, d):
+    """The distances by a table function, called from SQL."""
+    tables.register(spark)
+    lattice(spark, d)[0].createOrReplaceTempView("waymark_links")
+    _requests(spark, d, "supplier", "s_suppkey").createOrReplaceTempView("waymark_requests")
+    return spark.sql("SELECT goal, distance FROM k_paths(TABLE(SELECT 'lattice' AS graph, u, v, w FROM waymark_links UNION ALL SELECT 'lattice', start, goal, CAST(NULL AS DOUBLE) FROM waymark_requests) PARTITION BY (graph), 1)")
+
+
+@query("n1_edges_in_sql", f"WITH {L2} SELECT fid, CAST(x0 AS BIGINT) AS ax, CAST(y0 AS BIGINT) AS ay, CAST(x1 AS BIGINT) AS bx, CAST(y1 AS BIGINT) AS b_y, round({_haversine('x0 / 100000.0', 'y0 / 100000.0', 'x1 / 100000.0', 'y1 / 100000.0')}, 4) AS w FROM l2")
+def _(spark, d):
+    tables.register(spark)
+    lines(spark, d).createOrReplaceTempView("waymark_lines")
+    return spark.sql("SELECT fid, ax, ay, bx, by AS b_y, round(metres, 4) AS w FROM road_edges(TABLE(SELECT fid, part, pts FROM waymark_lines), 5)")
+
+
 @query("n4_second_path")
 def _(spark, d):
     return network.shortest_paths(lattice(spark, d)[0], _requests(spark, d, "nation", "n_nationkey"), 2).select("request_id", "rank", "distance", F.array_join("nodes", ",").alias("nodes"))
