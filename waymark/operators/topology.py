@@ -318,6 +318,11 @@ def applied(features: DataFrame, repaired: dict[str, DataFrame]) -> DataFrame:
     return keep.unionByName(shaped(new))
 
 
+def repaired(features: DataFrame, **options: float) -> DataFrame:
+    """The feature table after a repair of its whole line layer (``options`` of ``repair``), to be saved as a new table or version."""
+    return applied(features, repair(lines(features), **options))
+
+
 def lines_of(spark, rows: list[tuple[str, list[tuple[float, float]]]]) -> DataFrame:
     """A small layer from (fid, points), for tests and examples."""
     return spark.createDataFrame(pd.DataFrame({"fid": [r[0] for r in rows], "part": 0, "pts": [[{"x": float(x), "y": float(y)} for x, y in r[1]] for r in rows]}), LINE)

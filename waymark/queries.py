@@ -481,6 +481,14 @@ def line_table(spark: SparkSession, d: str) -> DataFrame:
     return S.shaped(own.select(F.lit(0).cast("long").alias("seq"), F.col("fid").alias("id"), text.alias("geometry_json"), F.to_json(F.create_map(F.lit("k"), F.col("fid"))).alias("properties_json")))
 
 
+@query("s20_x15_saved_repair", _REPAIRED[: _REPAIRED.rindex("SELECT 'dangling'")] + "SELECT cut AS is_piece, fid AS k, count(*) AS n FROM t WHERE fid NOT IN (SELECT fid FROM g) GROUP BY cut, fid")
+def _(spark, d):
+    """The whole layer repaired and saved as a new table; pieces have the properties of their line."""
+    table = Versions(spark, _folder(spark, "repaired"))
+    table.save(topology.repaired(line_table(spark, d), delete_m=150, trim_m=50, connect_m=0, digits=5))
+    return table.read().groupBy(F.col("properties")["note"].isNotNull().alias("is_piece"), F.col("properties")["k"].alias("k")).agg(F.count("*").alias("n"))
+
+
 @query("t1_lines", f"WITH {L2} SELECT fid, CAST(0 AS INTEGER) AS part, CAST(x0 AS BIGINT) AS x0, CAST(y1 AS BIGINT) AS y1 FROM l2 WHERE x0 <= 5000 AND x1 >= 1000 AND y0 <= 5000 AND y1 >= 1000")
 def _(spark, d):
     own = topology.lines(line_table(spark, d), G.box(0.01, 0.01, 0.05, 0.05))
