@@ -27,7 +27,7 @@ _FACTORS = np.random.default_rng(11).integers(1 << 62, size=PERMUTATIONS, dtype=
 #: Members of a bucket on the two sides of one comparison, and bytes of sets that a task takes with one first member.
 LEFT, RIGHT, BYTES = 256, 1024, 4 << 20
 #: Rows that Python gets at once where they hold whole texts or sets, and where they hold a tile's members.
-TEXTS, TILES = 1000, 200
+TEXTS, TILES = 1000, 64
 _STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
@@ -225,6 +225,7 @@ def between(placed: DataFrame, named: DataFrame, sets: DataFrame, percent: int,
                 for side, hit in zip((True, False), (i, j), strict=True):
                     out += [(tile.key, tile.band, tile.l, tile.r, n, side) for n in sides[1 - side]["node"][np.unique(hit)].tolist()]
             yield pd.DataFrame(out, columns=[*columns, "node", "on_left"])
+        give_back()
 
     schema = "key long, band int, l long, r long, node long, on_left boolean"
     tiles = _tiles(members, named).groupBy(*columns).agg(*[F.collect_list(f).alias(f) for f in (*fields, "on_left")])
