@@ -86,3 +86,14 @@ def test_statistics_of_the_check_itself(spark):
     row = T.statistics(layer).first()
     assert (row.lines, row.segments, row.pairs, row.issues) == (3, 4, 2, 7)
     assert T.statistics(layer.limit(0)).first().pairs == 0
+
+
+def test_points_at_one_place_are_searched_once(spark, monkeypatch):
+    seen, plain = [], G._descended
+    monkeypatch.setattr(G, "_descended", lambda points, *more: seen.append(points.count()) or plain(points, *more))
+    points = spark.createDataFrame([(i, 3.0 + i % 2, 4.0) for i in range(300)], "point_id long, x double, y double")
+    nodes = spark.createDataFrame([(i, i / 1000, 0.0) for i in range(200)], "node_id long, nx double, ny double")
+    d2 = (F.col("nx") - F.col("x")) * (F.col("nx") - F.col("x")) + (F.col("ny") - F.col("y")) * (F.col("ny") - F.col("y"))
+    found = G.k_nearest(points, nodes, "x", "y", 2, 0.01, d2, degrees=False, metric=F.sqrt(d2)).collect()
+    assert seen == [2]
+    assert sorted((r.point_id, r["rank"], r.node_id) for r in found) == [(i, k, 200 - k) for i in range(300) for k in (1, 2)]

@@ -110,14 +110,16 @@ LEAF, SMALL = 8, 100_000
 def k_nearest(points: DataFrame, nodes: DataFrame, x: str, y: str, k: int, size: float, rank: Column, degrees: bool = True, metric: Column | None = None, unit: float = 1.0) -> DataFrame:
     """For each of ``points`` (point_id, x, y) its ``k`` nearest ``nodes`` (node_id, nx, ny), by ``rank`` (a distance), exact.
 
-    First the cells around each point are searched; a point is done when its k-th distance, in units of ``x`` and
+    Points at one place are searched once. First the cells around each place are searched; a point is done when its k-th distance, in units of ``x`` and
     ``y`` (with ``degrees``, of those at the point's latitude), lies well within what was searched whole. Points that
     are left lie off the nodes, and descend a pyramid of cells (see ``_descended``). ``metric`` is a distance that rises with ``rank`` (default: itself) and is at most ``unit`` times that in ``x`` and
     ``y``. Ties go to the lower node_id.
     """
+    nodes = kept(nodes, "nodes")
     bounds = nodes.agg(F.min("nx"), F.max("nx"), F.min("ny"), F.max("ny"), F.count("*")).first()
     if bounds[0] is None:
         return points.crossJoin(nodes.limit(0)).withColumns({"distance": F.lit(0.0), "rank": F.lit(1)})
+    every, points = points, kept(points.select(x, y).distinct().select(F.struct(x, y).alias("point_id"), x, y), "places")
     width, height = max(bounds[1] - bounds[0], size), max(bounds[3] - bounds[2], size)
     # so wide that the cells around a point hold enough nodes where they lie evenly
     reach = max(size, 2.5 * math.sqrt(width * height * k / bounds[4]))
@@ -138,10 +140,19 @@ def k_nearest(points: DataFrame, nodes: DataFrame, x: str, y: str, k: int, size:
     done = kept(found.join(settled, "point_id", "left_semi"), "nearest")
     left = kept(points.join(done.select("point_id").distinct(), "point_id", "left_anti"), "left")
     if left.isEmpty():
-        return done
-    depth = max(1, math.ceil(math.log(max(4, bounds[4] / LEAF), 4)) + 1)
+        return _at_places(every, done, points.count(), x, y)
+    # cells of the lowest level hold some LEAF nodes, in long and narrow networks too
+    depth = max(1, math.ceil(math.log2(max(width, height) / math.sqrt(width * height * LEAF / max(LEAF, bounds[4])))))
     side = max(width, height) * (1 + 1e-9) / 2**depth
-    return done.unionByName(ranked(_descended(left, celled(side), depth, k, metric if metric is not None else rank, unit), side))
+    found = done.unionByName(kept(ranked(_descended(left, celled(side), depth, k, metric if metric is not None else rank, unit), side), "descended"))
+    return _at_places(every, found, points.count(), x, y)
+
+
+def _at_places(points: DataFrame, found: DataFrame, places: int, x: str, y: str) -> DataFrame:
+    """Each of ``points`` with what was found for its place."""
+    own = found.drop("point_id").withColumnsRenamed({x: "_x", y: "_y"})
+    own = F.broadcast(own) if places <= SMALL else own
+    return points.join(own, F.col(x).eqNullSafe(F.col("_x")) & F.col(y).eqNullSafe(F.col("_y"))).drop("_x", "_y")
 
 
 def _descended(points: DataFrame, celled: DataFrame, depth: int, k: int, far: Column, unit: float) -> DataFrame:
@@ -161,7 +172,8 @@ def _descended(points: DataFrame, celled: DataFrame, depth: int, k: int, far: Co
             levels[-1] = kept(levels[-1], "pyramid")
     half = lambda a, b: (F.col(b) - F.col(a)) / 2
     names = points.columns
-    held = points
+    # few bytes, but much work: not to be put together in one task
+    held = points.repartition(4 * points.sparkSession.sparkContext.defaultParallelism, "point_id")
     by = Window.partitionBy("point_id")
     for up, cells in enumerate(reversed(levels)):
         middle = cells.select("gx", "gy", "n", (F.col("x0") + half("x0", "x1")).alias("nx"), (F.col("y0") + half("y0", "y1")).alias("ny"), (F.sqrt(half("x0", "x1") * half("x0", "x1") + half("y0", "y1") * half("y0", "y1")) * unit).alias("radius"))
