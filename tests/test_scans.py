@@ -46,3 +46,18 @@ def test_one_long_trajectory_in_many_tasks(spark, partitions):
         own = sorted((t, s) for n, s, t in rows if n == name)
         want |= {(name, s): x for (_, s), x in zip(own, plain([t for t, _ in own]), strict=True)}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_matching_passes_times_on_and_reads_its_rows_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            calls.add(len(batch))
+            yield batch
+
+    rows = spark.createDataFrame([("a", i, float(i), i + 0.5, 0.001 * i, 0.0) for i in range(20)], "traj_id string, seq long, t double, t_adjusted double, lon double, lat double")
+    nodes = spark.createDataFrame([(i, 0.001 * i, 0.0) for i in range(20)], "node_id long, x double, y double")
+    got = J.matched(rows.mapInPandas(counted, rows.schema), nodes).orderBy("seq").collect()
+    assert [(r.t, r.node_id) for r in got] == [(float(i), i) for i in range(20)]
+    assert calls.value == 20

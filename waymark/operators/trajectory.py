@@ -178,19 +178,21 @@ def kalman(t: np.ndarray, x: np.ndarray, y: np.ndarray, sigma: float = 8.0, acce
 
 
 def matched(rows: DataFrame, numbered: DataFrame, candidates: int = 2, cell_m: float = 50.0, emission_m: float = 15.0, transition_m: float = 80.0) -> DataFrame:
-    """``rows`` (traj_id, seq, t_adjusted, lon, lat) with node_id, matched_lon, matched_lat, speed_mps, heading_deg and cost.
+    """``rows`` (traj_id, seq, t_adjusted, lon, lat, and t if there) with node_id, matched_lon, matched_lat, speed_mps, heading_deg and cost.
 
     Candidates are each observation's nearest nodes, exact, found by grid cells over all trajectories at once (by squared degrees,
     rounded to 14 places, equal ones by the lower node); then
     each trajectory is one group of a Viterbi search and a Kalman filter. The plane's latitude is that of the first
     observation of the trajectory.
     """
+    # written, as the points of the candidates and the trajectories are both taken from it
+    rows = kept(rows.select("traj_id", "seq", *[c for c in ("t",) if c in rows.columns], "t_adjusted", "lon", "lat"), "observations")
     points = rows.withColumn("point_id", F.struct("traj_id", "seq")).select("point_id", F.col("lon").alias("x"), F.col("lat").alias("y"))
     own = numbered.select("node_id", F.col("x").alias("nx"), F.col("y").alias("ny"))
     dx, dy = (F.col("nx") - F.col("x")) * F.cos(F.radians("y")), F.col("ny") - F.col("y")
     near = k_nearest(points, own, "x", "y", candidates, cell_m / 111_320.0, F.round(dx * dx + dy * dy, 14), metric=F.sqrt(dx * dx + dy * dy))
     listed = near.groupBy("point_id").agg(F.sort_array(F.collect_list(F.struct("rank", "node_id", "nx", "ny"))).alias("near")).select("point_id.traj_id", "point_id.seq", "near")
-    joined = rows.select("traj_id", "seq", "t_adjusted", "lon", "lat").join(listed, ["traj_id", "seq"])
+    joined = rows.join(listed, ["traj_id", "seq"])
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["t_adjusted", "seq"], kind="stable").reset_index(drop=True)
@@ -207,13 +209,14 @@ def matched(rows: DataFrame, numbered: DataFrame, candidates: int = 2, cell_m: f
         return group.drop(columns="near").assign(node_id=node[i, way], matched_lon=lon[i, way], matched_lat=lat[i, way], speed_mps=speed, heading_deg=heading, cost=cost)
 
     kind = dict(rows.dtypes)
-    schema = f"traj_id {kind['traj_id']}, seq {kind['seq']}, t_adjusted double, lon double, lat double, node_id long, matched_lon double, matched_lat double, speed_mps double, heading_deg double, cost double"
+    time = f"t {kind['t']}, " if "t" in kind else ""
+    schema = f"traj_id {kind['traj_id']}, seq {kind['seq']}, {time}t_adjusted double, lon double, lat double, node_id long, matched_lon double, matched_lat double, speed_mps double, heading_deg double, cost double"
     return joined.groupBy("traj_id").applyInPandas(one, schema)
 
 
 def corrected(features: DataFrame, numbered: DataFrame, time_field: str, traj: str | None = None, most: int = 5000, box: tuple[float, float, float, float] | None = None, **options: float) -> DataFrame:
     """The whole correction; times of the result are the original ones."""
     rows = increasing_times(observations(features, time_field, traj, most, box))
-    return matched(rows, numbered, **options).join(rows.select("traj_id", "seq", "t"), ["traj_id", "seq"]).drop("t_adjusted")
+    return matched(rows, numbered, **options).drop("t_adjusted")
 
 
