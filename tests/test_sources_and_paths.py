@@ -137,3 +137,21 @@ def test_distances_over_parts(spark, by_cells):
     graph = network.Graph(iter(links))
     want = {(s, n): graph.path(s, n)[0] for s in starts for n in graph.out if graph.path(s, n)}
     assert got == want
+
+
+def test_steps_over_parts_follow_the_logarithm_of_their_number(spark, monkeypatch):
+    """A long path of many parts: levels, not a round for each part."""
+    links = [(i, i + 1, 1.0) for i in range(1200)] + [(i, i + 2, 1.5) for i in range(0, 1198, 3)]
+    labels, plain = [], network.kept
+    monkeypatch.setattr(network, "kept", lambda df, label: labels.append(label) or plain(df, label))
+    found = network.shortest_distances(spark.createDataFrame(links, "u long, v long, w double"), spark.createDataFrame([(0,), (600,)], "start long"), 20)
+    got = {(r.start, r.node): r.distance for r in found.collect()}
+    assert len(labels) < 30
+    graph = network.Graph(iter(links))
+    assert len(got) == 2 * 1201
+    for s in (0, 600):
+        for n in range(0, 1201, 40):
+            assert got[s, n] == graph.path(s, n)[0]
+    asked = spark.createDataFrame([(7, 0, 5), (8, 600, 1200), (9, 0, 5000)], "request_id long, start long, goal long")
+    lengths = {r.request_id: r.distance for r in network.path_lengths(spark.createDataFrame(links, "u long, v long, w double"), asked).collect()}
+    assert lengths == {7: got[0, 5], 8: got[600, 1200]}
