@@ -155,3 +155,33 @@ def test_steps_over_parts_follow_the_logarithm_of_their_number(spark, monkeypatc
     asked = spark.createDataFrame([(7, 0, 5), (8, 600, 1200), (9, 0, 5000)], "request_id long, start long, goal long")
     lengths = {r.request_id: r.distance for r in network.path_lengths(spark.createDataFrame(links, "u long, v long, w double"), asked).collect()}
     assert lengths == {7: got[0, 5], 8: got[600, 1200]}
+
+
+@pytest.mark.parametrize("star", [False, True])
+def test_paths_hold_what_is_near_alone(spark, monkeypatch, star):
+    """Requests on a long strip against the whole graph; a dead end, whose second path is a long way round; no way at all."""
+    rng = random.Random(4)
+    spots = {i: (0.001 * (i % 4), 0.001 * (i // 4)) for i in range(160)}
+    plain = network.Graph(iter([]), spots)
+    links = [(a, b, plain._left(a, b) * rng.choice([1.0, 1.0, 1.5])) for a in range(160) for b in (a + 1, a + 4) if b < 160 and (b != a + 1 or b % 4)]
+    links += [(200, 201, 1.0), (201, 202, 1.0), (200, 203, 50.0), (203, 202, 50.0), (300, 301, 1.0)]
+    spots |= {n: (1.0, 1.0) for n in (200, 201, 202, 203, 300, 301)}
+    asked = [(1, 0, 6), (2, 0, 9), (3, 5, 5), (4, 200, 202), (5, 300, 301), (6, 300, 0), (7, 0, 159)]
+    held, plain_kept = [], network.kept
+
+    def counted(df, label):
+        out = plain_kept(df, label)
+        if label == "near":
+            held.append({r.request_id: r["count"] for r in out.groupBy("request_id").count().collect()})
+        return out
+
+    monkeypatch.setattr(network, "kept", counted)
+    places = spark.createDataFrame([(n, *p) for n, p in spots.items()], "node_id long, x double, y double")
+    frame, ask = spark.createDataFrame(links, "u long, v long, w double"), spark.createDataFrame(asked, "request_id long, start long, goal long")
+    found = network.shortest_paths(frame, ask, 2, "astar" if star else "dijkstra", places).collect()
+    got = sorted((r.request_id, r["rank"], round(r.distance, 9), tuple(r.nodes)) for r in found)
+    whole = network.Graph(iter(links), spots)
+    assert held[0][1] < 20 and held[0][4] < 5
+    assert got == sorted((r, i + 1, round(d, 9), tuple(way)) for r, s, g in asked for i, (d, way) in enumerate(whole.paths(s, g, 2, star)))
+    once = sorted((r.request_id, r["rank"], tuple(r.nodes)) for r in network.shortest_paths(frame, ask, 1).collect())
+    assert once == sorted((r, 1, tuple(whole.path(s, g)[1])) for r, s, g in asked if r != 6)
