@@ -17,6 +17,8 @@ from ..plans.steps import kept
 
 #: Rows of either side in one cell before it is split, and how often a cell is split at most.
 CROWD, DEEPEST = 4096, 16
+#: Rows of both sides that a task compares, where there are more than the cores' tasks would have.
+TASK = 100_000
 
 
 def with_cells(df: DataFrame, box: str, size: float, reach: float = 0.0) -> DataFrame:
@@ -40,11 +42,12 @@ def dealt(left: DataFrame, right: DataFrame, left_box: str, right_box: str, size
 
     Level 0 has cells of ``size``, each next level cells of half that. The cells of a level that hold over ``crowd`` rows of
     a side are split if that gives no more than twice the rows; those that are not are dealt out in tiles of ``crowd`` rows of each side. ``reach`` widens
-    the left boxes. What is known of cells are the crowded ones alone: one for ``crowd`` rows at most.
+    the left boxes. Both sides are dealt to tasks by cell. What is known of cells are the crowded ones alone: one for ``crowd`` rows at most.
     """
     crowd = crowd or CROWD
     sides = [(with_cells(left, left_box, size, reach), left_box, reach), (with_cells(right, right_box, size), right_box, 0.0)]
     found: list[list[DataFrame]] = [[], []]
+    tasks = 0
     plain = lambda rows, level: rows.withColumn("cell", F.struct(F.lit(level).alias("level"), "gx", "gy", F.lit(0).cast("long").alias("l"), F.lit(0).cast("long").alias("r"))).drop("gx", "gy")
 
     def counted(rows: list[DataFrame], up: int = 0) -> DataFrame:
@@ -53,7 +56,9 @@ def dealt(left: DataFrame, right: DataFrame, left_box: str, right_box: str, size
 
     for level in range(DEEPEST + 1):
         rows = [r for r, _, _ in sides]
-        if (counted(rows).agg(F.max(F.greatest("a", "b"))).first()[0] or 0) <= crowd:
+        most, total = counted(rows).agg(F.max(F.greatest("a", "b")), F.sum(F.col("a") + F.col("b"))).first()
+        tasks = tasks or max(4 * left.sparkSession.sparkContext.defaultParallelism, (total or 0) // TASK)
+        if (most or 0) <= crowd:
             for k in (0, 1):
                 found[k].append(plain(rows[k], level))
             break
@@ -81,7 +86,8 @@ def dealt(left: DataFrame, right: DataFrame, left_box: str, right_box: str, size
         whole = parts[0]
         for p in parts[1:]:
             whole = whole.unionByName(p)
-        out.append(whole)
+        # few bytes, but much work to compare: not to be put together in one task
+        out.append(whole.repartition(tasks, "cell"))
     return out[0], out[1]
 
 
