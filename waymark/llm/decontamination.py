@@ -23,7 +23,7 @@ from ._shared import give_back, materialise
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = str.maketrans({c: chr(c + 32) for c in range(ord("A"), ord("Z") + 1)})
 #: Words between documents of a block, so that no phrase or nearness reaches across; documents and words in a block.
-GAP, BLOCK_DOCS, BLOCK_WORDS = 1024, 4096, 1_500_000
+GAP, BLOCK_DOCS, BLOCK_WORDS = 1024, 4096, 500_000
 #: Test words that are sent to every executor at once; a larger test set is sent in parts.
 TEST_WINDOWS = 500_000
 
@@ -52,6 +52,39 @@ class Phrases:
         return Phrases(terms, list(found), [sorted(x) for x in found.values()])
 
 
+def _block(ids: list, hashes: list[int], lists: list, terms: dict[str, int] | None) -> dict:
+    """The postings of a block of documents, given as term numbers, or as words where there are no ``terms``."""
+    own = {} if terms is not None else {w: k for k, w in enumerate(dict.fromkeys(w for x in lists for w in x))}
+    sizes = np.array([len(x) for x in lists], np.int64)
+    at = np.concatenate([[0], np.cumsum(sizes + GAP)[:-1]]).astype(np.int64)
+    number = np.concatenate(lists) if terms is not None else np.array([own[w] for x in lists for w in x], np.int32)
+    shift = np.repeat(at - np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64), sizes)
+    held = np.flatnonzero(number >= 0)
+    number, place = number[held], held + shift[held]
+    order = np.argsort(number, kind="stable")
+    number, place = number[order], place[order].astype("<i4")
+    term, starts = np.unique(number, return_index=True)
+    return {"vocabulary": list(own), "doc_ids": ids, "hashes": np.array(hashes, "<i8").tobytes(), "sizes": sizes.astype("<i4").tobytes(), "term": term.astype("<i4").tobytes(), "starts": np.append(starts, len(number)).astype("<i4").tobytes(), "places": place.tobytes()}
+
+
+def _blocks(rows: Iterator[tuple], terms: dict[str, int] | None) -> Iterator[dict]:
+    """Blocks of (doc_id, text, text_hash). With ``terms`` a text is held as its term numbers, four bytes a word, not as words."""
+    ids, hashes, lists, held = [], [], [], 0
+    for i, text, text_hash in rows:
+        own = words(text)
+        if terms is not None:
+            own = np.fromiter((terms.get(w, -1) for w in own), np.int32, len(own))
+        if lists and (held + len(own) > BLOCK_WORDS or len(lists) >= BLOCK_DOCS):
+            yield _block(ids, hashes, lists, terms)
+            ids, hashes, lists, held = [], [], [], 0
+        ids.append(i if isinstance(i, str) else None)
+        hashes.append(text_hash)
+        lists.append(own)
+        held += len(own)
+    if lists:
+        yield _block(ids, hashes, lists, terms)
+
+
 def build_index(docs: DataFrame, terms: dict[str, int] | None) -> DataFrame:
     """The postings of ``terms`` in ``docs`` (None: of every word): a row for each block of documents.
 
@@ -60,36 +93,12 @@ def build_index(docs: DataFrame, terms: dict[str, int] | None) -> DataFrame:
     start) and places (word positions in the block, ascending by term). Documents lie one after another with a
     gap between. Words that no test phrase has are counted but not stored.
     """
-    terms_given = terms is not None
     sent = docs.sparkSession.sparkContext.broadcast(terms)
 
-    def block(ids: list, hashes: list[int], lists: list[list[str]]) -> dict:
-        own = {} if terms_given else {w: k for k, w in enumerate(dict.fromkeys(w for x in lists for w in x))}
-        get, sizes = sent.value.get if terms_given else own.get, np.array([len(x) for x in lists], np.int64)
-        at = np.concatenate([[0], np.cumsum(sizes + GAP)[:-1]]).astype(np.int64)
-        number = np.array([get(w, -1) for x in lists for w in x], np.int32)
-        place = np.arange(len(number)) + np.repeat(at - np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64), sizes)
-        number, place = number[number >= 0], place[number >= 0]
-        order = np.argsort(number, kind="stable")
-        number, place = number[order], place[order].astype("<i4")
-        term, starts = np.unique(number, return_index=True)
-        return {"vocabulary": list(own), "doc_ids": ids, "hashes": np.array(hashes, "<i8").tobytes(), "sizes": sizes.astype("<i4").tobytes(), "term": term.astype("<i4").tobytes(), "starts": np.append(starts, len(number)).astype("<i4").tobytes(), "places": place.tobytes()}
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, hashes, lists, held = [], [], [], 0
-        for batch in batches:
-            for i, text, text_hash in zip(batch["doc_id"], batch["text"], batch["text_hash"]):
-                own = words(text)
-                if lists and (held + len(own) > BLOCK_WORDS or len(lists) >= BLOCK_DOCS):
-                    yield pd.DataFrame([block(ids, hashes, lists)])
-                    ids, hashes, lists, held = [], [], [], 0
-                ids.append(i if isinstance(i, str) else None)
-                hashes.append(text_hash)
-                lists.append(own)
-                held += len(own)
-        if lists:
-            yield pd.DataFrame([block(ids, hashes, lists)])
-        del ids, hashes, lists
+        rows = (r for batch in batches for r in zip(batch["doc_id"], batch["text"], batch["text_hash"]))
+        for block in _blocks(rows, sent.value):
+            yield pd.DataFrame([block])
         give_back()
 
     # ids travel as text: a column of numbers and nulls would become one of floats in Python
