@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import groups_of, materialise
-from .tokens import codec, encoded
+from .tokens import REMEMBERED, codec, encoded
 
 
 @dataclass
@@ -225,11 +225,11 @@ def plan(lengths: np.ndarray, counts: np.ndarray, capacity: int, groups: int = 4
     return out
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and the ids themselves) of every row's tokens, cut at ``capacity``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        library = codec(tokenizer)
+        library = codec(tokenizer, remembered)
         for batch in batches:
             texts, names = batch["text"].tolist(), batch["doc_id"]
             for a, b in groups_of(texts, 1 << 20):
@@ -246,17 +246,17 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int =
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, schema)
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, tried: tuple[tuple[int, int], ...] = TRIED, ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, tried: tuple[tuple[int, int], ...] = TRIED, ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """Per piece of every row of ``docs``: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids).
 
     A row's tokens are its text's ids and then ``end_id``; only what is longer than ``capacity`` is cut. A null
     text counts as empty (the end id alone). Repeated rows are packed each; a null doc_id is kept. Other columns
     are left aside; an empty table gives an empty table. Pieces of one length are numbered in parts of bounded
     size (the histogram says how many parts a length needs), so that a length that very many documents share is
-    no single task.
+    no single task. A worker remembers the ids of some ``remembered`` words: more take more memory and less time.
     """
     spark = docs.sparkSession
-    cut = materialise(pieces(docs, tokenizer, capacity, end_id, ids), "pieces")
+    cut = materialise(pieces(docs, tokenizer, capacity, end_id, ids, remembered), "pieces")
     histogram = cut.groupBy("length").agg(F.count("*").alias("n")).orderBy("length").collect()  # capacity rows at most
     if not histogram:
         return cut.withColumns({"sequence_id": F.lit(None).cast("long"), "offset": F.lit(None).cast("long")})

@@ -28,7 +28,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Fixed value: splits text before the merges of the rank files.
 RANK_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 HUGE, CHUNK, OVERLAP = 65_536, 32_768, 256
-#: Words whose ids a worker remembers, in two generations.
+#: Words whose ids a worker remembers, in two generations: some 160 bytes each.
 REMEMBERED = 60_000
 
 
@@ -70,6 +70,7 @@ class JsonCodec:
             self.plain = Tokenizer.from_file(path)
             self.plain.normalizer = normalizers.Sequence([])
             self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.remembered = REMEMBERED
         self.signs = {"": b""}
         self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
@@ -86,7 +87,7 @@ class JsonCodec:
         out = []
         for a, b in groups_of(texts, 1 << 20):
             split = [x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for x in texts[a:b]]
-            if len(self.young) > REMEMBERED:
+            if len(self.young) > self.remembered:
                 self.old, self.young = self.young, {"": b""}
             new = set().union(*split).difference(self.young)
             again = new & self.old.keys()
@@ -105,7 +106,7 @@ class JsonCodec:
         A word of Latin letters, and a run of ASCII signs or nothing, has the ids of its lowered letters and those of
         the run: the splitting keeps them apart (a contraction has letters after its apostrophe) and the
         normalisation lowers each letter by itself. Many such stems are encoded together, split at spaces alone; each
-        ends with the one token that ends a word.
+        ends with the one token that ends a word. A stem that is remembered as a word is not encoded again.
         """
         whole_words, stems, signs, rest = [], [], [], []  # of a word with a stem, each
         for w in words:
@@ -120,7 +121,9 @@ class JsonCodec:
                 rest.append(w)
         for sign in set(signs) - self.signs.keys():
             self.signs[sign] = np.array(self.library.encode(sign, add_special_tokens=False).ids, "<u4").tobytes()
-        ids, new = {}, list(set(stems))
+        unique = set(stems)
+        ids = {stem: known[stem] for known in (self.old, self.young) for stem in unique & known.keys()}
+        new = list(unique - ids.keys())
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
             found = np.concatenate([np.array(e.ids, "<u4") for e in self.plain.encode_batch_fast([" ".join(part[j : j + 128]) for j in range(0, len(part), 128)], add_special_tokens=False)])
@@ -193,10 +196,11 @@ class RankCodec:
 _CODECS: dict[str, JsonCodec | PieceCodec | RankCodec] = {}
 
 
-def codec(path: str) -> JsonCodec | PieceCodec | RankCodec:
-    """The worker's own codec of a vocabulary file, read once."""
+def codec(path: str, remembered: int = REMEMBERED) -> JsonCodec | PieceCodec | RankCodec:
+    """The worker's own codec of a vocabulary file, read once; ``remembered`` words are kept from task to task."""
     if path not in _CODECS:
         _CODECS[path] = {".json": JsonCodec, ".model": PieceCodec, ".tiktoken": RankCodec}[os.path.splitext(path)[1]](path)
+    _CODECS[path].remembered = remembered
     return _CODECS[path]
 
 
