@@ -36,3 +36,13 @@ def test_more_words_are_remembered_on_demand():
         learned.append(n[0])
         assert all(np.array_equal(a, library.library.encode(x, add_special_tokens=False).ids) for a, x in zip(found, texts, strict=True))
     assert learned[1] == 100 < learned[0]
+
+
+def test_packing_gets_few_whole_texts_at_once(spark, monkeypatch):
+    from waymark.llm import packing
+
+    kept, batches = packing.materialise, []
+    monkeypatch.setattr(packing, "materialise", lambda df, label, batch=None: (batches.append(batch), kept(df, label, batch))[1])
+    docs = spark.createDataFrame([(i, "a b c") for i in range(5)], "doc_id long, text string")
+    assert packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")).count() == 5
+    assert batches[0] is not None and batches[0] <= 1000

@@ -17,10 +17,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import groups_of, materialise
+from ._shared import give_back, groups_of, materialise
 from .tokens import REMEMBERED, codec, encoded
 
 
+#: Whole texts that Python gets at once.
+TEXTS = 1000
+
+
 @dataclass
 class Plan:
     """Where the pieces of each length go: a piece of ``length`` with rank in [lo, hi) goes to sequence
@@ -241,6 +245,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int =
                         rows.append((names.iloc[i], piece, start, len(part), zlib.crc32(part.tobytes()), *([part.astype(np.int64)] if ids else [])))
                 frame = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if ids else [])])
                 yield frame.astype({"doc_id": names.dtype})
+        give_back()
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * ids
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, schema)
@@ -256,7 +261,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1,
     no single task. A worker remembers the ids of some ``remembered`` words: more take more memory and less time.
     """
     spark = docs.sparkSession
-    cut = materialise(pieces(docs, tokenizer, capacity, end_id, ids, remembered), "pieces")
+    cut = materialise(pieces(docs, tokenizer, capacity, end_id, ids, remembered), "pieces", TEXTS)
     histogram = cut.groupBy("length").agg(F.count("*").alias("n")).orderBy("length").collect()  # capacity rows at most
     if not histogram:
         return cut.withColumns({"sequence_id": F.lit(None).cast("long"), "offset": F.lit(None).cast("long")})
