@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from waymark.operators import trajectory as J
 
@@ -61,3 +62,9 @@ def test_matching_passes_times_on_and_reads_its_rows_once(spark):
     got = J.matched(rows.mapInPandas(counted, rows.schema), nodes).orderBy("seq").collect()
     assert [(r.t, r.node_id) for r in got] == [(float(i), i) for i in range(20)]
     assert calls.value == 20
+
+
+def test_all_observations_of_a_trajectory_are_read(spark):
+    rows = spark.range(16_000).select(F.lit("Point").alias("geom_type"), F.lit("a").alias("traj"), F.col("id").alias("seq"), F.create_map(F.lit("when"), (20_000 - F.col("id")).cast("string")).alias("properties"), F.lit(1.0).alias("lon"), F.lit(2.0).alias("lat"))
+    found = J.observations(rows, "when", "traj")
+    assert found.count() == 16_000 and found.select("seq").distinct().count() == 16_000

@@ -17,24 +17,17 @@ from ..plans.steps import kept
 from .gridjoin import k_nearest
 
 
-def observations(features: DataFrame, time_field: str, traj: str | None = None, most: int = 5000, box: tuple[float, float, float, float] | None = None) -> DataFrame:
-    """traj_id, seq, t, lon, lat of point features whose time can be read: the first of each trajectory by time, ``most`` at most.
-
-    ``most`` is held within 200 and 100,000; three times as many are looked at, in order of arrival, before the sort.
-    """
-    from pyspark.sql import Window
-
+def observations(features: DataFrame, time_field: str, traj: str | None = None, box: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """traj_id, seq, t, lon, lat of all point features whose time can be read; one trajectory, where ``traj`` names none."""
     from .selection import field
 
-    most = min(100_000, max(200, most))
     key = F.col(traj) if traj else F.lit("all")
     raw = F.try_element_at("properties", F.lit(time_field)) if "properties" in features.columns else None
     time = F.coalesce(*[c for c in (raw, field(features, time_field)) if c is not None])
     rows = features.where("geom_type = 'Point'").select(key.cast("string").alias("traj_id"), "seq", epoch_seconds(time).alias("t"), "lon", "lat").where("t is not null and lon is not null and lat is not null")
     if box:
         rows = rows.where(F.col("lon").between(box[0], box[2]) & F.col("lat").between(box[1], box[3]))
-    early = rows.withColumn("n", F.row_number().over(Window.partitionBy("traj_id").orderBy("seq"))).where(F.col("n") <= 3 * most)
-    return early.withColumn("n", F.row_number().over(Window.partitionBy("traj_id").orderBy("t", "seq"))).where(F.col("n") <= most).drop("n")
+    return rows
 
 
 class Fold:
@@ -214,9 +207,9 @@ def matched(rows: DataFrame, numbered: DataFrame, candidates: int = 2, cell_m: f
     return joined.groupBy("traj_id").applyInPandas(one, schema)
 
 
-def corrected(features: DataFrame, numbered: DataFrame, time_field: str, traj: str | None = None, most: int = 5000, box: tuple[float, float, float, float] | None = None, **options: float) -> DataFrame:
+def corrected(features: DataFrame, numbered: DataFrame, time_field: str, traj: str | None = None, box: tuple[float, float, float, float] | None = None, **options: float) -> DataFrame:
     """The whole correction; times of the result are the original ones."""
-    rows = increasing_times(observations(features, time_field, traj, most, box))
+    rows = increasing_times(observations(features, time_field, traj, box))
     return matched(rows, numbered, **options).drop("t_adjusted")
 
 
