@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import SMALL, give_back, materialise, salted_join, text_hash
+from ._shared import SMALL, freed, give_back, materialise, salted_join, text_hash
 from .graph import Forest, components
 
 #: Permutations (two bytes each) and bytes in a band. Sets at a similarity of 0.85 miss all of the 42 bands with a
@@ -26,6 +26,9 @@ FIRST = 8
 _FACTORS = np.random.default_rng(11).integers(1 << 62, size=PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Members of a bucket on the two sides of one comparison, and bytes of sets that a task takes with one first member.
 LEFT, RIGHT, BYTES = 256, 1024, 4 << 20
+#: Bits of a set's parities, and documents and shingles by which ``common`` tells what many texts have.
+PARITY, LOOKED, COMMON = 512, 4000, 50_000
+FIELDS = ("node", "component", "size", "sig", "fp")
 #: Rows that Python gets at once where they hold whole texts or sets, and where they hold a tile's members.
 TEXTS, TILES = 1000, 64
 _STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
@@ -195,12 +198,10 @@ def _tiles(members: DataFrame, rows: DataFrame) -> DataFrame:
     return left.unionByName(right).join(rows, "node")
 
 
-def between(placed: DataFrame, named: DataFrame, sets: DataFrame, percent: int, radius: int | None = None) -> DataFrame:
-    """(u, v): links between components, from every bucket that holds more than one.
+def _dealt_tiles(placed: DataFrame, named: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """A row for each comparison (key, band, l, r), with ``fields`` of its members and the side they are on, in lists.
 
-    ``placed`` (key, band, node), ``named`` (node, component, size, sig, fp), ``sets`` (node, shingles).
-    Only members outside a bucket's largest component are held against all others, in blocks. A first pass over the signatures
-    tells who is in question; then their whole sets are compared.
+    Of a bucket only members outside its largest component are held against all others, in blocks.
     """
     at = placed.join(named.select("node", "component"), "node")
     each = at.groupBy("key", "component").agg(F.count("*").alias("n"))
@@ -210,17 +211,29 @@ def between(placed: DataFrame, named: DataFrame, sets: DataFrame, percent: int,
     members = salted_join(at, buckets, "key", total)
     members = members.select("key", "band", "node", (F.col("component") == F.col("main_component")).alias("main"), "lefts", "rights", F.pmod(F.xxhash64("node"), "lefts").alias("lb"), F.pmod(F.xxhash64("node", F.lit(1)), "rights").alias("rb"))
     members = materialise(members, "members")
-    columns = ["key", "band", "l", "r"]
+    return _tiles(members, named).groupBy("key", "band", "l", "r").agg(*[F.collect_list(f).alias(f) for f in (*fields, "on_left")])
+
 
-    fields = ("node", "component", "size", "sig", "fp")
+def _sides(tile: tuple, fields: tuple[str, ...]) -> list[dict]:
+    on_left = np.asarray(tile.on_left, bool)
+    order = np.argsort(np.asarray(tile.node, np.int64), kind="stable")
+    return [{f: np.asarray(getattr(tile, f), object if f in ("sig", "bits") else np.int64)[order[on_left[order] == side]] for f in fields} for side in (True, False)]
+
+
+def between(placed: DataFrame, named: DataFrame, sets: DataFrame, percent: int, radius: int | None = None) -> DataFrame:
+    """(u, v): links between components, from every bucket that holds more than one.
+
+    ``placed`` (key, band, node), ``named`` (node, component, size, sig, fp), ``sets`` (node, shingles).
+    Only members outside a bucket's largest component are held against all others, in blocks. A first pass over the signatures
+    tells who is in question; then their whole sets are compared.
+    """
+    columns = ["key", "band", "l", "r"]
 
     def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:  # a row a tile: most are of a few members, and cost no more than their bytes
             out = []
             for tile in batch.itertuples(index=False):
-                on_left = np.asarray(tile.on_left, bool)
-                order = np.argsort(np.asarray(tile.node, np.int64), kind="stable")
-                sides = [{f: np.asarray(getattr(tile, f), object if f == "sig" else np.int64)[order[on_left[order] == side]] for f in fields} for side in (True, False)]
+                sides = _sides(tile, FIELDS)
                 i, j = candidates(tile.band, *sides, percent, radius)
                 for side, hit in zip((True, False), (i, j), strict=True):
                     out += [(tile.key, tile.band, tile.l, tile.r, n, side) for n in sides[1 - side]["node"][np.unique(hit)].tolist()]
@@ -228,8 +241,7 @@ def between(placed: DataFrame, named: DataFrame, sets: DataFrame, percent: int,
         give_back()
 
     schema = "key long, band int, l long, r long, node long, on_left boolean"
-    tiles = _tiles(members, named).groupBy(*columns).agg(*[F.collect_list(f).alias(f) for f in (*fields, "on_left")])
-    question = materialise(tiles.mapInPandas(asked, schema), "question", TILES)
+    question = materialise(_dealt_tiles(placed, named, FIELDS).mapInPandas(asked, schema), "question", TILES)
 
     def settled(key: tuple, batch: pd.DataFrame) -> pd.DataFrame:
         batch = batch.sort_values("node")
@@ -283,6 +295,106 @@ def linked_sets(docs: DataFrame, marked: DataFrame, words: int, percent: int, ra
     return nodes.select("node", "least", "size", "n"), links.unionByName(rest)
 
 
+def common(docs: DataFrame, words: int) -> np.ndarray:
+    """Shingles that several of some ``LOOKED`` texts have, ascending; ``COMMON`` at most. They only order shingles, and leave none out."""
+    share = max(1, docs.count() // LOOKED)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingles = Shingles(words)
+        for batch in batches:
+            yield pd.DataFrame({"h": np.concatenate([shingles(x) for x in batch["text"]] or [np.empty(0, np.uint64)]).view(np.int64)})
+
+    looked = docs.select("text").where("text is not null").where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0)
+    often = looked.mapInPandas(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(COMMON)
+    return np.sort(np.array([r.h for r in often.collect()], np.int64).view(np.uint64))
+
+
+def prefix(hashes: np.ndarray, often: np.ndarray, percent: int) -> np.ndarray:
+    """The first shingles of a set by one order for all (those of ``often`` last): two sets that are near have one of them in common.
+
+    Of near sets, each lacks less of the other than its prefix holds, so that the first shingle that both have is in both prefixes.
+    """
+    most = len(hashes) + percent * len(hashes) // -100 + 1
+    at = np.minimum(np.searchsorted(often, hashes), max(0, len(often) - 1))
+    late = often[at] == hashes if len(often) else np.zeros(len(hashes), bool)
+    return np.concatenate([hashes[~late], hashes[late]])[:most]
+
+
+def parities(hashes: np.ndarray) -> bytes:
+    """Whether each place holds an odd number of a set's shingles: two sets differ in at least as many shingles as in places."""
+    places = (_mixed(hashes) % np.uint64(PARITY)).astype(np.int64)
+    return np.packbits((np.bincount(places, minlength=PARITY) & 1).astype(np.uint8)).tobytes()
+
+
+def differing(left: Mapping, right: Mapping, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Like ``candidates``, but by sizes and ``parities`` alone: no two that are near are passed over."""
+    a, b = (np.frombuffer(b"".join(x["bits"]), np.uint64).reshape(len(x["bits"]), PARITY // 64) for x in (left, right))
+    (ca, cb), (sa, sb) = ([np.asarray(x[c], np.int64) for x in (left, right)] for c in ("component", "size"))
+    out = []
+    for i in range(len(a)):
+        x = np.nonzero((ca[i] != cb) & (100 * np.minimum(sa[i], sb) >= percent * np.maximum(sa[i], sb)))[0]
+        apart = np.bitwise_count(a[i] ^ b[x]).sum(1, dtype=np.int64)
+        # of sets at that similarity, what only one has is so much of the sum of both at most
+        x = x[(100 + percent) * apart <= (100 - percent) * (sa[i] + sb[x])]
+        out.append(np.stack([np.full(len(x), i, np.int64), x]))
+    both = np.concatenate(out, 1) if out else np.empty((2, 0), np.int64)
+    return both[0], both[1]
+
+
+def remaining_links(docs: DataFrame, nodes: DataFrame, links: DataFrame, words: int, percent: int) -> DataFrame:
+    """(u, v): links between the components of ``links``, whatever bands they share: with those, all that is near is connected.
+
+    Sets that are near share a shingle of their prefixes (see ``prefix``). What shares one, but no component, and is not told apart by sizes
+    and parities, is compared on whole sets. No step passes over a link by chance.
+    """
+    often = common(docs, words)
+    found = components(links).withColumnRenamed("node", "of_node")
+    named = nodes.where("size > 0").join(found, F.col("node") == F.col("of_node"), "left").select("node", "least", "size", F.coalesce("component", "node").alias("component"))
+    wanted = named.select("node", "size", "component", F.col("least.doc_id").alias("of_doc"), F.col("least.text_hash").alias("of_hash"))
+    wanted = F.broadcast(wanted) if nodes.count() <= SMALL else wanted
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingles = Shingles(words)
+        for batch in batches:
+            sets = [shingles(x) for x in batch["text"]]
+            yield batch.drop(columns="text").assign(bits=[parities(h) for h in sets], keys=[prefix(h, often, percent).view(np.int64) for h in sets])
+        shingles.known.clear()
+        give_back()
+
+    is_it = F.col("doc_id").eqNullSafe(F.col("of_doc")) & (text_hash(F.col("text")) == F.col("of_hash"))
+    texts = docs.select("doc_id", "text").where("text is not null").join(wanted, is_it).select("node", "size", "component", "text")
+    once = texts.mapInPandas(run, "node long, size long, component long, bits binary, keys array<long>")
+    held = materialise(once, "prefixes", TEXTS)
+    rows = held.select("node", "component", F.explode("keys").alias("key"))
+    shared = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "n")
+    shared = materialise(shared, "shared")
+    placed = rows.join(F.broadcast(shared.select("key")) if shared.count() <= SMALL else shared.select("key"), "key")
+    placed = materialise(placed.select("key", F.lit(0).alias("band"), "node"), "placed")
+    # repeated rows of a document are one node
+    open_ = held.join(placed.select("node").distinct(), "node", "left_semi").select("node", "component", "size", "bits").dropDuplicates(["node"])
+    open_ = materialise(open_, "open")
+    freed(held, shared)
+    fields = ("node", "component", "size", "bits")
+
+    def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for tile in batch.itertuples(index=False):
+                left, right = _sides(tile, fields)
+                i, j = differing(left, right, percent)
+                us.append(np.minimum(left["node"][i], right["node"][j]))
+                vs.append(np.maximum(left["node"][i], right["node"][j]))
+            yield pd.DataFrame({"first": np.concatenate(us), "node": np.concatenate(vs)}).drop_duplicates()
+        give_back()
+
+    # two sets share many shingles, and are compared once
+    pairs = materialise(_dealt_tiles(placed, open_, fields).mapInPandas(asked, "first long, node long"), "asked", TILES)
+    freed(placed, open_)
+    pairs = materialise(pairs.distinct(), "pairs")
+    wanted = materialise(nodes.join(pairs.select("node").union(pairs.select("first")).distinct(), "node", "left_semi"), "wanted")
+    return materialise(confirmed(pairs, materialise(sets_of(docs, wanted, words), "sets", TEXTS), percent), "links")
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id, kept.
 

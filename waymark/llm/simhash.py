@@ -147,7 +147,8 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius
     of such links, and the row with the smallest doc_id (null first, then text hash) stands for its group. Rows with one set
     of shingles are one node before any comparison. The population counts of such copies' fingerprints tell nothing apart, as those differ in
     some ten bits: so what is compared are the tiles of min-max bands (see ``minhash.linked_sets``), members of which are thinned by exclusive-or and
-    bit counts (``radius``, five deviations above what the similarity makes) and by their signatures, and then compared on whole sets.
+    bit counts (``radius``, five deviations above what the similarity makes) and by their signatures, and then compared on whole sets. What that passes
+    over by chance is found after it (``minhash.remaining_links``): no two texts that are near stay in different groups.
 
     Null texts are empty; texts without words are copies of each other. Rows that repeat an id and text count
     once: the caller drops them by (doc_id, text_hash). A text of any length is read whole. An empty table gives an empty table.
@@ -155,6 +156,8 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius
     percent = round(100 * similarity)
     marked = materialise(minhash.signed(docs, words, fingerprints=True), "signed", minhash.TEXTS)
     nodes, links = minhash.linked_sets(docs, marked, words, percent, radius)
+    links = materialise(links, "links")
+    links = links.unionByName(minhash.remaining_links(docs, nodes, links, words, percent))
     found = components(links).withColumnRenamed("node", "of_node")
     # the rows that stand for their components, by nodes; a row stands if it is one of them, so no row is joined by component
     named = nodes.select("node", "least").join(found, F.col("node") == F.col("of_node"), "left")
